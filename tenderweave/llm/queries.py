@@ -2,18 +2,69 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .decontaminate import contamination
+from .packing import best_fit
+from .quality import quality
+from .sharding import sharded
+from .simhash import near_duplicates
 from .suffix import suffix_dedup
+from .tokens import token_files
+from .toxicity import toxicity
+from .urls import filtered
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where("quality = 1"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit(read(spark, sf_dir, "documents"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read(spark, sf_dir, "documents"))
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtered(read(spark, sf_dir, "pages"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(read(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_toxicity": op2_toxicity,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_token_files": op5_token_files,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_url_filter": op8_url_filter,
+    "op9_sharding": op9_sharding,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL = {
@@ -35,4 +86,17 @@ ORACLE_SQL = {
                coalesce(k.n_spans, 0)::BIGINT AS n_spans,
                sha256(unhex(coalesce(k.rest, '') || substr(d.h, 2 * coalesce(k.last, 0) + 1))) AS kept_sha256
         FROM d LEFT JOIN k ON k.doc_id = d.doc_id""",
+    "op10_decontamination": r"""
+        WITH iw AS (SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+        win AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i + 1 : i + least(10, len(w))], ' ') AS s
+                FROM iw, LATERAL (SELECT unnest(range(0, len(w) - least(10, len(w)) + 1)) AS i) AS r WHERE len(w) > 0),
+        dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+        lens AS (SELECT DISTINCT n FROM win),
+        dwin AS (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS s FROM dw, lens, LATERAL (SELECT unnest(range(0, len(w) - n + 1)) AS i) AS r WHERE len(w) >= n),
+        found AS (SELECT d.doc_id, d.n, d.i, win.item_id FROM dwin d JOIN win ON win.s = d.s AND win.n = d.n),
+        hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) AS x GROUP BY doc_id),
+        its AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found) AS y GROUP BY doc_id)
+        SELECT dw.doc_id, len(dw.w)::BIGINT AS n_words, coalesce(hits.n_hit, 0)::BIGINT AS n_hit, coalesce(its.n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(its.ids, '')) AS items_sha256, coalesce(hits.n_hit, 0) > 0 AS contaminated
+        FROM dw LEFT JOIN hits ON hits.doc_id = dw.doc_id LEFT JOIN its ON its.doc_id = dw.doc_id""",
 }
