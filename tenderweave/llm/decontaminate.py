@@ -173,6 +173,33 @@ def _pass(ids: list[int], items: list[str | None], start: bool, end: bool):
     return run
 
 
+def _filter(ids: list[int], items: list[str | None]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searches = _searches(ids, items)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            clean = np.ones(len(texts), bool)
+            for a, b in _chunks(texts):
+                text = _Text(texts[a:b])
+                for s in searches:
+                    for first, _ in s.found(text):
+                        clean[a + int(np.searchsorted(text.bounds, first, side="right")) - 1] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def _blocks(items: DataFrame, block_bytes: int) -> Iterator[tuple[list[int], list[str | None], bool]]:
+    """Ids and texts of one bounded block of items after the other, and whether it is the last."""
+    items = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    for k in range(blocks):
+        part = numbered.where(F.col("block") == k).select("item_id", "text").orderBy("item_id", "text").collect()
+        yield [r[0] for r in part], [r[1] for r in part], k == blocks - 1
+
+
 def contamination(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -180,14 +207,16 @@ def contamination(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BY
     null item ids have no words and no patterns. Items of one text each count; rows that repeat an
     item_id are one item. Without items no document is contaminated. Repeated doc_ids give a row each.
     """
-    items = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for k in range(blocks):
-        part = numbered.where(F.col("block") == k).select("item_id", "text").orderBy("item_id", "text").collect()  # one bounded block
-        last = k == blocks - 1
+    out, start = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), True
+    for ids, texts, last in _blocks(items, block_bytes):
         kind = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" if last else "doc_id long, text string, hits binary, items array<long>"
-        out = out.mapInArrow(_pass([r[0] for r in part], [r[1] for r in part], k == 0, last), kind)
+        out, start = out.mapInArrow(_pass(ids, texts, start, last), kind), False
+    return out
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of the items occurs; else as contamination()."""
+    out = docs
+    for ids, texts, _ in _blocks(items, block_bytes):
+        out = out.mapInArrow(_filter(ids, texts), docs.schema)
     return out

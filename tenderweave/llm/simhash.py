@@ -3,17 +3,22 @@
 The join walks pairs of trie nodes together: from a pair it goes to the pairs of their children,
 adds the bit in which the children differ to the pair's errors, and drops the pair once the errors
 exceed the budget of Hamming distance. To spread one join over many tasks, a fingerprint enters
-budget + 1 tries, each with another block of the bits in front: two fingerprints within the budget
-agree in one whole block, so one of the tries has them under the same node at that depth. A task
-gets such nodes; a node of many fingerprints is cut into slots, and each pair of slots is a task's
-share of its own. Between different texts no link is lost: where thousands of fingerprints lie close
+several tries, each with other blocks of its bits in front: cut into budget + k blocks, two
+fingerprints within the budget agree in k whole blocks, so one of the tries has them under the same
+node at that depth. k follows from the number of fingerprints, so that nodes stay small. A task
+gets such nodes; a node of many fingerprints is cut into slots, and each pair of slots is a share of
+its own. Between different texts no link is lost: where thousands of fingerprints lie close
 together, node pairs whose fingerprints are known to be connected already are passed over, and a
 share returns a spanning forest of its links, which has the same components.
+
+A fingerprint may have several words of 64 bits. Then each word is joined under the budget, and a
+link needs a total distance within `total` as well: more bits tell a similarity of 0.8 from 0.7.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -49,30 +54,43 @@ _PLACE = np.arange(8, dtype=np.int16) * 256
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def fingerprint(raw: bytes, size: int) -> int:
-    h = shingle_hashes(raw, size)
-    if not len(h):
-        return 0
-    counts = np.bincount((h.view(np.uint8).reshape(-1, 8) + _PLACE).ravel(), minlength=2048).reshape(8, 256) @ _BIT
-    return int(np.packbits((counts * 2 > len(h)).ravel(), bitorder="little").view(np.int64)[0])
+_TURN = [np.uint64(x) for x in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
-def fingerprints(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, fp): fp has the 64 bits of the fingerprint as a signed long. A null text has none set."""
+def fingerprint(raw: bytes, size: int, words: int = 1) -> list[int]:
+    """The words of the fingerprint, as signed longs; the first is that of the hashes themselves."""
+    h = shingle_hashes(raw, size)
+    out = []
+    for k in range(words):
+        if not len(h):
+            out.append(0)
+            continue
+        x = h
+        if k:
+            x = (h ^ (h >> np.uint64(32))) * _TURN[k]
+            x ^= x >> np.uint64(29)
+        counts = np.bincount((x.view(np.uint8).reshape(-1, 8) + _PLACE).ravel(), minlength=2048).reshape(8, 256) @ _BIT
+        out.append(int(np.packbits((counts * 2 > len(x)).ravel(), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def fingerprints(docs: DataFrame, size: int, words: int = 1) -> DataFrame:
+    """(doc_id, w0, w1, ...). A null text has no bit set."""
+    names = [f"w{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(b"" if t is None else t.as_py().encode("utf-8"), size) if t.is_valid else 0 for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            rows = [fingerprint(t.as_py().encode("utf-8") if t.is_valid else b"", size, words) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(words)]], ["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 class _Join:
     """Trie join of sorted values; the arrays hold node pairs as ranges of them."""
 
-    def __init__(self, values: np.ndarray, budget: int):
-        self.v, self.budget = values, budget
+    def __init__(self, values: np.ndarray, budget: int, words: np.ndarray | None = None, total: int | None = None):
+        self.v, self.budget, self.words, self.total = values, budget, words, total
         self.label = np.arange(len(values))
 
     def union(self, a: np.ndarray, b: np.ndarray) -> None:
@@ -116,7 +134,18 @@ class _Join:
         k = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
         x, y = a[i] + k // wide[i], c[i] + k % wide[i]
         near = (x != y) & (np.bitwise_count(self.v[x] ^ self.v[y]) <= self.budget)
-        self.union(x[near], y[near])
+        x, y = x[near], y[near]
+        if self.total is not None and len(x):
+            near = np.bitwise_count(self.words[x] ^ self.words[y]).sum(axis=1) <= self.total
+            x, y = x[near], y[near]
+        self.union(x, y)
+
+    def flat(self, pairs: np.ndarray) -> None:
+        """Pairs of nodes of one value each, as several classes may have one and the same word."""
+        for a, b, c, d, _ in pairs.T.tolist():
+            for i in range(a, b):
+                for k in range(c, d, FRONTIER):
+                    self.leaves(np.array([[i], [i + 1], [k], [min(d, k + FRONTIER)], [0]]))
 
     def run(self, pairs: np.ndarray, bit: int) -> None:
         """pairs: rows of first and past-the-last place on either side, and errors so far."""
@@ -131,7 +160,8 @@ class _Join:
             if not pairs.shape[1]:
                 continue
             if bit < 0:
-                continue  # equal values are one entry on each side, so these were leaves
+                self.flat(pairs)
+                continue
             a, b, c, d, err = pairs
             m, n = self.split(a, b, bit), self.split(c, d, bit)
             own = (a == c) & (b == d)
@@ -145,55 +175,98 @@ class _Join:
                 todo.append((children[:, k : k + FRONTIER], bit - 1))
 
 
-def _shares(budget: int):
-    width = BITS // (budget + 1)
-
+class Tries:
+    """Which blocks of which word stand in front in which trie (turn)."""
+
+    def __init__(self, budget: int, count: int, words: int = 1):
+        self.budget = budget
+        wanted = max(1, count).bit_length() - 8
+        self.together = next((k for k in (1, 2, 3) if k * (BITS // (budget + k)) >= wanted), 3)
+        self.blocks = budget + self.together
+        self.width = BITS // self.blocks
+        self.depth = self.width * self.together
+        self.turns = [(w, c) for w in range(words) for c in combinations(range(self.blocks), self.together)]
+
+    def fronts(self):
+        """The bits in front, a column for each turn."""
+        block = lambda w, b: F.shiftrightunsigned(f"w{w}", BITS - self.width * (b + 1)).bitwiseAND((1 << self.width) - 1)
+        for w, c in self.turns:
+            front = block(w, c[0])
+            for b in c[1:]:
+                front = F.shiftleft(front, self.width).bitwiseOR(block(w, b))
+            yield front
+
+    def values(self, words: np.ndarray, turn: int) -> np.ndarray:
+        """The word of the turn with its bits in the trie's order."""
+        w, chosen = self.turns[turn]
+        x = words[:, w]
+        spans = [(b * self.width, self.width) for b in (*chosen, *(b for b in range(self.blocks) if b not in chosen))]
+        if rest := BITS - self.blocks * self.width:
+            spans.append((self.blocks * self.width, rest))
+        out = np.zeros(len(x), np.uint64)
+        for start, n in spans:
+            out = (out << np.uint64(n)) | ((x >> np.uint64(BITS - start - n)) & np.uint64((1 << n) - 1))
+        return out
+
+
+def _shares(tries: Tries, count: int, total: int | None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        every = pdf[[f"w{k}" for k in range(count)]].to_numpy().view(np.uint64)
+        least, slots = pdf["least"].to_numpy(), pdf["slot"].to_numpy()
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        for turn, part in pdf.groupby("turn"):
-            fp = part["fp"].to_numpy().view(np.uint64)
-            by = np.uint64(turn * width)
-            value = (fp << by) | (fp >> (np.uint64(BITS) - by)) if turn else fp
-            ids, slot = part["least"].to_numpy(), part["slot"].to_numpy()
-            for pair, k in part.groupby(["a", "b"]).indices.items():
-                one = pair[0] == pair[1]
-                order = np.lexsort((value[k], slot[k]))
-                v, node = value[k][order], ids[k][order]
-                join = _Join(v, budget)
-                # nodes at the depth of the block: a range on each side with the same front bits
-                front = v >> np.uint64(BITS - width)
-                cut = len(v) if one else int(np.searchsorted(slot[k][order], pair[1]))
-                left = np.flatnonzero(np.concatenate(([True], front[1:cut] != front[: cut - 1]))) if cut else np.zeros(0, np.int64)
-                stop = np.append(left[1:], cut)
-                if one:
-                    pairs = np.stack([left, stop, left, stop, np.zeros(len(left), np.int64)])
-                else:
-                    right = v[cut:]
-                    lo = cut + np.searchsorted(right, front[left] << np.uint64(BITS - width))
-                    hi = cut + np.searchsorted(right, (front[left] << np.uint64(BITS - width)) | np.uint64((1 << BITS - width) - 1), side="right")
-                    pairs = np.stack([left, stop, lo, hi, np.zeros(len(left), np.int64)])[:, hi > lo]
-                join.run(pairs, BITS - width - 1)
-                far = np.flatnonzero(join.label != np.arange(len(v)))
-                out.append((node[far], node[join.label[far]]))
-        return pd.DataFrame({"a": np.concatenate([x for x, _ in out] or [[]]).astype(np.int64), "b": np.concatenate([x for _, x in out] or [[]]).astype(np.int64)})
+        for (turn, left, right), k in pdf.groupby(["turn", "a", "b"]).indices.items():
+            v = tries.values(every[k], int(turn))
+            order = np.lexsort((v, slots[k]))
+            v, k = v[order], k[order]
+            join = _Join(v, tries.budget, every[k], total)
+            front = v >> np.uint64(BITS - tries.depth)
+            cut = len(v) if left == right else int(np.searchsorted(slots[k], right))
+            low = np.flatnonzero(np.concatenate(([True], front[1:cut] != front[: cut - 1]))) if cut else np.zeros(0, np.int64)
+            high = np.append(low[1:], cut)[: len(low)]
+            if left == right:
+                pairs = np.stack([low, high, low, high, np.zeros(len(low), np.int64)])
+            else:
+                first = cut + np.searchsorted(front[cut:], front[low])
+                last = cut + np.searchsorted(front[cut:], front[low], side="right")
+                pairs = np.stack([low, high, first, last, np.zeros(len(low), np.int64)])[:, last > first]
+            join.run(pairs, BITS - tries.depth - 1)
+            far = np.flatnonzero(join.label != np.arange(len(v)))
+            out.append((least[k[far]], least[k[join.label[far]]]))
+        return pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([x for _, x in out])})
 
     return run
 
 
-def links(classes: DataFrame, budget: int, slot_size: int = SLOT) -> DataFrame:
-    """Edges (a, b) between the least ids of classes (fp, least) whose fingerprints differ in at most
-    budget bits: a forest for each share of the join, with the components of all links."""
-    width = BITS // (budget + 1)
-    turns = F.posexplode(F.array(*[F.shiftrightunsigned("fp", BITS - width * (t + 1)).bitwiseAND((1 << width) - 1) for t in range(budget + 1)])).alias("turn", "front")
-    entries = classes.select("fp", "least", turns)
+def links(classes: DataFrame, budget: int, words: int = 1, total: int | None = None, slot_size: int = SLOT) -> DataFrame:
+    """Edges (a, b) between the least ids of classes (least, w0, ...) of which a word differs in at most
+    budget bits, and all words together in at most total: a forest for each share of the join, with the
+    components of all links."""
+    count = classes.count()
+    tries = Tries(budget, count, words)
+    names = [f"w{k}" for k in range(words)]
+    entries = classes.select("least", *names, F.posexplode(F.array(*tries.fronts())).alias("turn", "front"))
     crowded = entries.groupBy("turn", "front").count().where(F.col("count") > slot_size).select("turn", "front", F.ceil(F.col("count") / slot_size).cast("int").alias("slots"))
-    entries = entries.join(crowded, ["turn", "front"], "left").withColumn("slots", F.coalesce("slots", F.lit(1)))
-    entries = entries.withColumn("slot", F.when(F.col("slots") > 1, F.pmod(F.xxhash64("fp"), F.col("slots")).cast("int")).otherwise(F.lit(0)))
-    entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
-    entries = entries.select("turn", "front", "fp", "least", "slot", F.least("slot", "other").alias("a"), F.greatest("slot", "other").alias("b"))
-    # light nodes go 16 to a share; each pair of slots of a crowded node has its own
-    share = F.xxhash64("turn", F.when((F.col("b") == 0), F.shiftright("front", 4)).otherwise(F.col("front")), "a", "b")
-    return entries.withColumn("share", share).groupBy("share").applyInPandas(_shares(budget), "a long, b long")
+    if crowded.isEmpty():
+        entries = entries.withColumns({"slot": F.lit(0), "a": F.lit(0), "b": F.lit(0)})
+    else:
+        entries = entries.join(crowded, ["turn", "front"], "left").withColumn("slots", F.coalesce("slots", F.lit(1)))
+        entries = entries.withColumn("slot", F.when(F.col("slots") > 1, F.pmod(F.xxhash64(*names), F.col("slots")).cast("int")).otherwise(F.lit(0)))
+        entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+        entries = entries.withColumns({"a": F.least("slot", "other"), "b": F.greatest("slot", "other")})
+    # light nodes fill shares of about SLOT entries; each pair of slots of a crowded node has its own share
+    shares = max(64, count * len(tries.turns) // SLOT)
+    share = F.when(F.col("b") == 0, F.pmod(F.xxhash64("turn", "front"), F.lit(shares))).otherwise(F.xxhash64("turn", "front", "a", "b"))
+    return entries.select("least", *names, "turn", "slot", "a", "b", share.alias("share")).groupBy("share").applyInPandas(_shares(tries, words, total), "a long, b long")
+
+
+def _components(docs: DataFrame, size: int, budget: int, words: int, total: int | None) -> DataFrame:
+    """(doc_id, w0, ..., component_id), a row for each of docs."""
+    names = [f"w{k}" for k in range(words)]
+    prints = stored(fingerprints(docs, size, words), "fingerprints")
+    classes = prints.groupBy(*names).agg(F.min("doc_id").alias("least"))
+    roots = components(links(classes, budget, words, total))
+    of = classes.join(roots, classes["least"] == roots["node"], "left").select(*names, F.coalesce("root", "least").alias("component_id"))
+    return prints.join(of, names)
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, budget: int = 4) -> DataFrame:
@@ -202,9 +275,16 @@ def near_duplicates(docs: DataFrame, size: int = 4, budget: int = 4) -> DataFram
     docs has doc_id and text; other columns don't matter. A text without words, or null, has the
     fingerprint zero and links like any other. Repeated doc_ids give a row each. No documents: no rows.
     """
-    fps = stored(fingerprints(docs, size), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = links(classes, budget)
-    roots = components(edges)
-    of = classes.join(roots, classes["least"] == roots["node"], "left").select("fp", F.coalesce("root", "least").alias("component_id"))
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _components(docs, size, budget, 1, None).select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_copies(docs: DataFrame, size: int = 5, budget: int = 6, words: int = 4, total: int = 42) -> DataFrame:
+    """The rows of docs, with all their columns, of the documents with the least doc_id of their groups.
+
+    Shingles have five words. Of words * 64 bits, two documents with a Jaccard similarity of 0.8 differ
+    in about 15 of 100, so total = 42 of 256 lies just above that. Of rows that repeat a doc_id one stays.
+    Else as near_duplicates().
+    """
+    found = stored(_components(docs, size, budget, words, total).where("doc_id = component_id").groupBy("doc_id").count(), "firsts")
+    out = docs.join(found.select(F.col("doc_id").alias("__first")), docs["doc_id"] == F.col("__first"), "left_semi")
+    return out if found.where("count > 1").isEmpty() else out.dropDuplicates(["doc_id"])

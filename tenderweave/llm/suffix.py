@@ -281,54 +281,86 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["block", "places", "at", "sizes"])
 
 
-def _strip(with_text: bool):
+def _kept(docs: pd.DataFrame, gone: pd.DataFrame) -> list[tuple[int, int, int, int, bytes]]:
+    """Of each row of a block: its place in docs, bytes, removed bytes, removed runs, and the bytes that stay."""
+    places = np.frombuffer(b"".join(gone["places"]), "<u4")
+    at = np.frombuffer(b"".join(gone["at"]), "<u4").astype(np.int64)
+    count = np.frombuffer(b"".join(gone["sizes"]), "<u4").astype(np.int64)
+    order = np.lexsort((at, places))
+    places, at, end = places[order], at[order], (at + count + WIDTH - 1)[order]
+    texts = docs["text"].tolist()
+    block = _Block(docs["doc_id"].tolist(), texts)
+    out = []
+    for place, i in enumerate(block.order):
+        raw = b"" if texts[i] is None else texts[i].encode("utf-8")
+        a, b = np.searchsorted(places, place), np.searchsorted(places, place, side="right")
+        removed, spans, kept, seen = 0, 0, [], 0
+        if b > a:
+            ends = np.minimum(np.maximum.accumulate(end[a:b]), len(raw))
+            new = np.concatenate(([True], at[a + 1 : b] > ends[:-1]))
+            begin = at[a:b][new]
+            stop = ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)]
+            spans, removed = len(begin), int((stop - begin).sum())
+            for x, y in zip(begin.tolist(), stop.tolist()):
+                kept.append(raw[seen:x])
+                seen = y
+        kept.append(raw[seen:])
+        out.append((i, len(raw), removed, spans, b"".join(kept)))
+    return out
+
+
+def _digest(docs: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
+    ids = docs["doc_id"].tolist()
+    out = [(ids[i], n, removed, spans, hashlib.sha256(rest).hexdigest()) for i, n, removed, spans, rest in _kept(docs, gone)]
+    return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def _strip(block: str):
     def run(docs: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
-        places = np.frombuffer(b"".join(gone["places"]), "<u4")
-        at = np.frombuffer(b"".join(gone["at"]), "<u4").astype(np.int64)
-        count = np.frombuffer(b"".join(gone["sizes"]), "<u4").astype(np.int64)
-        order = np.lexsort((at, places))
-        places, at, end = places[order], at[order], (at + count + WIDTH - 1)[order]
-        ids, texts = docs["doc_id"].tolist(), docs["text"].tolist()
-        block = _Block(ids, texts)
-        out = []
-        for place, i in enumerate(block.order):
-            doc_id, text = ids[i], texts[i]
-            raw = b"" if text is None else text.encode("utf-8")
-            a, b = np.searchsorted(places, place), np.searchsorted(places, place, side="right")
-            removed, spans, kept, seen = 0, 0, [], 0
-            if b > a:
-                ends = np.minimum(np.maximum.accumulate(end[a:b]), len(raw))
-                new = np.concatenate(([True], at[a + 1 : b] > ends[:-1]))
-                begin = at[a:b][new]
-                stop = ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)]
-                spans, removed = len(begin), int((stop - begin).sum())
-                for x, y in zip(begin.tolist(), stop.tolist()):
-                    kept.append(raw[seen:x])
-                    seen = y
-            kept.append(raw[seen:])
-            rest = b"".join(kept)
-            out.append((doc_id, len(raw), removed, spans, hashlib.sha256(rest).hexdigest(), *([None if text is None else rest.decode("utf-8", "ignore")] if with_text else [])))
-        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else [])])
+        if not len(docs):
+            return docs.drop(columns=block)
+        texts, left = docs["text"].tolist(), [True] * len(docs)
+        for i, n, removed, _, rest in _kept(docs, gone):
+            if removed:
+                texts[i], left[i] = rest.decode("utf-8", "ignore"), removed < n
+        docs = docs.drop(columns=block).assign(text=texts)
+        if "n_chars" in docs:
+            docs["n_chars"] = docs["text"].map(lambda x: None if x is None else len(x)).astype(docs["n_chars"].dtype)
+        return docs[left]
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, on demand, kept_text.
-
-    docs has doc_id and text; other columns don't matter. A null text counts as empty: nothing of it
-    goes, and its kept_text is null. Texts under 50 bytes lose nothing. Rows that repeat a doc_id
-    give a row each; they never remove from one another, as no id is smaller. kept_text drops bytes
-    of characters of which a part went. An empty table gives no rows.
-    """
-    docs = docs.select("doc_id", "text")
+def _removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with their block in column __block, and the stretches that go by block."""
     total = text_bytes(docs)
     blocks = max(64, total // BLOCK_BYTES + 1)
     buckets = max(256, total // BUCKET_BYTES + 1)
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    names = docs.groupBy("block").applyInPandas(_sampler(buckets), "bucket int, block int, names binary, several binary")
+    dealt = docs.withColumn("__block", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks)).cast("int"))
+    lean = dealt.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("__block").alias("block"))
+    names = lean.groupBy("block").applyInPandas(_sampler(buckets), "bucket int, block int, names binary, several binary")
     names = stored(names.groupBy("bucket").applyInPandas(_unsettled, "block int, bucket int, names binary"), "names")
-    merged = docs.groupBy("block").cogroup(names.groupBy("block")).applyInPandas(_merger(buckets, buckets), "kind int, bucket int, block int, ids binary, places binary, at binary, sizes binary, data binary")
-    gone = stored(merged.groupBy("bucket").applyInPandas(_compare, "block int, places binary, at binary, sizes binary"), "gone")
-    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return docs.groupBy("block").cogroup(gone.groupBy("block")).applyInPandas(_strip(with_text), kind)
+    merged = lean.groupBy("block").cogroup(names.groupBy("block")).applyInPandas(_merger(buckets, buckets), "kind int, bucket int, block int, ids binary, places binary, at binary, sizes binary, data binary")
+    return dealt, stored(merged.groupBy("bucket").applyInPandas(_compare, "block int, places binary, at binary, sizes binary"), "gone")
+
+
+def suffix_dedup(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    docs has doc_id (not null) and text; other columns don't matter. A null text counts as empty:
+    nothing of it goes. Texts under 50 bytes lose nothing. Rows that repeat a doc_id give a row each;
+    they never remove from one another, as no id is smaller. An empty table gives no rows.
+    """
+    dealt, gone = _removals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return dealt.groupBy("__block").cogroup(gone.groupBy("block")).applyInPandas(_digest, kind)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, without the bytes that suffix_dedup() removes.
+
+    Of a character of which a part went, the rest goes too; n_chars, where there is one, follows the
+    text. A document that loses everything goes; one that had no bytes stays.
+    """
+    dealt, gone = _removals(docs)
+    return dealt.groupBy("__block").cogroup(gone.groupBy("block")).applyInPandas(_strip("__block"), docs.schema)

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from tenderweave.llm.decontaminate import contamination
+from tenderweave.llm.decontaminate import contamination, decontaminated
 
 
 def brute(docs, items):
@@ -51,6 +51,8 @@ def test_against_brute_force_in_one_and_several_blocks(spark):
     for size in (1 << 20, 400):
         got = contamination(*make(spark, docs, items), block_bytes=size)
         assert sorted(tuple(r) for r in got.collect()) == expected
+        clean = decontaminated(*make(spark, docs, items), block_bytes=size)
+        assert sorted(r.doc_id for r in clean.collect()) == sorted(r[0] for r in expected if not r[5])
 
 
 def test_no_items_no_documents(spark):

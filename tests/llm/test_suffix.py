@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from tenderweave.llm.suffix import WIDTH, suffix_dedup
+from tenderweave.llm.suffix import WIDTH, suffix_dedup, without_repeats
 
 
 def brute(docs):
@@ -46,6 +46,8 @@ def test_random_texts_with_planted_repeats(spark):
 def test_empty_table_and_kept_text(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup(df).collect() == []
-    docs = [(1, "é" * 40), (2, "q" + "é" * 40 + "z"), (3, None)]
-    kept = {r.doc_id: r.kept_text for r in suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string"), with_text=True).collect()}
-    assert kept == {1: "é" * 40, 2: "qz", 3: None}
+    docs = [(1, "é" * 40, "x", 40), (2, "q" + "é" * 40 + "z", None, 42), (3, None, "y", None), (4, "é" * 30, "gone", 30), (5, "", "z", 0)]
+    kept = without_repeats(spark.createDataFrame(docs, "doc_id long, text string, block string, n_chars long"))
+    assert kept.columns == ["doc_id", "text", "block", "n_chars"]
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, "é" * 40, "x", 40), (2, "qz", None, 2), (3, None, "y", None), (5, "", "z", 0)]
+    assert without_repeats(kept.limit(0)).collect() == []
