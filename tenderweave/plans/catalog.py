@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import catalogue, matching, texts
+
 FLAGSHIP = "j1_merge_orders"
+QUERIES = {**catalogue.QUERIES, **texts.QUERIES, **matching.QUERIES}
+ORACLE_SQL = {**catalogue.ORACLE_SQL, **texts.ORACLE_SQL, **matching.ORACLE_SQL}
