@@ -114,3 +114,36 @@ def labels_of(text: Column, rules: list[tuple[str, list[str]]]) -> Column:
     """Every label one of whose terms occurs, in the order of the rules."""
     low = F.lower(text)
     return F.filter(F.array(*[F.when(F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t)), label) for label, terms in rules]), lambda x: x.isNotNull())
+
+
+TECHNICAL = r"\b(?:[A-Z]{2,}|IP\d+|\d+(?:\.\d+)?(?:W|kW|V|A|Hz|mm|cm|m|kg|lx|lm))\b"
+NUMBER = r"\b\d+(?:\.\d+)?\b"
+
+
+def _share_found(found: Column, text: Column) -> Column:
+    low = F.lower(text)
+    return F.when(F.size(found) > 0, F.size(F.filter(found, lambda k: F.contains(low, F.lower(k)))) / F.size(found)).otherwise(F.lit(float("nan")))
+
+
+def tech_keyword_overlap(requirement: Column, candidate: Column) -> Column:
+    """Share of technical terms of the requirement that the candidate's text contains; NaN without any."""
+    return _share_found(F.regexp_extract_all(requirement, F.lit(TECHNICAL), 0), candidate)
+
+
+def numeric_features(requirement: Column, candidate: Column) -> tuple[Column, Column, Column]:
+    """(share of the requirement's numbers found, how many it has, how many the candidate has)."""
+    a, b = (F.regexp_extract_all(x, F.lit(NUMBER), 0) for x in (requirement, candidate))
+    return _share_found(a, candidate), F.size(a).cast("double"), F.size(b).cast("double")
+
+
+def hash_embedding(text: Column, dim: int = 8) -> Column:
+    """A deterministic unit vector from the bytes of the text's sha256, for tests and fallbacks."""
+    h = F.sha2(text, 256)
+    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1)
+    return l2_normalize(raw)
+
+
+def search_text(parts: Column) -> Column:
+    """Tokens of two characters or more of all parts, the first spelling of each (case apart), in order."""
+    tokens = F.filter(F.split(F.array_join(parts, " "), r"\s+"), lambda t: F.length(t) >= 2)
+    return F.array_join(F.filter(tokens, lambda t, i: F.array_position(F.transform(tokens, F.lower), F.lower(t)) == i + 1), " ")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue, matching, texts
+from . import catalogue, matching, selection, texts
 
 FLAGSHIP = "j1_merge_orders"
-QUERIES = {**catalogue.QUERIES, **texts.QUERIES, **matching.QUERIES}
-ORACLE_SQL = {**catalogue.ORACLE_SQL, **texts.ORACLE_SQL, **matching.ORACLE_SQL}
+_MODULES = (catalogue, texts, matching, selection)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
