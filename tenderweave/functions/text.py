@@ -147,3 +147,10 @@ def search_text(parts: Column) -> Column:
     """Tokens of two characters or more of all parts, the first spelling of each (case apart), in order."""
     tokens = F.filter(F.split(F.array_join(parts, " "), r"\s+"), lambda t: F.length(t) >= 2)
     return F.array_join(F.filter(tokens, lambda t, i: F.array_position(F.transform(tokens, F.lower), F.lower(t)) == i + 1), " ")
+
+
+def quantity_terms(text: Column) -> Column:
+    """Array of (amount, unit): numbers with the word behind them, but for conjunctions."""
+    found = F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d+)?\s*[A-Za-z]+"), 0)
+    terms = F.transform(found, lambda q: F.struct(F.regexp_extract(q, r"(\d+(?:\.\d+)?)", 1).alias("amount"), F.lower(F.regexp_extract(q, "([A-Za-z]+)$", 1)).alias("unit")))
+    return F.filter(terms, lambda t: ~t["unit"].isin("and", "or", "to", "with"))

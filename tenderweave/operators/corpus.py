@@ -72,3 +72,42 @@ def json_fields(rows: DataFrame, column: str, fields: dict[str, str]) -> DataFra
     keep = [c for c in rows.columns if c != column]
     parsed = F.from_json(F.col(column), "map<string,string>")
     return rows.select(*keep, *[parsed[k].try_cast(kind).alias(k) for k, kind in fields.items()], parsed.isNotNull().alias("ok"), F.sha2(F.col(column), 256).alias("digest"))
+
+
+def page_texts(pages: DataFrame) -> DataFrame:
+    """(page_id, text, status): text outside tags, scripts and styles; EMPTY without any, else SUCCESS."""
+    x = F.coalesce("html", F.lit(""))
+    for pattern in (r"(?is)<(?:script[^>]*>.*?</script|style[^>]*>.*?</style|title[^>]*>.*?</title)>", r"(?s)<!--.*?-->", "<[^>]*>"):
+        x = F.regexp_replace(x, pattern, " ")
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        x = F.replace(x, F.lit(name), F.lit(sign))
+    text = F.trim(F.regexp_replace(x, r"\s+", " "))
+    return pages.select("page_id", text.alias("text")).withColumn("status", F.when(F.col("text") == "", "EMPTY").otherwise("SUCCESS"))
+
+
+def tfidf_cosine(pairs: DataFrame, key: list[str]) -> DataFrame:
+    """(key, cosine) of texts a and b: tf = 1 + ln n, idf over the two texts alone, unit length; 0 without common terms."""
+    side = lambda c, n: F.transform(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]{2,}"), 0), lambda t: F.struct(t.alias("token"), F.lit(n).alias("side")))
+    tokens = pairs.select(*key, F.explode(F.concat(side("a", 1), side("b", 2))).alias("x")).select(*key, "x.token", "x.side")
+    counted = tokens.groupBy(*key, "token").agg(F.count_if(F.col("side") == 1).alias("m"), F.count_if(F.col("side") == 2).alias("n"))
+    idf = F.log(3.0 / (1 + (F.col("m") > 0).cast("int") + (F.col("n") > 0).cast("int"))) + 1
+    weight = lambda c: F.when(F.col(c) > 0, (1 + F.log(c)) * idf).otherwise(0.0)
+    both = counted.select(*key, weight("m").alias("a"), weight("n").alias("b")).groupBy(*key).agg(F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
+    return both.select(*key, F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).otherwise(0.0).alias("cosine"))
+
+
+def next_page_url(url: Column, most: int = 50) -> Column:
+    """The URL with its page parameter one higher (2, where it has none); null past page `most`."""
+    plain = F.regexp_replace(url, "#.*$", "")
+    page = F.regexp_extract(plain, r"[?&]page=(\d+)", 1).try_cast("int")
+    added = F.concat(plain, F.when(F.contains(plain, F.lit("?")), "&").otherwise("?"), F.lit("page=2"))
+    raised = F.concat(F.regexp_extract(plain, r"^(.*?[?&]page=)\d+", 1), (page + 1).cast("string"), F.regexp_extract(plain, r"[?&]page=\d+(.*)$", 1))
+    return F.when(page.isNull(), added).when(page < most, raised)
+
+
+def policy_decision(url: Column, sources: list[tuple[str, str]], default: str) -> Column:
+    """The decision of the first registered domain that the host is, or is under."""
+    host, out = F.lower(F.regexp_extract(url, "://([^/?#:]*)", 1)), F
+    for domain, decision in sources:
+        out = out.when((host == domain) | host.endswith("." + domain), decision)
+    return out.otherwise(default)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCHEMES = {"isi_mark": "BIS ISI mark (CM/L license number required in bid)", "crs": "BIS CRS registration (R-number required in bid)", "hallmarking": "BIS Hallmarking (HUID required)"}
@@ -118,3 +118,40 @@ def superseding(rows: DataFrame) -> DataFrame:
     """(src, dst, edge): rows (number, superseded_by) joined to the row that supersedes them."""
     newer = rows.select(F.col("number").alias("superseded_by")).distinct()
     return rows.where("superseded_by is not null").join(newer, "superseded_by").select(F.col("superseded_by").alias("src"), F.col("number").alias("dst"), F.lit("supersedes").alias("edge")).distinct()
+
+
+def availability_map() -> Column:
+    """Section to verified, unverified, not_available or not_identified, of a standards row."""
+    state = {
+        "scope": F.when(F.col("verified"), "verified").otherwise("unverified"),
+        "certification": F.when(F.col("mandatory") & F.col("verified"), "verified").when(F.col("mandatory"), "unverified").otherwise("not_identified"),
+        "year": F.when(F.col("year").isNull(), "not_available").otherwise("verified"),
+    }
+    return F.create_map(*[x for k, v in state.items() for x in (F.lit(k), v)])
+
+
+def coerce_label(label: Column, known: list[str], default: str) -> Column:
+    return F.when(label.isin(known), label).otherwise(default)
+
+
+def compliance_pairs(requirements: DataFrame, standards: DataFrame) -> DataFrame:
+    """(req_id, status, branch): paired with the cited standard, not_found, or no_citation."""
+    cites = F.col("cited_year").isNotNull()
+    right = standards.select(F.col("std_id").alias("_id"), "status")
+    joined = requirements.join(right, (F.col("std_id") == F.col("_id")) & cites, "left")
+    branch = F.when(~cites, "no_citation").when(F.col("_id").isNull(), "not_found").otherwise("paired")
+    return joined.select("req_id", F.coalesce("status", F.lit("none")).alias("status"), branch.alias("branch"))
+
+
+def primary_standard(rows: DataFrame) -> DataFrame:
+    """The first standard of each analysis: retired ones last, then by requirements, confidence and id."""
+    order = Window.partitionBy("analysis_id").orderBy(F.col("status").isin("withdrawn", "superseded"), F.desc("n"), F.desc("c"), "std_id")
+    return rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
+def evidence_status(verdict: Column) -> Column:
+    return F.when(verdict == "justified", "covered").when(verdict.isin("wrong_scope", "incorrect_standard"), "conflicting").when(verdict == "missing_requirement", "missing").otherwise("review")
+
+
+def confidence_band(confidence: Column) -> Column:
+    return F.when(confidence >= 0.85, "high").when(confidence >= 0.6, "medium").otherwise("low")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue, matching, selection, texts
+from . import assembly, catalogue, matching, selection, texts
 
 FLAGSHIP = "j1_merge_orders"
-_MODULES = (catalogue, texts, matching, selection)
+_MODULES = (catalogue, texts, matching, selection, assembly)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
