@@ -155,3 +155,34 @@ def evidence_status(verdict: Column) -> Column:
 
 def confidence_band(confidence: Column) -> Column:
     return F.when(confidence >= 0.85, "high").when(confidence >= 0.6, "medium").otherwise("low")
+
+
+# Words that stand for a parameter.
+ALIASES = {
+    "power": ["watt", "power", "w ", "120w", "90w"], "voltage": ["volt", "voltage", "v ac", "vac"], "ip_rating": ["ip", "ingress protection", "ip6", "ip5"], "cct": ["color temperature", "colour temperature", "cct", "kelvin", "5700", "6500"],
+    "efficacy": ["lm/w", "lumen", "efficacy", "luminous"], "thd": ["harmonic", "thd", "distortion"], "power_factor": ["power factor", "pf "], "surge_kv": ["surge", "spd", "kv"],
+}
+
+
+def detect_gaps(rows: DataFrame) -> DataFrame:
+    """(std_id, gap_type, subject, severity) of rows (std_id, is_number, scope, scope_verified, search_text,
+    n_tests, certification, params, certificates, refs). Without a verified scope that alone is the gap."""
+    clear = F.coalesce(F.col("scope_verified") & (F.col("scope") != ""), F.lit(False))
+    text = F.lower(F.concat_ws(" ", "scope", "search_text"))
+    table = F.create_map(*[x for k, v in ALIASES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    gap = lambda kind, subject, severity: F.struct(F.lit(kind).alias("gap_type"), subject.alias("subject"), F.lit(severity).alias("severity"))
+    nobody = F.lit(None).cast("string")
+    none = F.filter(F.array(gap("", nobody, "")), lambda x: F.lit(False))
+    number = F.regexp_replace(F.lower("is_number"), "[ :]", "")
+    solid = lambda r: F.regexp_replace(F.lower(r), "[ :]", "")
+    uncovered = F.filter("params", lambda p: ~F.exists(F.coalesce(table[p], F.array(F.lower(p))), lambda a: F.contains(text, a)))
+    missing = F.filter("certificates", lambda c: ~F.contains(F.lower(F.coalesce("certification", F.lit(""))), F.lower(c)) & ~F.contains(text, F.lower(c)))
+    others = F.filter("refs", lambda r: ~F.contains(number, solid(r)) & ~F.contains(solid(r), number))
+    full = F.concat(
+        F.when(F.col("n_tests") > 0, none).otherwise(F.array(gap("NO_TEST_METHOD", nobody, "low"))),
+        F.transform(uncovered, lambda p: gap("PARAMETER_UNVERIFIABLE", p, "medium")),
+        F.transform(missing, lambda c: gap("CERTIFICATION_MISSING", c, "high")),
+        F.transform(others, lambda r: gap("ADDITIONAL_STANDARD_CITED", r, "high")),
+    )
+    gaps = F.when(clear, full).otherwise(F.array(gap("SCOPE_UNCLEAR", nobody, "medium")))
+    return rows.select("std_id", F.explode(gaps).alias("g")).select("std_id", "g.*")

@@ -243,3 +243,30 @@ def m4(spark, sf):
     labelled = docs.join(table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
     model = L.train_text_classifier(labelled)
     return model.transform(docs).select("doc_id", F.col("prediction").cast("int").alias("predicted"))
+
+
+@query(
+    "r9_detect_gaps",
+    """WITH r AS (SELECT p_partkey AS std_id, 'is' || p_partkey AS nn, p_size % 3 <> 0 AS ok, lower(concat_ws(' ', p_name || ' of ' || CASE WHEN p_size % 2 = 0 THEN 'rated voltage' ELSE 'rated power' END, p_type)) AS t, p_size % 4 AS tests, CASE p_size % 5 WHEN 0 THEN 'crs bis' ELSE '' END AS cert, 'is' || (p_partkey - p_size % 2) AS rr FROM part)
+       SELECT std_id, 'SCOPE_UNCLEAR' AS gap_type, NULL AS subject, 'medium' AS severity FROM r WHERE NOT ok UNION ALL SELECT std_id, 'NO_TEST_METHOD', NULL, 'low' FROM r WHERE ok AND tests = 0
+       UNION ALL SELECT std_id, 'PARAMETER_UNVERIFIABLE', 'power', 'medium' FROM r WHERE ok AND NOT regexp_matches(t, 'watt|power|w |120w|90w') UNION ALL SELECT std_id, 'PARAMETER_UNVERIFIABLE', 'Steel', 'medium' FROM r WHERE ok AND NOT contains(t, 'steel')
+       UNION ALL SELECT std_id, 'CERTIFICATION_MISSING', 'BIS', 'high' FROM r WHERE ok AND NOT contains(cert, 'bis') AND NOT contains(t, 'bis') UNION ALL SELECT std_id, 'ADDITIONAL_STANDARD_CITED', 'IS ' || substr(rr, 3), 'high' FROM r WHERE ok AND NOT contains(nn, rr) AND NOT contains(rr, nn)""",
+)
+def r9(spark, sf):
+    size = F.col("p_size")
+    rows = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("std_id"), F.concat(F.lit("IS "), F.col("p_partkey").cast("string")).alias("is_number"), F.concat("p_name", F.lit(" of "), F.when(size % 2 == 0, "rated voltage").otherwise("rated power")).alias("scope"), (size % 3 != 0).alias("scope_verified"), F.col("p_type").alias("search_text"),
+        (size % 4).alias("n_tests"), F.when(size % 5 == 0, "CRS BIS").alias("certification"), F.array(F.lit("power"), F.lit("Steel")).alias("params"), F.array(F.lit("BIS")).alias("certificates"), F.array(F.concat(F.lit("IS "), (F.col("p_partkey") - size % 2).cast("string"))).alias("refs"),
+    )
+    return K.detect_gaps(rows)
+
+
+@query(
+    "x3_cross_references",
+    "SELECT l_orderkey, string_agg(n, ',' ORDER BY i) AS refs FROM (SELECT l_orderkey, 'IS ' || l_partkey AS n, min(CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey) AS i FROM lineitem GROUP BY ALL) GROUP BY l_orderkey",
+)
+def x3(spark, sf):
+    line = F.concat(F.lit("item IS "), F.col("l_partkey").cast("string"), F.lit(" rated IS "), F.col("l_suppkey").cast("string"), F.lit(" kV,"))
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("line")))).alias("lines"))
+    texts = rows.select("l_orderkey", F.array_join(F.transform("lines", lambda x: x["line"]), " ").alias("text"))
+    return X.cross_references(texts, "l_orderkey", ["text"]).withColumn("refs", F.array_join("refs", ","))
