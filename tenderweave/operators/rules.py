@@ -186,3 +186,30 @@ def detect_gaps(rows: DataFrame) -> DataFrame:
     )
     gaps = F.when(clear, full).otherwise(F.array(gap("SCOPE_UNCLEAR", nobody, "medium")))
     return rows.select("std_id", F.explode(gaps).alias("g")).select("std_id", "g.*")
+
+
+def certification_source(findings: DataFrame) -> DataFrame:
+    """The first notified applicable standard of an analysis, else the first applicable one."""
+    order = Window.partitionBy("analysis_id").orderBy(~F.col("mandatory"), "pos", "std_id", "req_id")
+    return findings.where(~F.col("mismatch")).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
+def frontend_status(verdict: Column) -> tuple[Column, Column]:
+    """(state, severity)."""
+    state = F.when(verdict == "justified", "ok").when(verdict.isin("incorrect_standard", "outdated_reference"), "error").otherwise("warning")
+    return state, F.when(verdict == "incorrect_standard", "high").when(verdict == "justified", "none").otherwise("medium")
+
+
+def recommended_action(verdict: Column, superseded_by: Column, year: Column) -> Column:
+    old = verdict == "outdated_reference"
+    return (
+        F.when(old & superseded_by.isNotNull(), F.concat(F.lit("Cite "), superseded_by, F.lit(" instead.")))
+        .when(old, F.concat(F.lit("Cite the "), year.cast("string"), F.lit(" edition.")))
+        .when(verdict == "incorrect_standard", "Replace the withdrawn standard.")
+        .when(verdict == "justified", "No action.")
+        .otherwise("Verify manually.")
+    )
+
+
+def headline_axis(verdict: Column, mandatory: Column) -> Column:
+    return F.when(verdict == "wrong_scope", "applicability").when(verdict.isin("incorrect_standard", "outdated_reference", "ambiguous"), "currentness").when(mandatory, "certification").otherwise("none")

@@ -163,3 +163,9 @@ def catalogue_sync(state: DataFrame, updates: DataFrame) -> DataFrame:
     joined = state.join(u, ["number", "year"], "full_outer")
     change = F.when(F.col("title").isNull(), "inserted").when(F.col("_s").isNull(), "kept").when((F.col("_s") != F.col("status")) | ~F.coalesce(F.col("_b"), "superseded_by").eqNullSafe(F.col("superseded_by")), "updated").otherwise("unchanged")
     return joined.select("number", "year", F.coalesce("title", "_t").alias("title"), F.coalesce("_s", "status").alias("status"), F.coalesce("_b", "superseded_by").alias("superseded_by"), change.alias("change"))
+
+
+def applicability_rerank(rows: DataFrame) -> DataFrame:
+    """rows ranked anew by ml_score (0 where there is none), then relevance, then pos."""
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.coalesce("ml_score", F.lit(0.0))), F.desc("relevance"), "pos")
+    return rows.withColumn("rank", F.row_number().over(order))
