@@ -34,6 +34,7 @@ BITS = 64
 SEED = 42
 SLOT = 4096
 FRONTIER = 1 << 18
+DEAL = 1 << 15
 
 
 def shingle_hashes(raw: bytes, size: int) -> np.ndarray:
@@ -187,15 +188,6 @@ class Tries:
         self.depth = self.width * self.together
         self.turns = [(w, c) for w in range(words) for c in combinations(range(self.blocks), self.together)]
 
-    def fronts(self):
-        """The bits in front, a column for each turn."""
-        block = lambda w, b: F.shiftrightunsigned(f"w{w}", BITS - self.width * (b + 1)).bitwiseAND((1 << self.width) - 1)
-        for w, c in self.turns:
-            front = block(w, c[0])
-            for b in c[1:]:
-                front = F.shiftleft(front, self.width).bitwiseOR(block(w, b))
-            yield front
-
     def values(self, words: np.ndarray, turn: int) -> np.ndarray:
         """The word of the turn with its bits in the trie's order."""
         w, chosen = self.turns[turn]
@@ -209,30 +201,87 @@ class Tries:
         return out
 
 
-def _shares(tries: Tries, count: int, total: int | None):
+def _packed(columns: list[np.ndarray], bounds: np.ndarray) -> list[pa.Array]:
+    """Each column's bytes cut at bounds, as binary values."""
+    out = []
+    for c in columns:
+        c = np.ascontiguousarray(c)
+        width = c.itemsize * (c.shape[1] if c.ndim > 1 else 1)
+        out.append(pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * width).astype("<i4").tobytes()), pa.py_buffer(c.tobytes())]))
+    return out
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * _TURN[1]
+    return x ^ (x >> np.uint64(29))
+
+
+def _dealer(tries: Tries, count: int, per_turn: int):
+    """Entries of the classes by share: a share has nodes of one trie, dealt by a hash of their front bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, len(batch), DEAL):
+                part = batch.slice(first, DEAL)
+                words = np.stack([part.column(f"w{k}").to_numpy().view(np.uint64) for k in range(count)], axis=1)
+                least = part.column("least").to_numpy()
+                for turn in range(len(tries.turns)):
+                    front = tries.values(words, turn) >> np.uint64(BITS - tries.depth)
+                    share = (_mixed(front) % np.uint64(per_turn)).astype(np.int64)
+                    order = np.argsort(share, kind="stable")
+                    share = share[order]
+                    bounds = np.append(np.flatnonzero(np.concatenate(([True], share[1:] != share[:-1]))), len(share))
+                    keys = share[bounds[:-1]] + turn * per_turn
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.diff(bounds).astype(np.int32)), *_packed([least[order], words[order]], bounds)], ["share", "n", "least", "words"])
+
+    return run
+
+
+def _splitter(count: int):
+    """Rows of crowded shares again for every pair of slots that their entries are in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["slots"] is None:
+                    out.append((r["share"], 0, 0, 0, r["least"], r["words"]))
+                    continue
+                least, words = np.frombuffer(r["least"], np.int64), np.frombuffer(r["words"], np.uint64).reshape(-1, count)
+                slot = _mixed(words[:, 0]) % np.uint64(r["slots"])
+                for s in np.unique(slot).tolist():
+                    own = least[slot == s].tobytes(), words[slot == s].tobytes()
+                    out += [(r["share"], min(s, o), max(s, o), s, *own) for o in range(r["slots"])]
+            columns = list(zip(*out)) or [()] * 6
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["share", "a", "b", "slot", "least", "words"])
+
+    return run
+
+
+def _shares(tries: Tries, count: int, per_turn: int, total: int | None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        every = pdf[[f"w{k}" for k in range(count)]].to_numpy().view(np.uint64)
-        least, slots = pdf["least"].to_numpy(), pdf["slot"].to_numpy()
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for (turn, left, right), k in pdf.groupby(["turn", "a", "b"]).indices.items():
-            v = tries.values(every[k], int(turn))
-            order = np.lexsort((v, slots[k]))
-            v, k = v[order], k[order]
-            join = _Join(v, tries.budget, every[k], total)
-            front = v >> np.uint64(BITS - tries.depth)
-            cut = len(v) if left == right else int(np.searchsorted(slots[k], right))
-            low = np.flatnonzero(np.concatenate(([True], front[1:cut] != front[: cut - 1]))) if cut else np.zeros(0, np.int64)
-            high = np.append(low[1:], cut)[: len(low)]
-            if left == right:
-                pairs = np.stack([low, high, low, high, np.zeros(len(low), np.int64)])
-            else:
-                first = cut + np.searchsorted(front[cut:], front[low])
-                last = cut + np.searchsorted(front[cut:], front[low], side="right")
-                pairs = np.stack([low, high, first, last, np.zeros(len(low), np.int64)])[:, last > first]
-            join.run(pairs, BITS - tries.depth - 1)
-            far = np.flatnonzero(join.label != np.arange(len(v)))
-            out.append((least[k[far]], least[k[join.label[far]]]))
-        return pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([x for _, x in out])})
+        turn, left, right = int(pdf["share"].iloc[0]) // per_turn, int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
+        least = np.frombuffer(b"".join(pdf["least"]), np.int64)
+        words = np.frombuffer(b"".join(pdf["words"]), np.uint64).reshape(-1, count)
+        slot = np.repeat(pdf["slot"].to_numpy(), [len(x) // 8 for x in pdf["least"]])
+        v = tries.values(words, turn)
+        order = np.lexsort((least, v, slot))
+        v, least, slot = v[order], least[order], slot[order]
+        join = _Join(v, tries.budget, words[order], total)
+        front = v >> np.uint64(BITS - tries.depth)
+        cut = len(v) if left == right else int(np.searchsorted(slot, right))
+        low = np.flatnonzero(np.concatenate(([True], front[1:cut] != front[: cut - 1]))) if cut else np.zeros(0, np.int64)
+        high = np.append(low[1:], cut)[: len(low)]
+        if left == right:
+            pairs = np.stack([low, high, low, high, np.zeros(len(low), np.int64)])
+        else:
+            first = cut + np.searchsorted(front[cut:], front[low])
+            last = cut + np.searchsorted(front[cut:], front[low], side="right")
+            pairs = np.stack([low, high, first, last, np.zeros(len(low), np.int64)])[:, last > first]
+        join.run(pairs, BITS - tries.depth - 1)
+        far = np.flatnonzero(join.label != np.arange(len(v)))
+        return pd.DataFrame({"a": least[far], "b": least[join.label[far]]})
 
     return run
 
@@ -243,20 +292,15 @@ def links(classes: DataFrame, budget: int, words: int = 1, total: int | None = N
     components of all links."""
     count = classes.count()
     tries = Tries(budget, count, words)
-    names = [f"w{k}" for k in range(words)]
-    entries = classes.select("least", *names, F.posexplode(F.array(*tries.fronts())).alias("turn", "front"))
-    crowded = entries.groupBy("turn", "front").count().where(F.col("count") > slot_size).select("turn", "front", F.ceil(F.col("count") / slot_size).cast("int").alias("slots"))
+    per_turn = max(1, count // slot_size)
+    dealt = classes.mapInArrow(_dealer(tries, words, per_turn), "share long, n int, least binary, words binary")
+    crowded = dealt.groupBy("share").agg(F.sum("n").alias("n")).where(F.col("n") > 4 * slot_size).select("share", F.ceil(F.col("n") / slot_size).cast("int").alias("slots"))
+    crowded = stored(crowded, "crowded")
     if crowded.isEmpty():
-        entries = entries.withColumns({"slot": F.lit(0), "a": F.lit(0), "b": F.lit(0)})
+        entries = dealt.select("share", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("slot"), "least", "words")
     else:
-        entries = entries.join(crowded, ["turn", "front"], "left").withColumn("slots", F.coalesce("slots", F.lit(1)))
-        entries = entries.withColumn("slot", F.when(F.col("slots") > 1, F.pmod(F.xxhash64(*names), F.col("slots")).cast("int")).otherwise(F.lit(0)))
-        entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
-        entries = entries.withColumns({"a": F.least("slot", "other"), "b": F.greatest("slot", "other")})
-    # light nodes fill shares of about SLOT entries; each pair of slots of a crowded node has its own share
-    shares = max(64, count * len(tries.turns) // SLOT)
-    share = F.when(F.col("b") == 0, F.pmod(F.xxhash64("turn", "front"), F.lit(shares))).otherwise(F.xxhash64("turn", "front", "a", "b"))
-    return entries.select("least", *names, "turn", "slot", "a", "b", share.alias("share")).groupBy("share").applyInPandas(_shares(tries, words, total), "a long, b long")
+        entries = dealt.join(crowded, "share", "left").select("share", "slots", "least", "words").mapInArrow(_splitter(words), "share long, a int, b int, slot int, least binary, words binary")
+    return entries.groupBy("share", "a", "b").applyInPandas(_shares(tries, words, per_turn, total), "a long, b long")
 
 
 def _components(docs: DataFrame, size: int, budget: int, words: int, total: int | None) -> DataFrame:
@@ -278,7 +322,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, budget: int = 4) -> DataFram
     return _components(docs, size, budget, 1, None).select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def without_near_copies(docs: DataFrame, size: int = 5, budget: int = 6, words: int = 4, total: int = 42) -> DataFrame:
+def without_near_copies(docs: DataFrame, size: int = 5, budget: int = 8, words: int = 4, total: int = 42) -> DataFrame:
     """The rows of docs, with all their columns, of the documents with the least doc_id of their groups.
 
     Shingles have five words. Of words * 64 bits, two documents with a Jaccard similarity of 0.8 differ
