@@ -280,8 +280,11 @@ def _shares(tries: Tries, count: int, per_turn: int, total: int | None):
             last = cut + np.searchsorted(front[cut:], front[low], side="right")
             pairs = np.stack([low, high, first, last, np.zeros(len(low), np.int64)])[:, last > first]
         join.run(pairs, BITS - tries.depth - 1)
-        far = np.flatnonzero(join.label != np.arange(len(v)))
-        return pd.DataFrame({"a": least[far], "b": least[join.label[far]]})
+        root = least.copy()  # the least id of each component: other shares then name the same edges
+        np.minimum.at(root, join.label, least)
+        root = root[join.label]
+        far = root < least
+        return pd.DataFrame({"a": least[far], "b": root[far]})
 
     return run
 
