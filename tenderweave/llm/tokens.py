@@ -28,36 +28,61 @@ from .common import fresh_path, stored
 LENGTH = 2048
 CACHE_WORDS = 400_000
 FILE_BYTES = 32 << 20
+TEXTS = 128
 
-_PLAIN = re.compile(rb"([A-Za-z]+)([!-&(-/:;=?@\[-`{}~]+)")  # no digit, apostrophe, < or |: the parts tokenise apart
+#: Letters that normal form C leaves alone and lower-cases one by one, then ASCII signs but for ' < and |: the parts tokenise apart.
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*)([!-&(-/:;=?@\[-`{}~]*)")
 
 
-class WordEncoder(dict):
+class WordEncoder:
     """Ids of whitespace-separated words, as bytes. The tokenizer never joins anything across white
-    space, so a text's ids are those of its words one after the other. Forgets all at CACHE_WORDS."""
+    space, so a text's ids are those of its words one after the other. Unknown words of several texts
+    are tokenised in one call. Forgets all at CACHE_WORDS."""
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
-
-    def __missing__(self, word: bytes) -> bytes:
-        if m := _PLAIN.fullmatch(word):
-            ids = self.raw(m[1].lower()) + self.raw(m[2])
-        else:
-            ids = self.raw(word)
-        self[word] = ids
-        return ids
-
-    def raw(self, word: bytes) -> bytes:
-        if (ids := self.get(word)) is None:
-            ids = self[word] = np.array(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids, self.dtype).tobytes()
-        return ids
-
-    def encode(self, text: str | None) -> bytes:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        return b"".join(map(self.__getitem__, text.encode("utf-8").split())) if text else b""
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {b"": b""}
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        split = [t.encode("utf-8").split() if t else [] for t in texts]
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        if len(self.parts) > CACHE_WORDS:
+            self.parts = {b"": b""}
+        if missing := set().union(*split).difference(self.words):
+            self._learn(missing)
+        known = self.words.__getitem__
+        return [b"".join(map(known, words)) for words in split]
+
+    def _learn(self, words: set[bytes]) -> None:
+        plain, odd = [], []
+        for w in words:
+            if m := _PLAIN.fullmatch(w):
+                plain.append((w, m[1].decode("utf-8").lower().encode("utf-8"), m[2]))
+            else:
+                odd.append(w)
+        new = list({p for _, *two in plain for p in two}.difference(self.parts))
+        for k in range(0, len(new), 4096):
+            self._learn_parts(new[k : k + 4096])
+        for w, letters, signs in plain:
+            self.words[w] = self.parts[letters] + self.parts[signs]
+        for w, e in zip(odd, self.tokenizer.encode_batch([w.decode("utf-8") for w in odd], add_special_tokens=False)):
+            self.words[w] = np.array(e.ids, self.dtype).tobytes()
+
+    def _learn_parts(self, parts: list[bytes]) -> None:
+        """Each part is one word to the tokenizer, so one text of them all gives the ids of each."""
+        e = self.tokenizer.encode(b" ".join(parts).decode("utf-8"), add_special_tokens=False)
+        ids, word = np.array(e.ids, self.dtype), np.array(e.word_ids, np.int64)
+        bounds = np.searchsorted(word, np.arange(len(parts) + 1)).tolist()
+        if len(word) and word[-1] != len(parts) - 1:  # never seen: a part that is several words, or none
+            for p in parts:
+                self.parts[p] = np.array(self.tokenizer.encode(p.decode("utf-8"), add_special_tokens=False).ids, self.dtype).tobytes()
+            return
+        for p, a, b in zip(parts, bounds, bounds[1:]):
+            self.parts[p] = ids[a:b].tobytes()
 
 
 _encoders: dict[tuple[str, str], WordEncoder] = {}
@@ -125,13 +150,15 @@ def _writer(folder: str, path: str, end_id: int, length: int, dtype: str):
             return pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[1]]), pa.array([part]), pa.array([nth]), pa.array([size // item], pa.int64()), pa.array([len(ids)], pa.int64())], ["file", "part", "nth", "n_tokens", "n_docs"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids.append(doc_id)
-                parts.append(words.encode(text.as_py()) + end)
-                size += len(parts[-1])
-                if size >= FILE_BYTES:
-                    yield flush()
-                    ids, parts, size = [], [], 0
+            for first in range(0, len(batch), TEXTS):
+                some = batch.slice(first, TEXTS)
+                for doc_id, encoded in zip(some.column("doc_id").to_pylist(), words.encode(some.column("text").to_pylist())):
+                    ids.append(doc_id)
+                    parts.append(encoded + end)
+                    size += len(parts[-1])
+                    if size >= FILE_BYTES:
+                        yield flush()
+                        ids, parts, size = [], [], 0
         if ids:
             yield flush()
 
