@@ -18,6 +18,7 @@ link needs a total distance within `total` as well: more bits tell a similarity
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .graph import components
+from .jaccard import similar
 
 BITS = 64
 SEED = 42
@@ -325,13 +327,15 @@ def near_duplicates(docs: DataFrame, size: int = 4, budget: int = 4) -> DataFram
     return _components(docs, size, budget, 1, None).select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def without_near_copies(docs: DataFrame, size: int = 5, budget: int = 8, words: int = 4, total: int = 42) -> DataFrame:
+def without_near_copies(docs: DataFrame, size: int = 5) -> DataFrame:
     """The rows of docs, with all their columns, of the documents with the least doc_id of their groups.
 
-    Shingles have five words. Of words * 64 bits, two documents with a Jaccard similarity of 0.8 differ
-    in about 15 of 100, so total = 42 of 256 lies just above that. Of rows that repeat a doc_id one stays.
-    Else as near_duplicates().
+    Two documents link if their sets of shingles of size words have a Jaccard similarity of 0.8 or more,
+    exactly; groups are the components of all links. Fingerprints don't take part: the Hamming distance
+    of 256 bits that keeps all pairs of 0.8 is too wide for tries. Of rows that repeat a doc_id one
+    stays. A null text is one without words; such texts are copies of each other. No documents: no rows.
     """
-    found = stored(_components(docs, size, budget, words, total).where("doc_id = component_id").groupBy("doc_id").count(), "firsts")
-    out = docs.join(found.select(F.col("doc_id").alias("__first")), docs["doc_id"] == F.col("__first"), "left_semi")
-    return out if found.where("count > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs = stored(docs.dropDuplicates(["doc_id"]), "documents")
+    later = stored(components(similar(docs, partial(shingle_hashes, size=size))).where("node <> root").select(F.col("node").alias("__later")), "later")
+    return docs.join(later, docs["doc_id"] == F.col("__later"), "left_anti")
