@@ -45,6 +45,10 @@ BAD = frozenset(
 )
 
 
+#: A reference of more digits than int() takes; eight of them are beyond all characters already.
+_LONG = re.compile("&#(?=[0-9]{1000})0*([0-9]{1,8})[0-9]*")
+
+
 class _Dom(HTMLParser):
     """Block nodes in page order; node 0 is the page. parts: (node, text) in page order."""
 
@@ -56,6 +60,10 @@ class _Dom(HTMLParser):
         self.mute = self.links = 0
         self.fresh = True
 
+    def parse_html_declaration(self, i):
+        """A marked section ends at the next > like any unknown declaration, as in HTML5; the parser's own raises on unknown names."""
+        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
+
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P:
             self._close(("p",), ("table", "td", "th"))
@@ -126,11 +134,8 @@ class Page:
 
     def __init__(self, html: str | None):
         dom = _Dom()
-        try:
-            dom.feed(html or "")
-            dom.close()
-        except (AssertionError, ValueError):  # malformed declarations: what was read so far counts
-            pass
+        dom.feed(_LONG.sub(r"&#\1", html or ""))
+        dom.close()
         self.tag, self.parent, self.tokens = dom.tag, dom.parent, dom.tokens
         self.blocks = [(node, text) for node, raw in dom.parts if (text := " ".join(raw.split()))]
         n = len(self.tag)

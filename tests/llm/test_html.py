@@ -80,3 +80,12 @@ def test_no_training_pages(spark):
     assert train([]) is None
     rows = [(1, "u", f"<body>{NAV}<div><p>{words(1, 30)}</p></div>{FOOT}")]
     assert [r.text for r in extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()] == [words(1, 30)]
+
+
+def test_marked_sections_cost_no_text():
+    for odd in ("<![foo]>", "<![]>", "<![ ]>", "<![if !IE]>", "<![endif]>", "<![endif]-->", "<![CDATA[x]]>", "<![1[a]>", "<![foo\n bar[ ]]>"):
+        p = Page(f"<p>one</p>{odd}<p>two</p><p>three</p>")
+        assert [t for _, t in p.blocks] == ["one", "two", "three"], odd
+    assert [t for _, t in Page("<p>one</p><![foo").blocks][0] == "one"
+    long = Page(f"<p>a&#{'9' * 6000};b</p><p>c&#{'0' * 6000}65;</p><p>d</p>")
+    assert [t for _, t in long.blocks] == ["a\ufffdb", "cA", "d"]
