@@ -8,13 +8,16 @@ variants in which those elements are anonymous or only named by class, and with
 comments and the like put in, so that the model leans on more than one clue.
 
 Decoding picks for each subtree the best of: keep all of it, drop all of it, or go on to the children
-one by one. A node that is kept or dropped whole has no descendant that says otherwise.
+one by one. A node that is kept or dropped whole has no descendant that says otherwise. Going on costs
+a share of what there is to decide, so a short menu beside a long article is still told apart; a
+navigation, footer, aside or form of negative odds is never kept with what is around it.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -25,9 +28,10 @@ from pyspark.sql import functions as F
 
 from .boosting import Trees
 
-TRAIN_PAGES = 300
+TRAIN_PAGES = 150
 TRAIN_CHARS = 200_000
 SPLIT_COST = 30.0
+SPLIT_SHARE = 0.02
 BATCH_NODES = 20_000
 
 # HTML element names and usual words of class names.
@@ -45,6 +49,11 @@ BAD = frozenset(
 )
 
 
+PARTS = frozenset("nav footer aside form".split())
+CUES = frozenset("comment comments reply replies says ago posted share tweet subscribe newsletter cookie cookies copyright reserved menu home login register search related advertisement sponsored privacy terms contact".split())
+
+_NONE: frozenset[str] = frozenset()
+
 #: A reference of more digits than int() takes; eight of them are beyond all characters already.
 _LONG = re.compile("&#(?=[0-9]{1000})0*([0-9]{1,8})[0-9]*")
 
@@ -54,9 +63,11 @@ class _Dom(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.tag, self.parent, self.tokens, self.hidden, self.tags, self.link = ["html"], [-1], [frozenset()], [False], [1], [0]
-        self.parts: list[tuple[int, str]] = []
+        self.tag, self.parent, self.tokens, self.hidden, self.tags, self.link = ["html"], [-1], [_NONE], [False], [1], [0]
+        self.marked = [False]
+        self.parts: list[tuple[int, list[str]]] = []
         self.stack: list[tuple[str, int]] = [("", 0)]  # inline elements stand with their block
+        self.open: Counter[str] = Counter()  # names on the stack: most closing tags need no look at it
         self.mute = self.links = 0
         self.fresh = True
 
@@ -80,11 +91,13 @@ class _Dom(HTMLParser):
         if tag in UNSEEN:
             self.mute += 1
         elif tag not in INLINE:
-            own = dict(attrs)
             self.tag.append(tag)
             self.parent.append(node)
-            self.tokens.append(frozenset(re.findall(r"[a-z]+", " ".join(own.get(k) or "" for k in ("class", "id", "role", "itemprop", "aria-label")).lower())))
-            self.hidden.append("hidden" in own or own.get("aria-hidden") == "true" or "display:none" in (own.get("style") or "").replace(" ", ""))
+            own = dict(attrs) if attrs else {}
+            named = " ".join(own.get(k) or "" for k in ("class", "id", "role", "itemprop", "aria-label")) if own else ""
+            self.marked.append("data-part" in own)
+            self.tokens.append(frozenset(re.findall(r"[a-z]+", named.lower())) if named.strip() else _NONE)
+            self.hidden.append(bool(own) and ("hidden" in own or own.get("aria-hidden") == "true" or "display:none" in (own.get("style") or "").replace(" ", "")))
             self.tags.append(1)
             self.link.append(0)
             node = len(self.tag) - 1
@@ -92,17 +105,21 @@ class _Dom(HTMLParser):
         if tag == "a":
             self.links += 1
         self.stack.append((tag, node))
+        self.open[tag] += 1
 
     def handle_endtag(self, tag):
         self._close((tag,), ())
 
     def _close(self, names, scopes):
         """Closes the innermost open element of these names, unless one of scopes comes first."""
+        if not any(self.open[name] for name in names):
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][0] in scopes:
                 return
             if self.stack[k][0] in names:
                 for name, _ in self.stack[k:]:
+                    self.open[name] -= 1
                     self.mute -= name in UNSEEN
                     self.links -= name == "a"
                     self.fresh |= name not in INLINE
@@ -116,11 +133,10 @@ class _Dom(HTMLParser):
 
     def _text(self, data):
         if self.fresh or not self.parts:
-            self.parts.append((self.stack[-1][1], data))
+            self.parts.append((self.stack[-1][1], [data]))
             self.fresh = False
         else:
-            node, before = self.parts[-1]
-            self.parts[-1] = (node, before + data)
+            self.parts[-1][1].append(data)
 
     def handle_data(self, data):
         if not self.mute:
@@ -129,83 +145,99 @@ class _Dom(HTMLParser):
                 self.link[self.stack[-1][1]] += len(data.strip())
 
 
+#: Columns of the features behind the one for each of KINDS.
+STATS = ("good", "bad", "hidden", "depth", "size", "own", "density", "links", "stops", "paragraphs", "share", "before", "siblings", "place", "alike", "of_most", "of_parent", "children", "cues", "heading_cues", "up_good", "up_bad")
+_COLUMN = {name: len(KINDS) + k for k, name in enumerate(STATS)}
+_KIND = {name: k for k, name in enumerate(KINDS)}
+
+
 class Page:
-    """The tree of a page, its blocks of text, and the features of its nodes."""
+    """The tree of a page, its blocks of text, and the features of its nodes. Time and memory grow with the page's length."""
 
     def __init__(self, html: str | None):
         dom = _Dom()
         dom.feed(_LONG.sub(r"&#\1", html or ""))
         dom.close()
-        self.tag, self.parent, self.tokens = dom.tag, dom.parent, dom.tokens
-        self.blocks = [(node, text) for node, raw in dom.parts if (text := " ".join(raw.split()))]
+        self.tag, self.parent, self.tokens, self.marked = dom.tag, dom.parent, dom.tokens, dom.marked
+        self.blocks = [(node, text) for node, raw in dom.parts if (text := " ".join("".join(raw).split()))]
         n = len(self.tag)
-        self.own = [0] * n
-        ends = [0] * n
+        own, stops, cues, heading, before = [0] * n, [0] * n, [0] * n, [0] * n, [-1] * n
+        seen = last = 0
         for node, text in self.blocks:
-            self.own[node] += len(text)
-            ends[node] += sum(map(text.count, ".!?"))
-        self.size, tags, link, stops, paragraphs = list(self.own), list(dom.tags), list(dom.link), ends, [int(t == "p") for t in self.tag]
-        depth = [0] * n
-        for i in range(1, n):
-            depth[i] = depth[self.parent[i]] + 1
-        for i in range(n - 1, 0, -1):
-            p = self.parent[i]
-            for x in (self.size, tags, link, stops, paragraphs):
-                x[p] += x[i]
-        children: list[list[int]] = [[] for _ in range(n)]
-        for i in range(1, n):
-            children[self.parent[i]].append(i)
-        self.children = children
-        total = max(1, self.size[0])
-        before, rows, seen = [0] * n, [], 0
-        at = iter(self.blocks)
-        first: dict[int, int] = {}
-        for node, text in at:
+            own[node] += len(text)
+            stops[node] += text.count(".") + text.count("!") + text.count("?")
+            if len(text) < 200:  # a cue in a long paragraph says nothing
+                cues[node] += sum(w in CUES for w in re.findall(r"[a-z]+", text.lower()))
             k = node
-            while k >= 0 and k not in first:
-                first[k] = seen
+            while k >= 0 and before[k] < 0:
+                before[k], heading[k] = seen, last
                 k = self.parent[k]
+            if self.tag[node] in ("h1", "h2", "h3", "h4"):
+                last = cues[node]
             seen += len(text)
-        for i in range(n):
-            before[i] = first.get(i, seen)
-            siblings = children[self.parent[i]] if i else [0]
-            alike = sum(self.tag[s] == self.tag[i] for s in siblings)
-            most = max(self.size[s] for s in siblings)
-            size = self.size[i]
-            good, bad = len(self.tokens[i] & GOOD), len(self.tokens[i] & BAD)
-            rows.append(
-                [
-                    float(self.tag[i] == k) for k in KINDS
-                ]
-                + [
-                    good, bad, dom.hidden[i], depth[i], np.log1p(size), np.log1p(self.own[i]), size / tags[i], link[i] / max(1, size), 100 * stops[i] / max(1, size), paragraphs[i], size / total,
-                    before[i] / total, len(siblings), siblings.index(i) / len(siblings), alike / len(siblings), size / max(1, most), size / max(1, self.size[self.parent[i]] if i else size), len(children[i]),
-                ]
-            )
-        # a child of a named part shares its clue
+        self.own, self.size = own, list(own)
+        tags, link, paragraphs, depth = list(dom.tags), list(dom.link), [int(t == "p") for t in self.tag], [0] * n
+        self.children = children = [[] for _ in range(n)]
         for i in range(1, n):
+            children[self.parent[i]].append(i)
+            depth[i] = depth[self.parent[i]] + 1
+        for i in range(n - 1, 0, -1):
             p = self.parent[i]
-            rows[i] += [rows[p][len(KINDS)], rows[p][len(KINDS) + 1]]
-        rows[0] += [0, 0]
-        self.features = np.array(rows, np.float64)
+            for x in (self.size, tags, link, stops, paragraphs, cues):
+                x[p] += x[i]
+        count, place, alike, most = [1] * n, [0] * n, [1] * n, list(self.size)
+        for some in children:
+            if len(some) < 2:
+                continue
+            names = Counter(self.tag[k] for k in some)
+            top = max(self.size[k] for k in some)
+            for j, k in enumerate(some):
+                count[k], place[k], alike[k], most[k] = len(some), j, names[self.tag[k]], top
+        up = np.array([0, *self.parent[1:]])
+        size, total = np.array(self.size, np.float64), max(1, self.size[0])
+        good, bad = (np.array([len(t & known) if t else 0 for t in self.tokens], np.float64) for known in (GOOD, BAD))
+        column = lambda x: np.array(x, np.float64)
+        stats = (
+            good, bad, column(dom.hidden), column(depth), np.log1p(size), np.log1p(column(own)), size / column(tags), column(link) / np.maximum(1, size), 100 * column(stops) / np.maximum(1, size), column(paragraphs), size / total,
+            np.where(column(before) < 0, seen, column(before)) / total, column(count), column(place) / column(count), column(alike) / column(count), size / np.maximum(1, column(most)), size / np.maximum(1, size[up]),
+            column([len(c) for c in children]), 100 * column(cues) / np.maximum(20, size), column(heading), np.where(np.arange(n) > 0, good[up], 0), np.where(np.arange(n) > 0, bad[up], 0),
+        )
+        self.features = np.zeros((n, len(KINDS) + len(STATS)))
+        for i, t in enumerate(self.tag):
+            if t in _KIND:
+                self.features[i, _KIND[t]] = 1
+        self.features[:, len(KINDS) :] = np.stack(stats, axis=1)
+
+    def choices(self, odds: np.ndarray) -> list[int]:
+        """The best consistent choice for each subtree: 1 keep it, -1 drop it, 0 go on to the children.
+
+        To keep or drop a subtree is worth its nodes' odds, weighted by their own text; to go on the
+        node's own text decided for itself, and the children's best choices, less the cost of going
+        on. A part of negative odds can't be kept, nor can anything around it as a whole.
+        """
+        n = len(self.tag)
+        whole, best, how, pure = [0.0] * n, [0.0] * n, [0] * n, [True] * n
+        for i in range(n - 1, -1, -1):
+            s, some = float(odds[i]), self.children[i]
+            if self.size[i]:
+                pure[i] = all(pure[c] for c in some) and not (self.tag[i] in PARTS and s <= 0)
+            whole[i] = (self.own[i] + 20 * (self.size[i] > 0)) * s + sum(whole[c] for c in some)
+            one = max(-whole[i], whole[i]) if pure[i] else -whole[i]
+            best[i], how[i] = one, 1 if pure[i] and whole[i] > 0 else -1
+            if some:
+                worth = self.own[i] * abs(s) + sum(best[c] for c in some)
+                split = worth - min(SPLIT_COST, SPLIT_SHARE * abs(worth))
+                if split > one:
+                    best[i], how[i] = split, 0
+        return how
 
     def decode(self, odds: np.ndarray) -> list[bool]:
         """Whether each node's own text is kept."""
-        n = len(self.tag)
-        whole, best, how = [0.0] * n, [0.0] * n, [0] * n
-        for i in range(n - 1, -1, -1):
-            s = float(odds[i])
-            seen = self.size[i] > 0
-            whole[i] = (self.own[i] + 20 * seen) * s + sum(whole[c] for c in self.children[i])
-            split = self.own[i] * abs(s) + sum(best[c] for c in self.children[i]) - SPLIT_COST
-            best[i], how[i] = max((abs(whole[i]), 1 if whole[i] > 0 else -1), (split, 0 if self.children[i] else -2))
-            if how[i] == -2:
-                best[i], how[i] = abs(whole[i]), 1 if whole[i] > 0 else -1
-        kept, state = [False] * n, [0] * n
-        for i in range(n):
-            up = state[self.parent[i]] if i else 0
-            state[i] = up or how[i]
-            kept[i] = state[i] > 0 or (state[i] == 0 and odds[i] > 0)
+        how, kept = self.choices(odds), [False] * len(self.tag)
+        for i in range(len(how)):
+            if i and how[self.parent[i]]:
+                how[i] = how[self.parent[i]]
+            kept[i] = how[i] > 0 or (how[i] == 0 and odds[i] > 0)
         return kept
 
     def text(self, odds: np.ndarray) -> str:
@@ -213,69 +245,105 @@ class Page:
         return "\n\n".join(text for node, text in self.blocks if kept[node])
 
 
+def _other(page: Page, i: int) -> bool:
+    """Whether a node is a part that is no article's: by its name, its classes, or as a variant put it in."""
+    return page.tag[i] in ("nav", "footer", "aside", "form", "header") or page.marked[i] or bool(page.tokens[i] & BAD)
+
+
 def _truth(page: Page) -> list[int]:
     """Of a page with marked articles: 1 inside, 0 outside or in a marked other part, -1 for nodes that hold both."""
     n = len(page.tag)
-    inside = [0] * n
+    inside, other = [0] * n, [False] * n
     for i in range(n):
         up = inside[page.parent[i]] if i else 0
-        if page.tag[i] in ("nav", "footer", "aside", "form", "header") or page.tokens[i] & BAD:
-            up = 0
-        elif page.tag[i] in ("article", "main") and not (i and _bad_above(page, i)):
-            up = 1
-        inside[i] = up
+        other[i] = _other(page, i) or bool(i and other[page.parent[i]])
+        inside[i] = 0 if other[i] else 1 if page.tag[i] in ("article", "main") else up
     good = [page.own[i] * inside[i] for i in range(n)]
     for i in range(n - 1, 0, -1):
         good[page.parent[i]] += good[i]
     return [-1 if not page.size[i] or 0 < good[i] < page.size[i] else int(good[i] > 0) for i in range(n)]
 
 
-def _bad_above(page: Page, i: int) -> bool:
-    while (i := page.parent[i]) >= 0:
-        if page.tag[i] in ("nav", "footer", "aside", "form", "header") or page.tokens[i] & BAD:
-            return True
-    return False
-
-
-def _variants(html: str, other: str, rng: random.Random) -> Iterator[tuple[str, bool]]:
-    """The page as it is, its article alone, and with other parts put in around and inside the article."""
+def _name(rng: random.Random, telling: list[str]) -> str:
+    """A class attribute: telling, neutral, or none."""
+    kind = rng.random()
+    if kind < 0.3:
+        return f' class="{rng.choice(telling)}{rng.choice(["", "-box", " c1"])}"'
+    return f' class="{rng.choice("ckxz")}{rng.randrange(100)}"' if kind < 0.7 else ""
+
+
+def _reader_comments(some, rng: random.Random) -> str:
+    """A list of like parts: a name, a short text, sometimes a heading and links to reply."""
+    tag, inner, reply = rng.choice(["div", "li", "section"]), rng.choice(["p", "div"]), rng.random() < 0.5
+    name = _name(rng, ["comment", "reply"])
+    one = lambda: f"<{tag}{name}><{inner}>{some(rng.randrange(1, 3))}</{inner}><p>{some(rng.randrange(2, 45))}</p>" + ("<a href='#'>Reply</a>" if reply else "") + f"</{tag}>"
+    alone = lambda: f"<{tag}{name}><p>{some(rng.randrange(2, 45))}</p></{tag}>"
+    head = rng.choice(["", "", f"<h3>{rng.choice(['Comments', '3 comments', 'Replies', some(1)])}</h3>"])
+    return head + "".join(rng.choice([one, alone])() for _ in range(rng.randrange(2, 7)))
+
+
+def _sections(html: str, rng: random.Random) -> str:
+    """The page with its article's paragraphs in neutral containers of several each."""
+    m = re.search(r"(?is)<(article|main)(?=[ >]).*</\1>", html)
+    if not m:
+        return html
+    pieces = re.split(r"(?i)(?=<p[ >])", m[0])
+    out, k = pieces[0], 1
+    while k < len(pieces):
+        step = rng.randrange(2, 6)
+        body, end = "".join(pieces[k : k + step]), ""
+        if k + step >= len(pieces):
+            body, end = body[: body.rindex("</")], body[body.rindex("</") :]
+        out += f"<div{_name(rng, ['section'])}>{body}</div>{end}"
+        k += step
+    return html[: m.start()] + out + html[m.end() :]
+
+
+def _variants(html: str, other: str, rng: random.Random) -> Iterator[str]:
+    """The page as it is, its article alone or in sections, and with other parts put in around and inside the article."""
     yield html
     if alone := re.search(r"(?is)<(article|main)[ >].*</\1>", html):
         yield alone[0]
     words = re.sub(r"<[^>]*>", " ", other).split() or ["text"]
     some = lambda n: " ".join(words[(k := rng.randrange(len(words))) : k + n])
     bad = sorted(BAD)
-    for inside in (False, True):
-        part = "".join(
-            f'<{tag} class="{rng.choice(bad)}{rng.choice(["", "-box", " c1"])}">{body}</{tag}>'
-            for tag, body in (
-                (rng.choice(["div", "aside", "section"]), f"<p>{some(rng.randrange(3, 60))}</p>" * rng.randrange(1, 4)),
-                (rng.choice(["form", "div"]), f"<div>{some(3)}</div><div>{some(2)}</div>"),
-                (rng.choice(["div", "ul"]), "".join(f'<li><a href="#">{some(2)}</a></li>' for _ in range(rng.randrange(2, 9)))),
-            )
-        )
-        if inside:
-            yield re.sub(r"(?i)</article>", lambda m: part + m[0], html, count=1)
+    link = lambda: f'<a href="#">{rng.choice([some(1), some(2), "Home", "Menu"])}</a>'
+    parts = [
+        ("text", lambda: f"<p>{some(rng.randrange(3, 60))}</p>" * rng.randrange(1, 4)),
+        ("form", lambda: f"<div>{some(3)}</div><div>{some(2)}</div>"),
+        ("menu", lambda: "".join(f"<li>{link()}</li>" for _ in range(rng.randrange(1, 9)))),
+        ("nav", lambda: " ".join(link() for _ in range(rng.randrange(1, 6)))),
+        ("comments", lambda: _reader_comments(some, rng)),
+    ]
+    tags = {"text": ["div", "aside", "section"], "form": ["form", "div"], "menu": ["div", "ul", "nav"], "nav": ["nav", "div"], "comments": ["div", "section", "ol"]}
+    for place in ("inside", "before", "after"):
+        put = ""
+        for kind, body in rng.sample(parts, 3 if place != "after" else 2) + ([parts[4]] if place == "after" else []):
+            tag = rng.choice(tags[kind])
+            telling = _name(rng, bad) if kind != "text" or place != "inside" else f' class="{rng.choice(bad)}"'
+            put += f'<{tag} data-part="1"{telling}>{body()}</{tag}>'
+        base = _sections(html, rng) if rng.random() < 0.4 else html
+        if place == "before":
+            yield re.sub(r"(?i)<article|<main", lambda m: put + m[0], base, count=1)
         else:
-            yield re.sub(r"(?i)<article|<main", lambda m: part + m[0], html, count=1)
+            yield re.sub(r"(?i)</article>|</main>", lambda m: put + m[0] if place == "inside" else m[0] + put, base, count=1)
 
 
 def _anonymous(page: Page, rng: random.Random) -> None:
-    """Takes the names of article elements, and maybe gives a telling class."""
+    """Takes the names of article elements and of other parts, and maybe gives a telling class."""
+
+    def rename(i: int, new: str, clue: str, telling: bool) -> None:
+        page.features[i, _KIND[page.tag[i]]] = 0
+        page.features[i, _KIND[new]] = 1
+        page.features[i, _COLUMN[clue]] = telling
+        for c in page.children[i]:
+            page.features[c, _COLUMN[f"up_{clue}"]] = telling
+
     for i, tag in enumerate(page.tag):
         if tag in ("article", "main"):
-            page.features[i, KINDS.index(tag)] = 0
-            page.features[i, KINDS.index(rng.choice(["div", "section"]))] = 1
-            good = rng.random() < 0.5
-            page.features[i, len(KINDS)] = good
-            for c in page.children[i]:
-                page.features[c, -2] = good
+            rename(i, rng.choice(["div", "section"]), "good", rng.random() < 0.4)
         elif tag in ("nav", "footer", "aside", "header") and rng.random() < 0.7:
-            page.features[i, KINDS.index(tag)] = 0
-            page.features[i, KINDS.index("div")] = 1
-            page.features[i, len(KINDS) + 1] = 1
-            for c in page.children[i]:
-                page.features[c, -1] = 1
+            rename(i, "div", "bad", rng.random() < 0.5)
 
 
 def train(pages: list[str]) -> Trees | None:
@@ -298,9 +366,9 @@ def train(pages: list[str]) -> Trees | None:
 
 def _by_hand(x: np.ndarray) -> np.ndarray:
     """Odds without a model: paragraphs speak for, named other parts and links against."""
-    k = len(KINDS)
-    bad = x[:, k + 1] + x[:, -1] + sum(x[:, KINDS.index(t)] for t in ("nav", "header", "footer", "aside", "form"))
-    return 1.0 + 2 * x[:, k] - 4 * bad - 3 * x[:, k + 7]
+    at = lambda name: x[:, _COLUMN[name]]
+    bad = at("bad") + at("up_bad") + sum(x[:, _KIND[t]] for t in ("nav", "header", "footer", "aside", "form"))
+    return 1.0 + 2 * at("good") - 4 * bad - 3 * at("links")
 
 
 def _extractor(model: Trees | None):
@@ -325,14 +393,27 @@ def _extractor(model: Trees | None):
     return run
 
 
+def sampled(pages: DataFrame, sample: int) -> list[str]:
+    """The first `sample` different pages by hash that mark their article and aren't over TRAIN_CHARS long.
+
+    First only hashes are ranked, then the pages of those hashes are fetched: the driver gets `sample`
+    pages at most, however many tasks read the table.
+    """
+    marked = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.length("html") <= TRAIN_CHARS)).select("html", F.xxhash64("html").alias("h"))
+    last = marked.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    return [r[0] for r in marked.where(F.col("h") <= last).groupBy("h").agg(F.first("html").alias("html")).orderBy("h").select("html").collect()]  # a bounded sample
+
+
 def extracted(pages: DataFrame, sample: int = TRAIN_PAGES) -> DataFrame:
     """Per page: page_id, url, text, n_chars.
 
     pages has page_id, url and html; other columns don't matter. A null or empty html has the empty
     text. Text outside all elements is a block of the page's. The model is trained on the first
     `sample` pages by hash that have an article or main element and at most TRAIN_CHARS characters;
-    without such pages a fixed formula takes its place. Repeated rows give a row each; no pages: no rows.
+    without such pages a fixed formula takes its place. Pages of any length are read whole, in time
+    that grows with their length. Nodes of even odds go. Repeated rows give a row each; no pages: no rows.
     """
-    marked = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.length("html") <= TRAIN_CHARS)).orderBy(F.xxhash64("page_id", "html")).select("html").limit(sample)
-    model = train([r[0] for r in marked.collect()])  # a bounded sample
+    model = train(sampled(pages, sample))
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_extractor(model), "page_id long, url string, text string, n_chars long")

@@ -1,7 +1,10 @@
+import time
+from itertools import product
+
 import numpy as np
 
 from tenderweave.llm.boosting import Trees
-from tenderweave.llm.html import Page, extracted, train
+from tenderweave.llm.html import PARTS, SPLIT_COST, SPLIT_SHARE, Page, extracted, sampled, train
 
 NAV = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News and more</a></li></ul></nav>'
 FOOT = "<footer>&copy; 2020 The Company. All rights.</footer>"
@@ -35,24 +38,59 @@ def test_trees_learn_a_rule():
     assert ((odds > 0) == y[3000:]).mean() > 0.97
 
 
-def test_children_never_contradict():
-    p = Page("<div><div><p>aaaaaaaaaaaaaaaaaaaaaaaaa</p><p>b</p></div><p>cccccccccccccccccccccccccccccc</p></div>")
-    for seed in range(200):
-        odds = np.random.default_rng(seed).normal(0, 3, len(p.tag))
-        kept = p.decode(odds)
-        whole = [sum((p.own[j] + 20) * odds[j] for j in range(len(p.tag)) if _under(p, j, i)) for i in range(len(p.tag))]
-        if whole[0] == max(map(abs, whole)) and all(o > 0 for o in odds):
-            assert all(kept)
-        if all(o < 0 for o in odds):
-            assert not any(kept)
-
-
-def _under(p, j, i):
-    while j >= 0:
-        if j == i:
-            return True
-        j = p.parent[j]
-    return False
+def _worth(p, odds, choice, i):
+    """Of a labelling of all nodes (1, -1 or 0), by the definition; None if it contradicts itself."""
+    inside = lambda j: [j, *(x for c in p.children[j] for x in inside(c))]
+    if choice[i]:
+        under = inside(i)
+        if any(choice[j] != choice[i] for j in under) or (choice[i] > 0 and any(p.tag[j] in PARTS and p.size[j] and odds[j] <= 0 for j in under)):
+            return None
+        return choice[i] * sum((p.own[j] + 20 * (p.size[j] > 0)) * odds[j] for j in under)
+    if not p.children[i]:
+        return None
+    each = [_worth(p, odds, choice, c) for c in p.children[i]]
+    if None in each:
+        return None
+    worth = p.own[i] * abs(odds[i]) + sum(each)
+    return worth - min(SPLIT_COST, SPLIT_SHARE * abs(worth))
+
+
+def test_decoding_is_the_best_of_all_consistent_labellings():
+    for html in ("<div><div><p>aaaaaaaaaaaaaaaaaaaaaaaaa</p><p>b</p></div><p>cccccccccccccccccccccccccccccc</p></div>", "<nav>home</nav><div>dddddddddd<aside>ee</aside><p>ffffff</p></div><p></p>"):
+        p = Page(html)
+        for seed in range(60):
+            odds = np.random.default_rng(seed).normal(0, 3, len(p.tag))
+            best = max((w, c) for c in product((1, -1, 0), repeat=len(p.tag)) if (w := _worth(p, odds, c, 0)) is not None)
+            how = p.choices(odds)
+            state = list(how)
+            for i in range(1, len(state)):
+                state[i] = state[p.parent[i]] or state[i]
+            assert abs(_worth(p, odds, tuple(state), 0) - best[0]) < 1e-6
+            kept = p.decode(odds)
+            assert all(kept[i] == (state[i] > 0) for i in range(len(kept)) if state[i])
+
+
+def test_wide_deep_and_inline_pages_take_linear_time():
+    for make in (lambda n: "<ul>" + "<li>x y z" * n + "</ul>", lambda n: "<p>" + "<i>x</i> y " * n, lambda n: "<div>" * n + "x" + "</p></div>" * n):
+        took = []
+        for n in (25_000, 100_000):
+            began = time.process_time()
+            p = Page(make(n))
+            p.decode(np.ones(len(p.tag)))
+            took.append(time.process_time() - began)
+        assert took[1] < 12 * took[0] + 1
+
+
+def test_menus_and_comments_without_telling_names():
+    model = train([page(k) for k in range(60)])
+    run = lambda h: (lambda p: p.text(model.score(p.features)))(Page(h))
+    plain = lambda h: h.replace("<nav>", '<div class="k2">').replace("</nav>", "</div>").replace("<article", '<div class="c7"').replace("</article>", "</div>").replace('class="ad"', 'class="k8"')
+    comments = '<div class="k9">' + "".join(f'<div class="k1"><p>Ann {i}</p><p>{words(i, 6 + i)}</p></div>' for i in range(4)) + "</div>"
+    for k in range(70, 80):
+        h = page(k)
+        assert run(plain(h)) == truth(k)
+        assert run(h.replace(NAV, '<nav><a href="/">Home</a></nav>')) == truth(k)
+        assert run(plain(h.replace("</article>", "</article>" + comments))) == truth(k)
 
 
 def test_articles_without_the_rest(spark):
@@ -89,3 +127,11 @@ def test_marked_sections_cost_no_text():
     assert [t for _, t in Page("<p>one</p><![foo").blocks][0] == "one"
     long = Page(f"<p>a&#{'9' * 6000};b</p><p>c&#{'0' * 6000}65;</p><p>d</p>")
     assert [t for _, t in long.blocks] == ["a\ufffdb", "cA", "d"]
+
+
+def test_the_sample_is_bounded_and_has_no_copies(spark):
+    rows = [(k, page(k % 20)) for k in range(100)] + [(500, "<p>no article</p>"), (501, None)]
+    df = spark.createDataFrame(rows, "page_id long, html string").repartition(16)
+    got = sampled(df, 10)
+    assert len(got) == 10 == len(set(got)) and got == sampled(df.repartition(3), 10)
+    assert len(sampled(df, 1000)) == 20
