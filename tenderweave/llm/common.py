@@ -16,9 +16,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the session has none (as in tests)."""
+    """The folder of spark.checkpoint.dir. A local session without one gets one of its own (as in tests); a
+    cluster must name it, as a folder of one machine would lose what its executors write."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tenderweave-')}"
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -48,6 +51,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df has not, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for k in range(len(taken) + 1) if (n := f"{stem}{k or ''}").lower() not in taken)
+
+
 def text_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts: the figure from which the numbers of blocks and buckets follow."""
     return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)

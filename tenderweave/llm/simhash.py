@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_name, stored
 from .graph import components
 from .jaccard import similar
 
@@ -312,30 +312,48 @@ def _components(docs: DataFrame, size: int, budget: int, words: int, total: int
     """(doc_id, w0, ..., component_id), a row for each of docs."""
     names = [f"w{k}" for k in range(words)]
     prints = stored(fingerprints(docs, size, words), "fingerprints")
-    classes = prints.groupBy(*names).agg(F.min("doc_id").alias("least"))
+    classes = prints.groupBy(*names).agg(F.min("doc_id").alias("least")).where("least is not null")
     roots = components(links(classes, budget, words, total))
     of = classes.join(roots, classes["least"] == roots["node"], "left").select(*names, F.coalesce("root", "least").alias("component_id"))
-    return prints.join(of, names)
+    return prints.join(of, names, "left")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, budget: int = 4) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable).
 
     docs has doc_id and text; other columns don't matter. A text without words, or null, has the
-    fingerprint zero and links like any other. Repeated doc_ids give a row each. No documents: no rows.
+    fingerprint zero and links like any other. Texts of any length are read whole. Repeated doc_ids give a
+    row each. A row without doc_id links nothing; its component is that of the rows with its very
+    fingerprint, null if none of them has a doc_id. No documents: no rows.
     """
     return _components(docs, size, budget, 1, None).select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column that numbers its rows by doc_id, and its name: doc_id itself where that is
+    never null and never repeats; else the rows are stored in the order of doc_id and text, nulls last."""
+    key = free_name(docs, "row")
+    doc_id = F.col("doc_id").cast("long")
+    if docs.groupBy(doc_id.alias("doc_id")).count().where("count > 1 or doc_id is null").isEmpty():
+        return docs.withColumn(key, doc_id), key
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [doc_id.asc_nulls_last(), F.col("text").asc_nulls_first()]
+    ordered = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return stored(ordered.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+
+
 def without_near_copies(docs: DataFrame, size: int = 5) -> DataFrame:
     """The rows of docs, with all their columns, of the documents with the least doc_id of their groups.
 
     Two documents link if their sets of shingles of size words have a Jaccard similarity of 0.8 or more,
     exactly; groups are the components of all links. Fingerprints don't take part: the Hamming distance
-    of 256 bits that keeps all pairs of 0.8 is too wide for tries. Of rows that repeat a doc_id one
-    stays. A null text is one without words; such texts are copies of each other. No documents: no rows.
+    of 256 bits that keeps all pairs of 0.8 is too wide for tries. Each row is a document of its own: rows
+    that repeat a doc_id, or have none, link by their texts alone; of a group's rows of one doc_id
+    the one with the least text stays, and rows without doc_id come after all others. A null text is one
+    without words; such texts are copies of each other. Texts of any length are read whole. No documents:
+    no rows.
     """
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = stored(docs.dropDuplicates(["doc_id"]), "documents")
-    later = stored(components(similar(docs, partial(shingle_hashes, size=size))).where("node <> root").select(F.col("node").alias("__later")), "later")
-    return docs.join(later, docs["doc_id"] == F.col("__later"), "left_anti")
+    docs, key = _keyed(docs)
+    roots = components(similar(docs.select(F.col(key).alias("doc_id"), "text"), partial(shingle_hashes, size=size)))
+    later = stored(roots.where("node <> root").select(F.col("node").alias(key)), "later")
+    return docs.join(later, key, "left_anti").drop(key)

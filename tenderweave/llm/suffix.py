@@ -27,10 +27,11 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_bytes
+from .common import free_name, stored, text_bytes
 
 WIDTH = 50
 PERIOD = 21
@@ -281,15 +282,14 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["block", "places", "at", "sizes"])
 
 
-def _kept(docs: pd.DataFrame, gone: pd.DataFrame) -> list[tuple[int, int, int, int, bytes]]:
-    """Of each row of a block: its place in docs, bytes, removed bytes, removed runs, and the bytes that stay."""
+def _kept(ids: list[int], texts: list[str | None], gone: dict[str, list[bytes]]) -> list[tuple[int, int, int, int, bytes]]:
+    """Of each row of a block: its place in ids, bytes, removed bytes, removed runs, and the bytes that stay."""
     places = np.frombuffer(b"".join(gone["places"]), "<u4")
     at = np.frombuffer(b"".join(gone["at"]), "<u4").astype(np.int64)
     count = np.frombuffer(b"".join(gone["sizes"]), "<u4").astype(np.int64)
     order = np.lexsort((at, places))
     places, at, end = places[order], at[order], (at + count + WIDTH - 1)[order]
-    texts = docs["text"].tolist()
-    block = _Block(docs["doc_id"].tolist(), texts)
+    block = _Block(ids, texts)
     out = []
     for place, i in enumerate(block.order):
         raw = b"" if texts[i] is None else texts[i].encode("utf-8")
@@ -311,56 +311,62 @@ def _kept(docs: pd.DataFrame, gone: pd.DataFrame) -> list[tuple[int, int, int, i
 
 def _digest(docs: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
     ids = docs["doc_id"].tolist()
-    out = [(ids[i], n, removed, spans, hashlib.sha256(rest).hexdigest()) for i, n, removed, spans, rest in _kept(docs, gone)]
+    out = [(ids[i], n, removed, spans, hashlib.sha256(rest).hexdigest()) for i, n, removed, spans, rest in _kept(ids, docs["text"].tolist(), gone)]
     return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _strip(block: str):
-    def run(docs: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
-        if not len(docs):
-            return docs.drop(columns=block)
-        texts, left = docs["text"].tolist(), [True] * len(docs)
-        for i, n, removed, _, rest in _kept(docs, gone):
+def _strip(columns: list[str]):
+    """Through Arrow, so that all other columns stay what they are."""
+
+    def run(docs: pa.Table, gone: pa.Table) -> pa.Table:
+        ids, texts = docs.column("doc_id").cast(pa.int64()).to_pylist(), docs.column("text").to_pylist()
+        left = [True] * len(texts)
+        for i, n, removed, _, rest in _kept(ids, texts, {c: gone.column(c).to_pylist() for c in ("places", "at", "sizes")}) if ids else ():
             if removed:
                 texts[i], left[i] = rest.decode("utf-8", "ignore"), removed < n
-        docs = docs.drop(columns=block).assign(text=texts)
-        if "n_chars" in docs:
-            docs["n_chars"] = docs["text"].map(lambda x: None if x is None else len(x)).astype(docs["n_chars"].dtype)
-        return docs[left]
+        new = {"text": texts, "n_chars": [None if t is None else len(t) for t in texts]}
+        return pa.table({c: pa.array(new[c], docs.schema.field(c).type) if c in new else docs.column(c) for c in columns}).filter(pa.array(left, pa.bool_()))
 
     return run
 
 
-def _removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs with their block in column __block, and the stretches that go by block."""
+def _removals(docs: DataFrame) -> tuple[DataFrame, str, DataFrame]:
+    """docs with a column for their block, its name, and the stretches that go by block."""
     total = text_bytes(docs)
     blocks = max(64, total // BLOCK_BYTES + 1)
     buckets = max(256, total // BUCKET_BYTES + 1)
-    dealt = docs.withColumn("__block", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks)).cast("int"))
-    lean = dealt.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("__block").alias("block"))
+    block = free_name(docs, "part")
+    dealt = docs.withColumn(block, F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks)).cast("int"))
+    lean = dealt.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(block).alias("block"))
     names = lean.groupBy("block").applyInPandas(_sampler(buckets), "bucket int, block int, names binary, several binary")
     names = stored(names.groupBy("bucket").applyInPandas(_unsettled, "block int, bucket int, names binary"), "names")
     merged = lean.groupBy("block").cogroup(names.groupBy("block")).applyInPandas(_merger(buckets, buckets), "kind int, bucket int, block int, ids binary, places binary, at binary, sizes binary, data binary")
-    return dealt, stored(merged.groupBy("bucket").applyInPandas(_compare, "block int, places binary, at binary, sizes binary"), "gone")
+    return dealt, block, stored(merged.groupBy("bucket").applyInPandas(_compare, "block int, places binary, at binary, sizes binary"), "gone")
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    docs has doc_id (not null) and text; other columns don't matter. A null text counts as empty:
-    nothing of it goes. Texts under 50 bytes lose nothing. Rows that repeat a doc_id give a row each;
-    they never remove from one another, as no id is smaller. An empty table gives no rows.
+    docs has doc_id and text; other columns don't matter. A null text counts as empty: nothing of it
+    goes. Texts under 50 bytes lose nothing; those of any length are judged whole. Rows that repeat a
+    doc_id give a row each; they never remove from one another, as no id is smaller. No id is smaller
+    or greater than a null one either, so rows without doc_id lose nothing and take nothing. An empty
+    table gives no rows.
     """
-    dealt, gone = _removals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    dealt, block, gone = _removals(docs.where("doc_id is not null"))
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return dealt.groupBy("__block").cogroup(gone.groupBy("block")).applyInPandas(_digest, kind)
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    without = docs.where("doc_id is null").select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"))
+    return dealt.groupBy(block).cogroup(gone.groupBy("block")).applyInPandas(_digest, kind).union(without)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, without the bytes that suffix_dedup() removes.
 
     Of a character of which a part went, the rest goes too; n_chars, where there is one, follows the
-    text. A document that loses everything goes; one that had no bytes stays.
+    text. A document that loses everything goes; one that had no bytes stays. Rows without doc_id stay
+    as they are.
     """
-    dealt, gone = _removals(docs)
-    return dealt.groupBy("__block").cogroup(gone.groupBy("block")).applyInPandas(_strip("__block"), docs.schema)
+    dealt, block, gone = _removals(docs.where("doc_id is not null"))
+    return dealt.groupBy(block).cogroup(gone.groupBy("block")).applyInArrow(_strip(docs.columns), docs.schema).union(docs.where("doc_id is null"))

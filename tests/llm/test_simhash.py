@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tenderweave.llm import simhash
 from tenderweave.llm.graph import components
@@ -99,6 +100,17 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [*range(15), 900]
 
 
+def test_rows_without_ids_and_rows_of_one_id(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    docs = [(1, text(1), 0), (1, text(2), 1), (None, text(3), 2), (None, text(3), 3), (None, text(1), 4), (2, text(4), 5), (2, text(4), 6), (9, text(2), 7), (None, None, 8), (None, "", 9)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, row int").withColumnRenamed("row", "__first").withColumn("row", F.lit("x")).withColumn("__later", F.lit(None).cast("int"))
+    kept = without_near_copies(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, (r.text or "")[:2]) for r in kept.collect()) == [(0, ""), (0, "3w"), (1, "1w"), (1, "2w"), (2, "4w")]
+    got = near_duplicates(df).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (0, 0), (0, 0), (0, 1), (1, 1), (1, 1), (2, 2), (2, 2), (9, 1)]
+
+
 def test_several_words_with_equal_parts(spark):
     rng = np.random.default_rng(6)
     rows = []

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from tenderweave.llm.suffix import WIDTH, suffix_dedup, without_repeats
 
 
@@ -51,3 +53,14 @@ def test_empty_table_and_kept_text(spark):
     assert kept.columns == ["doc_id", "text", "block", "n_chars"]
     assert sorted(tuple(r) for r in kept.collect()) == [(1, "é" * 40, "x", 40), (2, "qz", None, 2), (3, None, "y", None), (5, "", "z", 0)]
     assert without_repeats(kept.limit(0)).collect() == []
+
+
+def test_rows_without_ids_and_clashing_columns(spark):
+    long = "abcdefghij" * 8
+    docs = [(None, long, 1, 2**60 + 1, 80), (1, long, 2, None, 80), (2, long + "q", 3, 2**60 + 3, 81), (None, None, 4, 5, None), (None, "xé", 5, 6, 2), (7, None, 6, None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, __block int, part long, n_chars int").withColumn("at", F.current_timestamp()).withColumn("names", F.array(F.lit(1.5)))
+    kept = without_repeats(df)
+    assert kept.columns == df.columns and [f.dataType for f in kept.schema] == [f.dataType for f in df.schema]
+    assert sorted(((r.doc_id or 0), r.text or "", r.part or 0, r.n_chars or 0) for r in kept.collect()) == [(0, "", 5, 0), (0, long, 2**60 + 1, 80), (0, "xé", 6, 2), (1, long, 0, 80), (2, "q", 2**60 + 3, 1), (7, "", 0, 0)]
+    got = {(r.doc_id, r.n_bytes): (r.n_removed, r.kept_sha256) for r in suffix_dedup(df).collect()}
+    assert got[None, 80] == (0, hashlib.sha256(long.encode()).hexdigest()) and got[2, 81][0] == 80 and got[None, 0][0] == 0 and len(got) == 6
