@@ -4,24 +4,35 @@ from collections import defaultdict
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tenderweave.llm.packing import LENGTHS, best_fit, opened, pack
+from tenderweave.llm.packing import LENGTHS, Left, best_fit, cost, opened, pack
+
+
+def slow_open(size, rest, lengths):
+    """The least-cost length, by filling each bin from a sorted copy of the rest."""
+    options = []
+    for c in lengths:
+        if c >= size:
+            room, full = c - size, size
+            for r in sorted(rest, reverse=True):
+                if r <= room:
+                    room, full = room - r, full + r
+            options.append((round(cost(min(x for x in lengths if x >= full)) / full, 9), c))
+    return min(options)[1]
 
 
 def slow_pack(sizes, lengths):
     """The same policy by scanning all bins."""
-    bins, where, left = [], [], sum(sizes)
-    for size in sizes:
+    bins = []
+    for k, size in enumerate(sizes):
         fit = [i for i, (c, u) in enumerate(bins) if c - u >= size]
         if fit:
             least = min(bins[i][0] - bins[i][1] for i in fit)
             b = [i for i in fit if bins[i][0] - bins[i][1] == least]
         else:
-            bins.append([opened(size, left, lengths), 0])
+            bins.append([slow_open(size, sizes[k + 1 :], lengths), 0])
             b = [len(bins) - 1]
-        where.append(b)
         chosen = yield b
         bins[chosen][1] += size
-        left -= size
 
 
 @settings(max_examples=60, deadline=None)
@@ -41,9 +52,28 @@ def test_every_piece_takes_the_tightest_bin(sizes):
 
 
 def test_lengths_are_weighed_against_each_other():
-    assert opened(10, 100, (512, 1024)) == 512
-    assert opened(10, 10**6, LENGTHS) == 2048
-    assert opened(3000, 10**6, LENGTHS) == 4096
+    assert opened(10, Left([]), (512, 1024)) == 512
+    assert opened(10, Left([10] * 100_000), LENGTHS) == 2048
+    assert opened(3000, Left([10] * 100_000), LENGTHS) == 4096
+    assert opened(1500, Left([1100] * 100), LENGTHS) == 8192  # 2048 would stay a quarter empty
+
+
+def test_lengths_together_cost_less_than_any_alone():
+    rng = random.Random(8)
+    mixes = [[rng.choice([1500, 1100, 700]) for _ in range(2000)], [rng.choice([500, 510, 900, 4000]) for _ in range(2000)], [min(8192, int(rng.lognormvariate(6, 1.2)) + 1) for _ in range(4000)]]
+    for sizes in mixes:
+        sizes.sort(reverse=True)
+        total = lambda lengths: sum(cost(c) for c in pack(sizes, lengths)[2])
+        assert total(LENGTHS) < min(total((c,)) for c in LENGTHS if c >= sizes[0])
+
+
+def test_pieces_of_long_documents_fill_groups(spark):
+    df = spark.createDataFrame([(1, "w " * 40_000), (None, "w " * 30_000), (1, "w " * 40_000)], "doc_id long, text string")
+    rows = best_fit(df, (16, 64), group=200).collect()
+    groups = defaultdict(int)
+    for r in rows:
+        groups[r.bin_id >> 32] += 1
+    assert sum(r.n_tokens for r in rows) == 110_003 and len(groups) == 9 and max(groups.values()) < 300
 
 
 def test_every_token_once(spark):
