@@ -59,3 +59,22 @@ def test_without_trusted_or_documents(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert [(r.kept, r.score) for r in quality(df, none).collect()] == [(True, 0.0)]
     assert quality(df.limit(0), none).collect() == []
+
+
+def test_all_trusted_documents_count_however_their_ids_are_joined(spark):
+    rng = random.Random(3)
+    docs = [(d, " ".join(rng.choice(["haus", "baum", "zz%", "rot"]) + str(rng.randrange(9)) for _ in range(80))) for d in range(120)] + [(None, "haus1 " * 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    trusted = spark.createDataFrame([(d,) for d in range(0, 120, 2)], "doc_id long")
+    by = lambda n: sorted((r.doc_id or -1, r.score, r.threshold, r.kept) for r in quality(df, trusted, broadcast_ids=n).collect())
+    assert by(0) == by(1000)
+
+
+def test_repeats_of_more_words_than_the_packed_form_holds():
+    import numpy as np
+
+    from tenderweave.llm.quality import _repeat_words
+
+    rng = np.random.default_rng(1)
+    small = rng.integers(0, 12, 400)
+    assert _repeat_words(small) == _repeat_words(small + (1 << 22)) == brute(" ".join(map(str, small)))[4]
