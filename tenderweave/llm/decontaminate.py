@@ -6,26 +6,33 @@ without missing a pattern; where the shift is 0, the bucket of the block's hash
 and comparing the words themselves confirms an occurrence. The search runs in lanes: stretches of
 many documents step at once, each at its own position.
 
-Items go to the tasks in blocks of at most BLOCK_BYTES of text, so what a task holds is bounded
-however many items there are; with several blocks the documents pass one search after the other in
-the same stage, and hit words and items add up.
+Items are dealt into blocks of at most BLOCK_BYTES of text. Spark tasks build the tables of a block and
+write them as a file into the shared folder; the driver only learns the files' names. A task reads
+one block at a time: with a single block once, with several for each HELD_BYTES of documents, whose
+hit words and items add up. So what a task holds is bounded however many items there are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh_path, stored
+
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
 CHUNK_BYTES = 4 << 20
+HELD_BYTES = 64 << 20
 LANE = 256
-TABLE_BITS = 18
+TABLE_BITS = (12, 24)  # least and most; between them some four slots for each block of words
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _WORD = np.zeros(256, bool)
@@ -68,26 +75,36 @@ class _Text:
 
 
 class _Search:
-    """Shift table and buckets for the patterns of one length."""
+    """Shift table and buckets for the patterns of one length; arrays and bytes, quick to write and read."""
 
     def __init__(self, length: int, patterns: dict[bytes, list[int]]):
         self.length, self.width = length, min(2, length)
         every = list(patterns)
         text = _Text([p.decode("utf-8") for p in every])
-        most = length - self.width + 1
-        self.shift = np.full(1 << TABLE_BITS, most, np.uint8)
-        first = text.bounds[:-1]
-        for j in range(self.width - 1, length):
-            np.minimum.at(self.shift, self.slot(text.blocks(first + j, self.width)), length - 1 - j)
-        self.buckets: dict[int, dict[bytes, list[int]]] = {}
-        ends = text.blocks(first + length - 1, self.width)
-        for h, p in zip(ends.tolist(), every):
-            self.buckets.setdefault(h, {})[p] = patterns[p]
-        self.suffixes = np.unique(ends)
-
-    @staticmethod
-    def slot(h: np.ndarray) -> np.ndarray:
-        return (h & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
+        most, first = length - self.width + 1, text.bounds[:-1]
+        blocks = [text.blocks(first + j, self.width) for j in range(self.width - 1, length)]
+        least, greatest = TABLE_BITS
+        self.bits = min(greatest, max(least, (4 * sum(map(len, blocks))).bit_length()))
+        self.shift = np.full(1 << self.bits, most, np.uint8)
+        for k, h in enumerate(blocks):
+            np.minimum.at(self.shift, self.slot(h), most - 1 - k)
+        order = np.argsort(blocks[-1], kind="stable")
+        self.suffixes, starts = np.unique(blocks[-1][order], return_index=True)
+        self.starts = np.append(starts, len(order))  # of each suffix's bucket in the patterns
+        own = [every[k] for k in order.tolist()]
+        self.patterns, self.ends = b"".join(own), np.cumsum([0, *map(len, own)])
+        items = [patterns[p] for p in own]
+        self.items, self.item_ends = np.array([i for of in items for i in of], np.int64), np.cumsum([0, *map(len, items)])
+
+    def slot(self, h: np.ndarray) -> np.ndarray:
+        return (h & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+
+    def confirmed(self, k: int, words: bytes) -> list[int]:
+        """The items of the pattern in bucket k that these words are."""
+        for p in range(int(self.starts[k]), int(self.starts[k + 1])):
+            if self.patterns[self.ends[p] : self.ends[p + 1]] == words:
+                return self.items[self.item_ends[p] : self.item_ends[p + 1]].tolist()
+        return []
 
     def found(self, text: _Text) -> Iterator[tuple[int, list[int]]]:
         """(first word, items) of every occurrence."""
@@ -103,9 +120,10 @@ class _Search:
             stop = np.flatnonzero(move == 0)
             if len(stop):
                 k = np.minimum(np.searchsorted(self.suffixes, h[stop]), len(self.suffixes) - 1)
-                for i in stop[self.suffixes[k] == h[stop]].tolist():
+                same = self.suffixes[k] == h[stop]
+                for i, bucket in zip(stop[same].tolist(), k[same].tolist()):
                     first = int(at[i]) - self.length + 1
-                    if items := self.buckets[int(h[i])].get(text.words(first, self.length)):
+                    if items := self.confirmed(bucket, text.words(first, self.length)):
                         yield first, items
                 move = np.maximum(move, 1)
             at = at + move
@@ -137,67 +155,112 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def _pass(ids: list[int], items: list[str | None], start: bool, end: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searches = _searches(ids, items)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            before = [(b"", [])] * len(texts) if start else list(zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist()))
-            hits, found, n_words = [], [], []
-            for a, b in _chunks(texts):
-                text = _Text(texts[a:b])
-                change = np.zeros(len(text.start) + 1, np.int32)
-                which: list[set[int]] = [set(x[1]) for x in before[a:b]]
-                for s in searches:
-                    for first, of in s.found(text):
-                        change[first] += 1
-                        change[first + s.length] -= 1
-                        which[int(np.searchsorted(text.bounds, first, side="right")) - 1].update(of)
-                hit = np.cumsum(change)[:-1] > 0
-                for k in range(b - a):
-                    own = hit[text.bounds[k] : text.bounds[k + 1]]
-                    if not start:
-                        own = own | np.unpackbits(np.frombuffer(before[a + k][0], np.uint8), count=len(own)).astype(bool)
-                    n_words.append(len(own))
-                    hits.append(int(own.sum()) if end else np.packbits(own).tobytes())
-                found += [sorted(map(str, x)) if end else sorted(x) for x in which]
-            doc_id = batch.column("doc_id")
-            if end:
-                yield pa.RecordBatch.from_arrays(
-                    [doc_id, pa.array(n_words, pa.int64()), pa.array(hits, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in found], pa.string()), pa.array([x > 0 for x in hits], pa.bool_())],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                )
-            else:
-                yield pa.RecordBatch.from_arrays([doc_id, batch.column("text"), pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text", "hits", "items"])
+def _builder(folder: str):
+    """Writes the tables of a block of items as a file under a name of its own."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        pdf = pdf.sort_values(["item_id", "text"], na_position="last")
+        files, base = fs.FileSystem.from_uri(folder)
+        name = f"{uuid.uuid4().hex}.items"
+        with files.open_output_stream(f"{base}/{name}") as f:
+            f.write(pickle.dumps(_searches(pdf["item_id"].tolist(), pdf["text"].tolist()), 5))
+        return pd.DataFrame({"name": [name]})
 
     return run
 
 
-def _filter(ids: list[int], items: list[str | None]):
+def _blocks(items: DataFrame, block_bytes: int) -> tuple[str, list[str]]:
+    """The folder of the blocks' tables, and the files' names: only files of finished tasks are among them."""
+    from pyarrow import fs
+
+    folder = fresh_path(items.sparkSession, "items")
+    files, base = fs.FileSystem.from_uri(folder)
+    files.create_dir(base, recursive=True)
+    items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+    numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    return folder, sorted(r[0] for r in stored(numbered.groupBy("block").applyInPandas(_builder(folder), "name string"), "blocks").collect())
+
+
+class _Blocks:
+    """The tables of one block after the other; a single one is read once."""
+
+    def __init__(self, folder: str, names: list[str]):
+        self.folder, self.names, self.at, self.held = folder, names, None, []
+
+    def __iter__(self) -> Iterator[list[_Search]]:
+        from pyarrow import fs
+
+        for name in self.names:
+            if name != self.at:
+                self.at, self.held = None, []  # let go before the next is read
+                files, base = fs.FileSystem.from_uri(self.folder)
+                with files.open_input_stream(f"{base}/{name}") as f:
+                    self.at, self.held = name, pickle.loads(f.read())
+            yield self.held
+
+
+def _held(batches: Iterator[pa.RecordBatch], several: bool) -> Iterator[pa.Table]:
+    """Batches put together up to HELD_BYTES where blocks are many, so that each is read less often."""
+    some: list[pa.RecordBatch] = []
+    for batch in batches:
+        some.append(batch)
+        if not several or sum(b.nbytes for b in some) >= HELD_BYTES:
+            yield pa.Table.from_batches(some)
+            some = []
+    if some:
+        yield pa.Table.from_batches(some)
+
+
+def _hits(texts: list[str | None], blocks: _Blocks) -> tuple[list[int], list[int], list[set[int]]]:
+    """Of each text: its words, the words hit, and the items found."""
+    chunks = list(_chunks(texts))
+    n_words, hits, which = [0] * len(texts), [b""] * len(texts), [set() for _ in texts]
+    for searches in blocks:
+        for a, b in chunks:
+            text = _Text(texts[a:b])
+            change = np.zeros(len(text.start) + 1, np.int32)
+            for s in searches:
+                for first, of in s.found(text):
+                    change[first] += 1
+                    change[first + s.length] -= 1
+                    which[a + int(np.searchsorted(text.bounds, first, side="right")) - 1].update(of)
+            hit = np.cumsum(change)[:-1] > 0
+            for k in range(a, b):
+                own = hit[text.bounds[k - a] : text.bounds[k - a + 1]]
+                if hits[k]:
+                    own = own | np.unpackbits(np.frombuffer(hits[k], np.uint8), count=len(own)).astype(bool)
+                n_words[k] = len(own)
+                if own.any():
+                    hits[k] = np.packbits(own).tobytes()
+    return n_words, [int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) if x else 0 for x in hits], which
+
+
+def _report(folder: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searches = _searches(ids, items)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            clean = np.ones(len(texts), bool)
-            for a, b in _chunks(texts):
-                text = _Text(texts[a:b])
-                for s in searches:
-                    for first, _ in s.found(text):
-                        clean[a + int(np.searchsorted(text.bounds, first, side="right")) - 1] = False
-            yield batch.filter(pa.array(clean))
+        blocks = _Blocks(folder, names)
+        for table in _held(batches, len(names) > 1):
+            n_words, hits, which = _hits(table.column("text").to_pylist(), blocks)
+            found = [",".join(sorted(map(str, x))) for x in which]
+            columns = [
+                table.column("doc_id").combine_chunks(), pa.array(n_words, pa.int64()), pa.array(hits, pa.int64()), pa.array(list(map(len, which)), pa.int64()),
+                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in found], pa.string()), pa.array([x > 0 for x in hits], pa.bool_()),
+            ]
+            yield from pa.table(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]).to_batches()
 
     return run
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> Iterator[tuple[list[int], list[str | None], bool]]:
-    """Ids and texts of one bounded block of items after the other, and whether it is the last."""
-    items = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    for k in range(blocks):
-        part = numbered.where(F.col("block") == k).select("item_id", "text").orderBy("item_id", "text").collect()
-        yield [r[0] for r in part], [r[1] for r in part], k == blocks - 1
+def _filter(folder: str, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _Blocks(folder, names)
+        for table in _held(batches, len(names) > 1):
+            _, hits, _ = _hits(table.column("text").to_pylist(), blocks)
+            yield from table.filter(pa.array([x == 0 for x in hits], pa.bool_())).to_batches()
+
+    return run
 
 
 def contamination(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -205,18 +268,25 @@ def contamination(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BY
 
     docs has doc_id and text, items has item_id and text; other columns don't matter. Null texts and
     null item ids have no words and no patterns. Items of one text each count; rows that repeat an
-    item_id are one item. Without items no document is contaminated. Repeated doc_ids give a row each.
+    item_id are one item. Texts and items of any length are searched whole. Without items no document is
+    contaminated. Repeated and null doc_ids give a row each.
     """
-    out, start = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), True
-    for ids, texts, last in _blocks(items, block_bytes):
-        kind = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" if last else "doc_id long, text string, hits binary, items array<long>"
-        out, start = out.mapInArrow(_pass(ids, texts, start, last), kind), False
-    return out
+    kind = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    folder, names = _blocks(items, block_bytes)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_report(folder, names or [_empty(folder)]), kind)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, with all their columns, in which no window of the items occurs; else as contamination()."""
-    out = docs
-    for ids, texts, _ in _blocks(items, block_bytes):
-        out = out.mapInArrow(_filter(ids, texts), docs.schema)
-    return out
+    folder, names = _blocks(items, block_bytes)
+    return docs.mapInArrow(_filter(folder, names), docs.schema)
+
+
+def _empty(folder: str) -> str:
+    """A block without items: words are counted all the same."""
+    from pyarrow import fs
+
+    files, base = fs.FileSystem.from_uri(folder)
+    with files.open_output_stream(f"{base}/none.items") as f:
+        f.write(pickle.dumps([], 5))
+    return "none.items"

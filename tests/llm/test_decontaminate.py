@@ -2,7 +2,8 @@ import hashlib
 import random
 import re
 
-from tenderweave.llm.decontaminate import contamination, decontaminated
+from tenderweave.llm import decontaminate
+from tenderweave.llm.decontaminate import _Search, contamination, decontaminated
 
 
 def brute(docs, items):
@@ -34,7 +35,7 @@ def make(spark, docs, items):
     )
 
 
-def test_against_brute_force_in_one_and_several_blocks(spark):
+def test_against_brute_force_in_one_and_several_blocks(spark, monkeypatch):
     rng = random.Random(3)
     word = lambda: rng.choice(["a", "Bee", "see", "dé", "longerword1", "longerword2", "7"])
     items = [(i, " ".join(word() for _ in range(rng.choice([10, 12, 30])))) for i in range(12)]
@@ -48,6 +49,7 @@ def test_against_brute_force_in_one_and_several_blocks(spark):
     docs += [(80, None), (81, ""), (82, "..."), (5, docs[7][1]), (5, docs[7][1]), (83, "only Three-words one")]
     expected = brute(docs, items)
     assert any(r[5] for r in expected) and not all(r[5] for r in expected)
+    monkeypatch.setattr(decontaminate, "HELD_BYTES", 3000)
     for size in (1 << 20, 400):
         got = contamination(*make(spark, docs, items), block_bytes=size)
         assert sorted(tuple(r) for r in got.collect()) == expected
@@ -60,3 +62,9 @@ def test_no_items_no_documents(spark):
     assert [r.contaminated for r in contamination(docs, items).collect()] == [False]
     docs, items = make(spark, [], [(1, "a b c")])
     assert contamination(docs, items).collect() == []
+
+
+def test_tables_grow_with_the_patterns_and_still_skip():
+    few, many = ({" ".join(f"w{k}x{i}" for i in range(10)).encode(): [k] for k in range(n)} for n in (10, 20_000))
+    assert _Search(10, few).bits == 12 and _Search(10, many).bits == 20
+    assert (_Search(10, many).shift > 0).mean() > 0.95
