@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
@@ -17,7 +16,7 @@ from .tokens import token_files
 from .toxicity import toxicity
 from .urls import filtered
 
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +36,9 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files(read(spark, sf_dir, "documents"), TOKENIZER)
+    import public_tokenizers
+
+    return token_files(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

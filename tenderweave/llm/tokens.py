@@ -13,10 +13,12 @@ row. Only files of the manifest count, so what lost or repeated tasks leave is n
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -30,23 +32,48 @@ CACHE_WORDS = 400_000
 FILE_BYTES = 32 << 20
 TEXTS = 128
 
-#: Letters that normal form C leaves alone and lower-cases one by one, then ASCII signs but for ' < and |: the parts tokenise apart.
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*)([!-&(-/:;=?@\[-`{}~]*)")
+#: Lower-case letters that normal form C leaves alone, then ASCII signs but for ' < and |: the parts tokenise apart. A line each.
+_PLAIN = re.compile(rb"^(?:((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])*)([!-&(-/:;=?@\[-`{}~]*)|(.+))$", re.M)
+#: Lower case of the second byte of Latin-1 letters; what it makes of other characters is never plain.
+_SMALL = bytes(c + 32 if 0x80 <= c <= 0x9E and c != 0x97 else c for c in range(256))
+
+
+def joins_no_words(tokenizer) -> bool:
+    """Whether its rules are the ones by which words can be tokenised one by one: lower case, normal form
+    C, white space alike and never inside a token."""
+    rules = json.loads(tokenizer.to_str())
+    before, split = (rules.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
+    kinds = sorted(n.get("type", "") for n in before.get("normalizers", []))
+    spaces = [n for n in before.get("normalizers", []) if n.get("type") == "Replace"]
+    parts = split.get("pretokenizers", [])
+    return (
+        kinds == ["Lowercase", "NFC", "Replace"]
+        and [(n["pattern"], n["content"]) for n in spaces] == [({"Regex": "\\s+"}, " ")]
+        and [p.get("type") for p in parts] == ["Split", "ByteLevel"]
+        and parts[0].get("pattern") == {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+        and parts[0].get("behavior") == "Removed"
+        and parts[0].get("invert") is True
+        and not parts[1].get("add_prefix_space")
+        and not any(" " in t["content"] or t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in rules.get("added_tokens", []))
+    )
 
 
 class WordEncoder:
-    """Ids of whitespace-separated words, as bytes. The tokenizer never joins anything across white
-    space, so a text's ids are those of its words one after the other. Unknown words of several texts
-    are tokenised in one call. Forgets all at CACHE_WORDS."""
+    """Ids of texts, as bytes. Where the tokenizer never joins anything across white space, a text's ids
+    are those of its words one after the other; unknown words of several texts are tokenised in one
+    call. Forgets all at CACHE_WORDS. A tokenizer of other rules gets whole texts."""
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.by_word = joins_no_words(self.tokenizer)
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {b"": b""}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_word:
+            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         split = [t.encode("utf-8").split() if t else [] for t in texts]
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
@@ -57,20 +84,17 @@ class WordEncoder:
         known = self.words.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
-    def _learn(self, words: set[bytes]) -> None:
-        plain, odd = [], []
-        for w in words:
-            if m := _PLAIN.fullmatch(w):
-                plain.append((w, m[1].decode("utf-8").lower().encode("utf-8"), m[2]))
-            else:
-                odd.append(w)
-        new = list({p for _, *two in plain for p in two}.difference(self.parts))
+    def _learn(self, missing: set[bytes]) -> None:
+        words = list(missing)
+        letters, signs, odd = zip(*_PLAIN.findall(b"\n".join(words).lower().translate(_SMALL)))
+        new = list({*letters, *signs}.difference(self.parts))
         for k in range(0, len(new), 4096):
             self._learn_parts(new[k : k + 4096])
-        for w, letters, signs in plain:
-            self.words[w] = self.parts[letters] + self.parts[signs]
-        for w, e in zip(odd, self.tokenizer.encode_batch([w.decode("utf-8") for w in odd], add_special_tokens=False)):
-            self.words[w] = np.array(e.ids, self.dtype).tobytes()
+        known = self.parts.__getitem__
+        self.words.update(zip(words, map(add, map(known, letters), map(known, signs))))
+        if others := [w for w, o in zip(words, odd) if o]:
+            for w, e in zip(others, self.tokenizer.encode_batch([w.decode("utf-8") for w in others], add_special_tokens=False)):
+                self.words[w] = np.array(e.ids, self.dtype).tobytes()
 
     def _learn_parts(self, parts: list[bytes]) -> None:
         """Each part is one word to the tokenizer, so one text of them all gives the ids of each."""

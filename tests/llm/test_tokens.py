@@ -15,7 +15,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 def test_words_give_the_ids_of_whole_texts():
     whole, words = Tokenizer.from_file(PATH), WordEncoder(PATH, "<u4")
     rng = random.Random(4)
-    alphabet = ["a", "B", "é", "É", "ß", "İ", "H̱", " ", "\n", "\t", " ", "\u0085", "\x1c", "1", "23", "'s", "'", "’", ",", "%%%", "<|endoftext|>", "<|", "|>", "the", "Über", "日本", "́", "🙂", "‍", "\x00"]
+    alphabet = ["a", "B", "é", "É", "ß", "İ", "H̱", "ÿ", "Þ", "×", "÷", "À", "ŀ", "\u00a0", "|", "<", "`", " ", "\n", "\t", " ", "\u0085", "\x1c", "1", "23", "'s", "'", "’", ",", "%%%", "<|endoftext|>", "<|", "|>", "the", "Über", "日本", "́", "🙂", "‍", "\x00"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 12))) for _ in range(3000)]
     for k in range(0, len(texts), 100):
         for text, ids in zip(texts[k : k + 100], words.encode(texts[k : k + 100])):
@@ -46,3 +46,15 @@ def test_round_trip(spark, monkeypatch):
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, start string").repartition(5)
     assert sorted(tuple(r) for r in token_files(df, PATH).collect()) == sorted(expected)
     assert token_files(df.limit(0), PATH).collect() == []
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    import json
+
+    rules = json.load(open(PATH))
+    rules["normalizer"]["normalizers"].pop()  # keeps capitals
+    other = tmp_path / "cased.json"
+    other.write_text(json.dumps(rules))
+    assert tokens.joins_no_words(Tokenizer.from_file(PATH)) and not tokens.joins_no_words(Tokenizer.from_file(str(other)))
+    text = "The Cat SAT, on 12 Mats"
+    assert np.frombuffer(WordEncoder(str(other), "<u4").encode([text, None])[0], "<u4").tolist() == Tokenizer.from_file(str(other)).encode(text, add_special_tokens=False).ids
