@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import token_shape
-
 CITATION = r"(?i)\bIS\s*\d+(?:\s*\(Part\s*\d+\))?(?::\d{4})?"
 BLOCKED = "captcha|access denied|are you a robot|unusual traffic"
-GATE_CHARS = 4000
+#: In lower-case text: a run of letters without a vowel, with five consonants in a row, or of one or two different letters.
+ODD_WORD = r"(?<![a-z])(?:[bcdfghjklmnpqrstvwxz]+|[a-z]*[bcdfghjklmnpqrstvwxz]{5}[a-z]*|([a-z])\1*(?:([a-z])(?:\1|\2)*)?)(?![a-z])"
 
 
 def html_links(pages: DataFrame) -> DataFrame:
@@ -36,8 +35,8 @@ def low_text(rows: DataFrame, least: int) -> DataFrame:
 
 def quality_gate(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_odd, outcome): too_short, no_words if over half the tokens have no word's shape, else accepted."""
-    tokens = F.filter(F.split(F.lower(F.substring("text", 1, GATE_CHARS)), "[^a-z]+"), lambda w: w != "")
-    counted = docs.select("doc_id", tokens.alias("w")).select("doc_id", F.size("w").alias("n_words"), F.size(F.filter("w", lambda x: token_shape(x) != "ok")).alias("n_odd"))
+    text = F.lower("text")
+    counted = docs.select("doc_id", F.regexp_count(text, F.lit("[a-z]+")).alias("n_words"), F.regexp_count(text, F.lit(ODD_WORD)).alias("n_odd"))
     return counted.withColumn("outcome", F.when(F.col("n_words") < 3, "too_short").when(2 * F.col("n_odd") > F.col("n_words"), "no_words").otherwise("accepted"))
 
 

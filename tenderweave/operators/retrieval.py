@@ -1,12 +1,16 @@
 """Candidate retrieval for batches of queries: token joins, exact vector search, fusion, and their evaluation.
 
-Lexical scoring never crosses queries with rows: both sides are exploded to distinct tokens and
-meet in an equi-join. Vectors are scored in one pass over the rows against one block of queries
-after another, and each task keeps its best k first.
+Lexical scoring never crosses queries with rows: tokens that no query asks for leave first, then both
+sides meet in an equi-join on the token. All tokens of a row are in one task until its scores are summed.
+Vectors are packed into chunks; each chunk of rows meets each chunk of queries once, in a matrix product.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +18,7 @@ from ..functions.text import dot, norm, tokenize_set
 
 #: Weights of a matching token by field.
 WEIGHTS = {"number": 5.0, "title": 3.0, "scope": 1.5, "keyword": 2.0, "committee": 1.0, "council": 1.0}
-QUERY_BLOCK = 256
+CHUNK = 2048  # vectors in a chunk
 
 
 def postings(rows: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
@@ -31,8 +35,9 @@ def lexical_score(queries: DataFrame, catalogue: DataFrame, fields: dict[str, st
     """
     asked = queries.select("query_id", F.explode(tokenize_set(F.col("query_text"))).alias("token"))
     table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-    hits = asked.join(postings(catalogue, "std_id", fields), "token")
-    return hits.groupBy("query_id", "std_id").agg(F.sum(table[F.col("field")]).alias("score"), F.array_join(F.array_sort(F.collect_set("token")), " ").alias("matched"))
+    wanted = postings(catalogue, "std_id", fields).join(asked.select("token").distinct(), "token", "left_semi")
+    weighed = wanted.groupBy("std_id", "token").agg(F.sum(table[F.col("field")]).alias("weight"))
+    return asked.join(weighed, "token").groupBy("query_id", "std_id").agg(F.sum("weight").alias("score"), F.array_join(F.array_sort(F.collect_list("token")), " ").alias("matched"))
 
 
 def ranked(scored: DataFrame, by: list[Column], k: int | None, group: str = "query_id") -> DataFrame:
@@ -41,26 +46,53 @@ def ranked(scored: DataFrame, by: list[Column], k: int | None, group: str = "que
     return out.where(F.col("rank") <= k) if k else out
 
 
-def vector_top_k(queries: DataFrame, rows: DataFrame, k: int, least: float | None = None, block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, std_id, score, rank): exact cosine; ties by std_id. queries and rows have vec.
+def _packed(key: str, chunk: int):
+    """Rows of key and vec as chunks: ids and unit vectors of 64-bit floats, end to end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, len(batch), chunk):
+                part = batch.slice(first, chunk)
+                x = np.array(part.column("vec").to_pylist(), np.float64).reshape(len(part), -1)
+                size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+                x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(key).to_numpy().astype(np.int64).tobytes()]), pa.array([x.tobytes()])], ["ids", "vecs"])
+
+    return run
+
+
+def _best(k: int, least: float | None):
+    """Of a chunk of queries and one of rows: the best k for each query, ties by id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                q, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
+                scores = np.round(np.frombuffer(r["q_vecs"]).reshape(len(q), -1) @ np.frombuffer(r["vecs"]).reshape(len(ids), -1).T, 12)
+                out = []
+                for i, row in enumerate(scores):
+                    at = np.flatnonzero(row >= (np.partition(row, -k)[-k] if len(row) > k else -2))
+                    at = at[np.lexsort((ids[at], -row[at]))[:k]]
+                    at = at if least is None else at[row[at] >= least]
+                    out.append((np.repeat(q[i], len(at)), ids[at], row[at]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "std_id", "score"])
+
+    return run
 
-    Queries pass in blocks of a fixed number, so what is broadcast is bounded; rows are read once for
-    each block.
+
+def vector_top_k(queries: DataFrame, rows: DataFrame, k: int, least: float | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(query_id, std_id, score, rank): exact cosine; ties by std_id. queries and rows have integer ids and vec.
+
+    Chunks of rows are dealt into as many groups as there are shuffle partitions, chunks of queries go to
+    each group, so every pair of chunks meets in one row of an equi-join that spills; a task keeps the best
+    k of a pair of chunks. Zero vectors score 0, null ones and null ids take no part. Vectors have one length.
     """
-    ids = queries.select("query_id", "vec").withColumn("_block", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / block))
-    blocks = [r[0] for r in ids.select("_block").distinct().orderBy("_block").collect()]
-    scaled = rows.select("std_id", "vec", norm(F.col("vec")).alias("_n"))
-    out = None
-    for b in blocks:
-        part = ids.where(F.col("_block") == b).select("query_id", F.col("vec").alias("_q"), norm(F.col("vec")).alias("_m"))
-        cos = F.when((F.col("_n") > 0) & (F.col("_m") > 0), dot(F.col("vec"), F.col("_q")) / (F.col("_n") * F.col("_m"))).otherwise(0.0)
-        pairs = scaled.join(F.broadcast(part)).select("query_id", "std_id", cos.alias("score"))
-        if least is not None:
-            pairs = pairs.where(F.col("score") >= least)
-        out = pairs if out is None else out.unionByName(pairs)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], "query_id long, std_id long, score double, rank int")
-    return ranked(out, [F.desc("score"), F.asc("std_id")], k)
+    groups = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = lambda df, key: df.select(key, "vec").where(F.col(key).isNotNull() & F.col("vec").isNotNull()).mapInArrow(_packed(key, chunk), "ids binary, vecs binary")
+    dealt = chunks(rows, "std_id").withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(groups)))
+    asked = chunks(queries, "query_id").select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("part"))
+    found = dealt.join(asked, "part").select("q_ids", "q_vecs", "ids", "vecs").mapInArrow(_best(k, least), "query_id long, std_id long, score double")
+    return ranked(found, [F.desc("score"), F.asc("std_id")], k)
 
 
 def hybrid_fuse(lexical: DataFrame, vectors: DataFrame, lexical_weight: float = 0.6, vector_weight: float = 0.4, k: int | None = None) -> DataFrame:
@@ -82,17 +114,22 @@ def hybrid_fuse(lexical: DataFrame, vectors: DataFrame, lexical_weight: float =
 
 
 def bm25_score(queries: DataFrame, rows: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, std_id, score): Okapi BM25 over white-space tokens of text."""
-    terms = rows.select("std_id", F.explode(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z0-9]+"), lambda t: t != "")).alias("token"))
-    tf = terms.groupBy("std_id", "token").agg(F.count("*").alias("tf"))
-    lengths = tf.groupBy("std_id").agg(F.sum("tf").alias("len"))
-    corpus = rows.agg(F.count("*").alias("n")).crossJoin(lengths.agg(F.sum("len").alias("tokens")))  # one row
+    """(query_id, std_id, score): Okapi BM25 over runs of letters and digits of text.
+
+    Lengths are sizes of token arrays; only tokens that a query asks for are exploded further, and a
+    row's are counted where it lies.
+    """
+    tokens = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9]+"), lambda t: t != "")
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("token"))
+    split = rows.select("std_id", tokens(F.col("text")).alias("tokens")).withColumn("len", F.size("tokens"))
+    wanted = split.select("std_id", "len", F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    tf = wanted.groupBy("std_id", "token", "len").agg(F.count("*").alias("tf"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("query_text"), r"[^a-z0-9]+"), lambda t: t != ""))).alias("token"))
-    hits = asked.join(df, "token").join(tf, "token").join(lengths, "std_id").crossJoin(F.broadcast(corpus))
+    corpus = split.agg(F.count("*").alias("n"), F.sum("len").alias("tokens"))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / (F.col("tokens") / F.col("n"))))
-    return hits.groupBy("query_id", "std_id").agg(F.sum(part).alias("score"))
+    terms = asked.join(df, "token").crossJoin(F.broadcast(corpus)).select("query_id", "token", idf.alias("idf"), (F.col("tokens") / F.col("n")).alias("usual"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("usual")))
+    return tf.join(terms, "token").groupBy("query_id", "std_id").agg(F.sum(part).alias("score"))
 
 
 def rrf_fuse(ranks: DataFrame, k: int = 60) -> DataFrame:
@@ -130,9 +167,17 @@ def classification_metrics(rows: DataFrame) -> DataFrame:
 
 
 def group_split(rows: DataFrame, group: str, seed: int, train: float = 0.70, validation: float = 0.15) -> DataFrame:
-    """rows with split: groups go whole to train, validation or test, in exact shares of the groups, by md5."""
-    groups = rows.select(group).distinct()
-    order = Window.orderBy(F.md5(F.concat(F.col(group).cast("string"), F.lit(f"#{seed}"))))
-    share = (F.row_number().over(order) - 1) / F.count("*").over(Window.partitionBy())
-    named = groups.withColumn("split", F.when(share < train, "train").when(share < train + validation, "validation").otherwise("test"))
-    return rows.join(named, group)
+    """rows with split: groups go whole to train, validation or test, in exact shares of the groups, by md5.
+
+    A group's place in that order is its place among the groups whose md5 begins alike, and the number of
+    those before them: no task sees more than one of 4,096 ranges.
+    """
+    hashed = rows.select(group).distinct().withColumn("_md5", F.md5(F.concat(F.col(group).cast("string"), F.lit(f"#{seed}"))))
+    groups = hashed.withColumn("_range", F.substring("_md5", 1, 3))
+    sizes = groups.groupBy("_range").agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 rows at most
+    sizes = sizes.select("_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_all"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_md5")) - 1
+    share = (F.col("_before") + F.col("_place")) / F.col("_all")
+    named = groups.withColumn("_place", place).join(F.broadcast(sizes), "_range")
+    return rows.join(named.select(group, F.when(share < train, "train").when(share < train + validation, "validation").otherwise("test").alias("split")), group)

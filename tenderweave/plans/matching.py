@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import frontier, retrieval as R, rules as K
 from ..sources.storage import table
 from ..streaming import state as S
@@ -27,13 +28,13 @@ def query(name: str, sql: str | None = None):
 
 _TOK = r"""list_filter(list_distinct(regexp_split_to_array(regexp_replace(lower(coalesce({x}, '')), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', '', 'g'), '\s+')), lambda t: length(t) >= 2)"""
 _LEX = f"""q AS (SELECT item_id AS query_id, unnest({_TOK.replace('{x}', 'text')}) AS token FROM benchmark),
-    p AS (SELECT doc_id AS std_id, 3.0 AS w, unnest({_TOK.replace('{x}', 'substr(text, 1, 200)')}) AS token FROM documents UNION ALL SELECT doc_id, 1.5, unnest({_TOK.replace('{x}', 'text')}) FROM documents),
+    p AS (SELECT doc_id AS std_id, 3.0 AS w, unnest({_TOK.replace('{x}', 'split_part(text, chr(10), 1)')}) AS token FROM documents UNION ALL SELECT doc_id, 1.5, unnest({_TOK.replace('{x}', 'text')}) FROM documents),
     lex AS (SELECT query_id, std_id, sum(w) AS score, count(DISTINCT q.token) AS n_terms FROM q JOIN p ON p.token = q.token GROUP BY query_id, std_id)"""
 
 
 def _lexical(spark, sf):
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("std_id"), F.substring("text", 1, 200).alias("head"), "text")
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("std_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("head"), "text")
     return R.lexical_score(queries, rows, {"title": "head", "scope": "text"})
 
 
@@ -71,7 +72,9 @@ def a11(spark, sf):
 
 
 _FUSE = f"""WITH {_LEX}, lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, std_id) AS r FROM lex) WHERE r <= 20),
-    v AS (SELECT item_id AS query_id, doc_id AS std_id, ((doc_id * 37 + item_id * 11) % 200 - 100) / 100.0 AS score FROM benchmark, documents WHERE (doc_id + item_id) % 97 = 0 AND item_id % 4 <> 0),
+    e AS (SELECT kind, id, list_transform(range(0, 8), lambda i: CAST(('0x' || substr(h, CAST(i * 2 + 1 AS BIGINT), 2)) AS INT) / 127.5 - 1) AS x FROM (SELECT 1 AS kind, item_id AS id, sha256(text) AS h FROM benchmark UNION ALL SELECT 2, doc_id, sha256(text) FROM documents)),
+    u AS (SELECT kind, id, list_transform(x, lambda y: y / sqrt(list_sum(list_transform(x, lambda z: z * z)))) AS x FROM e),
+    v AS (SELECT a.id AS query_id, b.id AS std_id, round(list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2])), 12) AS score FROM u a, u b WHERE a.kind = 1 AND b.kind = 2 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2])), 12) DESC, b.id) <= 20),
     b AS (SELECT coalesce(lt.query_id, v.query_id) AS query_id, coalesce(lt.std_id, v.std_id) AS std_id, lt.score AS lex, v.score AS vec FROM lt FULL OUTER JOIN v ON v.query_id = lt.query_id AND v.std_id = lt.std_id),
     n AS (SELECT *, count(vec) OVER (PARTITION BY query_id) > 0 AS has, least(1, coalesce(lex, 0) / max(lex) OVER (PARTITION BY query_id)) AS l, CASE WHEN coalesce(vec, 0) <> 0 THEN (vec + 1) / 2 ELSE 0 END AS c FROM b),
     f AS (SELECT query_id, std_id, CASE WHEN has THEN 0.6 * coalesce(l, 0) + 0.4 * c ELSE l END AS raw, CASE WHEN has THEN 0.35 ELSE 0.2 END AS cut FROM n),
@@ -81,9 +84,9 @@ _FUSE = f"""WITH {_LEX}, lt AS (SELECT * FROM (SELECT *, row_number() OVER (PART
 @query("w18_hybrid_fuse", _FUSE + " SELECT query_id, std_id, CAST(score AS DOUBLE) AS score, total FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, std_id) <= 10")
 def w18(spark, sf):
     lexical = R.ranked(_lexical(spark, sf), [F.desc("score"), F.asc("std_id")], 20)
-    docs = table(spark, sf, "documents").select((F.pmod(-F.col("doc_id"), F.lit(97))).alias("_m"), F.col("doc_id").alias("std_id"))
-    items = table(spark, sf, "benchmark").where("item_id % 4 <> 0").select(F.pmod("item_id", F.lit(97)).alias("_m"), F.col("item_id").alias("query_id"))
-    vectors = docs.join(items, "_m").select("query_id", "std_id", (((F.col("std_id") * 37 + F.col("query_id") * 11) % 200 - 100) / 100.0).alias("score"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("std_id"), T.hash_embedding(F.col("text")).alias("vec"))
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), T.hash_embedding(F.col("text")).alias("vec"))
+    vectors = R.vector_top_k(items, docs, 20)
     return R.hybrid_fuse(lexical, vectors, 0.6, 0.4, 10).select("query_id", "std_id", "score", "total")
 
 

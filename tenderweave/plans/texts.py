@@ -181,7 +181,7 @@ def x21(spark, sf):
 
 @query(
     "x12_quality_gate",
-    r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(substr(text, 1, 4000)), '[^a-z]+'), lambda w: w <> '') AS w FROM documents),
+    r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> '') AS w FROM documents),
         s AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: NOT regexp_matches(x, '[aeiouy]') OR regexp_matches(x, '[bcdfghjklmnpqrstvwxz]{5}') OR len(list_distinct(string_split(x, ''))) < 3)) AS odd FROM t)
         SELECT doc_id, n::INT AS n_words, odd::INT AS n_odd, CASE WHEN n < 3 THEN 'too_short' WHEN 2 * odd > n THEN 'no_words' ELSE 'accepted' END AS outcome FROM s""",
 )
