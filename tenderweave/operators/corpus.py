@@ -40,11 +40,6 @@ def quality_gate(docs: DataFrame) -> DataFrame:
     return counted.withColumn("outcome", F.when(F.col("n_words") < 3, "too_short").when(2 * F.col("n_odd") > F.col("n_words"), "no_words").otherwise("accepted"))
 
 
-def split_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, clause): the lines of a text that are not blank."""
-    return docs.select("doc_id", F.posexplode(F.split("text", r"\n+")).alias("pos", "clause")).withColumn("clause", F.trim("clause")).where("clause <> ''")
-
-
 def classify(text: Column, rules: list[tuple[str, str]], default: str) -> Column:
     """The label of the first pattern that occurs in the lower-cased text."""
     out = F

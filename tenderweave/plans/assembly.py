@@ -91,12 +91,6 @@ def f20(spark, sf):
 _DOMAINS = [("metal goods", ["steel", "brass", "copper"]), ("tin ware", ["tin"]), ("nickel goods", ["nickel"])]
 
 
-@query("p14_infer_scope", "SELECT p_partkey, CASE WHEN regexp_matches(lower(p_type), 'steel|brass|copper') THEN 'Covers metal goods.' WHEN contains(lower(p_type), 'tin') THEN 'Covers tin ware.' WHEN contains(lower(p_type), 'nickel') THEN 'Covers nickel goods.' ELSE 'Covers requirements for ' || lower(p_type) || '.' END AS scope FROM part")
-def p14(spark, sf):
-    found = T.classify_first(F.col("p_type"), _DOMAINS, "")
-    return table(spark, sf, "part").select("p_partkey", F.when(found != "", F.concat(F.lit("Covers "), found, F.lit("."))).otherwise(F.concat(F.lit("Covers requirements for "), F.lower("p_type"), F.lit("."))).alias("scope"))
-
-
 @query("p16_thesaurus", "SELECT p_partkey, concat_ws(' ', p_name, CASE WHEN regexp_matches(lower(p_type), 'steel|brass|copper') THEN 'alloy plate rod' END, CASE WHEN contains(lower(p_type), 'small') THEN 'compact' END) AS expanded FROM part")
 def p16(spark, sf):
     table_ = [("alloy plate rod", ["steel", "brass", "copper"]), ("compact", ["small"])]

@@ -51,6 +51,47 @@ FETCHES = """
     FROM {events}"""
 
 
+def _pick(key: str, texts: list[str]) -> str:
+    """SQL: one of the texts by key."""
+    return f"CASE {key} % {len(texts)} " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(texts[:-1])) + f" ELSE '{texts[-1]}' END"
+
+
+_TITLES = [
+    "LED street light luminaire for road lighting", "PVC insulated cable for fixed wiring : Part 2", "Power transformer, oil immersed - Section 4 Losses", "Squirrel cage motor efficiency, method of measurement", "Switchgear and controlgear assemblies - Part 1 General",
+    "Household refrigerator safety requirements", "Code of practice for electrical wiring", "Solar PV module design and performance", "Medical electrical equipment for hospital use, safety standard", "Submersible pump installation guide", "Cement and concrete for industrial plant.",
+    "Steel fasteners, vocabulary", "Graphical symbols for railway traction", "Lithium-ion battery energy storage : Part 3 Testing of cells", "Watt-hour meter accuracy test", "Coal mine fans", "Paint for ship hulls", "Cotton fabric, determination of strength", "Fire extinguisher maintenance",
+    "Drinking water", "Office furniture specification", "Wooden toys", "Cross Linked Polyethylene (XLPE) insulated, PVC sheathed cable for highways", "Glossary of terms and definitions", "Zinc coated wire", "Rubber lined pipe",
+]
+
+#: Standards over part with spoken titles, parts, sections and scopes of several shapes.
+TITLES = f"""
+    SELECT p_partkey AS std_id, concat({_pick('p_partkey', _TITLES)}, CASE WHEN p_size % 5 = 0 THEN concat(' (', p_name, ')') ELSE '' END) AS title,
+           CASE p_partkey % 6 WHEN 0 THEN 'IS 732' WHEN 1 THEN 'IS 15885' WHEN 2 THEN concat('IS ', p_partkey % 700, ' : Part ', p_size % 3 + 1) ELSE concat('IS ', p_partkey % 700) END AS is_number,
+           CASE WHEN p_size % 3 = 0 THEN NULL ELSE concat('Part ', p_size % 3 + 1) END AS part, CASE WHEN p_size % 6 = 1 THEN concat('Sec ', p_size % 4 + 1) ELSE NULL END AS section,
+           CASE WHEN p_size % 7 = 0 THEN NULL ELSE 1975 + p_size END AS year, p_size % 4 AS n_amendments, CASE WHEN p_partkey % 5 = 0 THEN concat('IS ', p_partkey % 90) ELSE '' END AS reference,
+           CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN concat(chr(123), '"value": "Covers ', p_type, '", "source_type": "official", "verified": true', chr(125)) WHEN 3 THEN concat(chr(123), '"value": "Made up", "source_type": "synthetic", "verified": false', chr(125)) ELSE concat('Covers ', p_type) END AS scope,
+           CASE WHEN p_size % 8 = 0 THEN NULL ELSE concat('On ', p_type) END AS summary, CASE p_size % 3 WHEN 0 THEN 'BIS Curated' WHEN 1 THEN 'BIS' ELSE 'Portal' END AS source, CASE WHEN p_size % 9 = 0 THEN NULL WHEN p_size % 9 < 5 THEN 'active' ELSE 'withdrawn' END AS status,
+           CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size % 5 < 3 END AS mandatory, CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN true ELSE p_size % 2 = 0 END AS verified, CASE WHEN p_size % 3 = 0 THEN ' ISI Mark ' ELSE '' END AS scheme
+    FROM {{part}}"""
+
+_LINES = [
+    "The luminaire shall conform to IS 10322 : Part 5 : 2012 with IP66 protection", "Bidder must hold a valid BIS certification and ISI mark", "Type test reports shall be furnished", "Luminous efficacy of at least 110 lm/W", "Body of die cast aluminium", "Delivery within thirty days",
+    "Installation, fixing and testing at site", "The OEM shall have three years of experience", "XLPE insulated cable as per IS 7098 : Part 1", "PVC insulated and galvanised armoured cable to IS 694", "Earthing as per good practice", "Payment terms apply", "see IS 732", "A CRI over 80 and 3.5 core cable",
+]
+
+#: Lines of tenders over lineitem.
+TENDER_LINES = f"""
+    SELECT l_orderkey AS tender_id, l_orderkey * 10 + l_linenumber AS line_id, l_linenumber AS pos, l_partkey AS std_id, {_pick('(l_orderkey + l_partkey)', _LINES)} AS text, CASE WHEN l_partkey % 9 = 0 THEN concat('IS ', l_partkey) ELSE NULL END AS reference
+    FROM {{lineitem}}"""
+
+#: Whole tender texts over orders: page marks, headings, numbered, lettered and bulleted lists, plain paragraphs.
+TENDERS = f"""
+    SELECT o_orderkey AS doc_id, concat('--- PAGE ', o_orderkey % 9 + 1, ' ---', chr(10), chr(10), {_pick('o_orderkey', ['TECHNICAL REQUIREMENTS', '2. SCOPE OF WORK', 'ELIGIBILITY (GENERAL)', 'Introduction'])}, chr(10), chr(10),
+           {_pick('o_orderkey', ['1. ', 'a) ', '- ', '4.1 '])}, {_pick('o_custkey', _LINES)}, ';', chr(10), 'as amended by Amd. 2 of the Govt. rules.', chr(10), {_pick('o_orderkey', ['2. ', 'b) ', '- ', '4.2 '])}, {_pick('(o_custkey + 3)', _LINES)}, '.', chr(10), {_pick('o_orderkey', ['3. ', 'd) ', '* ', 'Note that '])}, {_pick('(o_custkey + 5)', _LINES)},
+           chr(10), chr(10), 'Sl. No.', chr(10), chr(10), {_pick('(o_custkey + 7)', _LINES)}, '. It weighs 1.1 kg! ', {_pick('(o_custkey + 9)', _LINES)}, chr(10), chr(10), '.......', chr(10), chr(10), 'page 3 of 9', CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat(chr(10), chr(10), {_pick('(o_custkey + 11)', _LINES)}) END) AS text
+    FROM {{orders}}"""
+
+
 def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     names = [t for t in ("part", "supplier", "nation", "lineitem", "events", "orders", "customer", "documents", "pages", "benchmark", "embeddings", "labels", "conversations") if "{" + t + "}" in text]
     return spark.sql(text, **{t: table(spark, sf_dir, t) for t in names})

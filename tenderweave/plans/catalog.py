@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import assembly, catalogue, matching, reports, selection, texts
+from . import assembly, catalogue, clauses, matching, reports, selection, texts, vocabularies
 
 FLAGSHIP = "j1_merge_orders"
-_MODULES = (catalogue, texts, matching, selection, assembly, reports)
+_MODULES = (catalogue, texts, matching, selection, assembly, reports, vocabularies, clauses)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -139,22 +139,6 @@ def p10(spark, sf):
 _KINDS = [("Testing Method", ["test", "method"]), ("Steel", ["steel"]), ("Brass", ["brass"]), ("Copper", ["copper"])]
 
 
-@query("p13_infer_type", f"SELECT std_id, CASE WHEN contains(t, 'test') OR contains(t, 'method') THEN 'Testing Method' WHEN contains(t, 'steel') THEN 'Steel' WHEN contains(t, 'brass') THEN 'Brass' WHEN contains(t, 'copper') THEN 'Copper' ELSE 'General' END AS kind FROM (SELECT std_id, lower(title) AS t FROM ({_CAT}))")
-def p13(spark, sf):
-    return view(spark, sf, CATALOGUE).select("std_id", T.classify_first(F.col("title"), _KINDS, "General").alias("kind"))
-
-
-@query("p11_infer_categories", f"SELECT std_id, concat_ws(',', CASE WHEN contains(t, 'test') OR contains(t, 'method') THEN 'Testing Method' END, CASE WHEN contains(t, 'steel') THEN 'Steel' END, CASE WHEN contains(t, 'brass') THEN 'Brass' END, CASE WHEN contains(t, 'copper') THEN 'Copper' END) AS categories FROM (SELECT std_id, lower(title) AS t FROM ({_CAT}))")
-def p11(spark, sf):
-    return view(spark, sf, CATALOGUE).select("std_id", F.array_join(T.labels_of(F.col("title"), _KINDS), ",").alias("categories"))
-
-
-@query("p19_completeness", f"SELECT std_id, CAST((CASE WHEN title <> '' THEN 1 ELSE 0 END) + (CASE WHEN year IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN raw_status IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN price > 1000 THEN 1 ELSE 0 END) AS INT) AS score FROM ({_CAT})")
-def p19(spark, sf):
-    flags = [F.col("title") != "", F.col("year").isNotNull(), F.col("raw_status").isNotNull(), F.col("price") > 1000]
-    return view(spark, sf, CATALOGUE).select("std_id", sum(F.when(f, 1).otherwise(0) for f in flags).alias("score"))
-
-
 @query(
     "p30_parse_dates",
     """SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_linenumber % 3 = 2 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS DATE) AS parsed, CAST(year(l_shipdate) AS INT) AS year

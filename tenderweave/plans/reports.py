@@ -53,22 +53,6 @@ def s20(spark, sf):
 _RULES = [("Steel", ["steel"]), ("Metal", ["steel", "brass", "copper", "tin", "nickel"]), ("Small goods", ["small"]), ("Widgets", ["widget", "gizmo"]), ("Old", ["old"])]
 
 
-@query(
-    "p12_categories_top3",
-    f"""SELECT std_id, coalesce(nullif(array_to_string(list_filter([CASE WHEN contains(t, 'steel') THEN 'Steel' END, CASE WHEN regexp_matches(t, 'steel|brass|copper|tin|nickel') THEN 'Metal' END, CASE WHEN contains(t, 'small') THEN 'Small goods' END,
-        CASE WHEN regexp_matches(t, 'widget|gizmo') THEN 'Widgets' END, CASE WHEN contains(t, 'old') THEN 'Old' END], lambda x: x IS NOT NULL)[1:3], ','), ''), 'General Standards') AS categories FROM (SELECT std_id, lower(title) AS t FROM ({_CAT}))""",
-)
-def p12(spark, sf):
-    return view(spark, sf, CATALOGUE).select("std_id", F.array_join(Q.top_labels(F.col("title"), _RULES, 3, "General Standards"), ",").alias("categories"))
-
-
-@query("p18_infer_references", "SELECT p_partkey, CASE WHEN p_size % 4 <> 0 THEN 'own' ELSE coalesce(CASE p_brand WHEN 'Brand#11' THEN 'SP 30,IS 3043' WHEN 'Brand#23' THEN 'IS 694' END, '') END AS refs FROM part")
-def p18(spark, sf):
-    lookup = {"Brand#11": ["SP 30", "IS 3043"], "Brand#23": ["IS 694"]}
-    own = F.when(F.col("p_size") % 4 != 0, F.array(F.lit("own"))).otherwise(F.expr("cast(array() as array<string>)"))
-    return table(spark, sf, "part").select("p_partkey", F.array_join(Q.infer_references(own, F.col("p_brand"), lookup), ",").alias("refs"))
-
-
 @query("p35_fill_not_stated", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 AND p_size % 5 > 1 THEN p_type WHEN p_size % 3 = 0 THEN 'Not stated' ELSE p_name END AS product, p_size % 3 = 0 AND p_size % 5 > 1 AS filled FROM part")
 def p35(spark, sf):
     stated = F.when(F.col("p_size") % 3 == 0, "Not stated").otherwise(F.col("p_name"))
@@ -77,11 +61,6 @@ def p35(spark, sf):
     return table(spark, sf, "part").select("p_partkey", value.alias("product"), filled.alias("filled"))
 
 
-@query("p38_keywords", "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(string_split(lower(p_name), ' '), string_split(lower(p_type), ' ')))), ' ') AS keywords FROM part")
-def p38(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.array_join(F.array_sort(F.array_union(F.split(F.lower("p_name"), " "), F.split(F.lower("p_type"), " "))), " ").alias("keywords"))
-
-
 @query("w3_applicability_rerank", f"WITH {_RANK} SELECT query_id, pos, CAST(row_number() OVER (PARTITION BY query_id ORDER BY coalesce(CASE WHEN line % 3 <> 0 THEN bm25 END, 0) DESC, relevance DESC, pos) AS INT) AS rank FROM k")
 def w3(spark, sf):
     rows = _ranked(spark, sf).withColumn("ml_score", F.when(F.col("line") % 3 != 0, F.col("bm25")))

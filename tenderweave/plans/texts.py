@@ -189,25 +189,6 @@ def x12(spark, sf):
     return X.quality_gate(table(spark, sf, "documents"))
 
 
-_CLAUSES = "(SELECT doc_id, pos, trim(c) AS clause FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n+')) AS c, generate_subscripts(regexp_split_to_array(text, '\\n+'), 1) - 1 AS pos FROM documents) WHERE trim(c) <> '')"
-
-
-@query("x4_split_clauses", f"SELECT doc_id, count(*) AS n_clauses, max(length(clause))::INT AS longest, min(clause) AS least FROM {_CLAUSES} GROUP BY doc_id")
-def x4(spark, sf):
-    return X.split_lines(table(spark, sf, "documents")).groupBy("doc_id").agg(F.count("*").alias("n_clauses"), F.max(F.length("clause")).alias("longest"), F.min("clause").alias("least"))
-
-
-@query(
-    "x8_classify_category",
-    f"""SELECT category, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(l, 'licen[sc]e|copyright') THEN 'regulatory' WHEN regexp_matches(l, '[0-9]') THEN 'technical' WHEN regexp_matches(l, '[!#$%&|*]') THEN 'noise' ELSE 'other' END AS category
-        FROM (SELECT lower(clause) AS l FROM {_CLAUSES})) GROUP BY category""",
-)
-def x8(spark, sf):
-    clauses = X.split_lines(table(spark, sf, "documents"))
-    rules = [("regulatory", "licen[sc]e|copyright"), ("technical", "[0-9]"), ("noise", "[!#$%&|*]")]
-    return clauses.groupBy(X.classify(F.col("clause"), rules, "other").alias("category")).agg(F.count("*").alias("n"))
-
-
 @query(
     "x2_citations",
     r"""WITH t AS (SELECT l_orderkey AS doc_id, string_agg(concat('Item ', l_linenumber, ' shall conform to IS ', l_partkey, CASE WHEN l_linenumber % 2 = 0 THEN concat(' (Part ', l_linenumber, ')') ELSE '' END, CASE WHEN l_linenumber % 3 = 0 THEN concat(':', 1980 + CAST(l_quantity AS INT)) ELSE '' END, ' at ', l_suppkey, ' V.'), ' ' ORDER BY l_linenumber, l_partkey) AS text FROM lineitem GROUP BY l_orderkey),
