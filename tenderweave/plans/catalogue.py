@@ -97,23 +97,11 @@ def p6(spark, sf):
     )
 
 
-def _designation(x: str) -> str:
-    x = f"upper(trim({x}))"
-    for pattern, new in (
-        (r"^(IS(?:/[A-Z]+)?)\s*(\d+)", r"\1 \2"), (r"\s+", " "), (r"\s*:\s*\d{4}.*$", ""), (r"(?:\s*:\s*|\s+)(PART\s*\d+(?:\s+AND\s+\d+)?[A-Z]*)(?:\s*:\s*|\s+)(SEC\s*\d+[A-Z]*)", r"(\1/\2)"),
-        (r"(?:\s*:\s*|\s+)(PART\s*\d+(?:\s+AND\s+\d+)?[A-Z]*)", r"(\1)"), (r"(?:\s*:\s*|\s+)(SEC\s*\d+[A-Z]*)", r"(\1)"), (r"\(\s*(PART|SEC)\s+", r"(\1 "), (r"\s*\)", ")"), (r"\s*\((PART|SEC)", r" (\1"),
-    ):
-        x = f"regexp_replace({x}, '{pattern}', '{new}', 'g')"
-    return f"trim({x})"
-
-
-_PARSE = r"^(IS(?:/[A-Z]+)? \d+)(?: \(PART (\w+)(?:/SEC (\w+))?\))?"
-
-
 @query(
     "p7_parse_designation",
-    f"""SELECT std_id, d AS normalized, nullif(regexp_extract(d, '{_PARSE}', 1), '') AS number, nullif(regexp_extract(d, '{_PARSE}', 2), '') AS part, nullif(regexp_extract(d, '{_PARSE}', 3), '') AS section
-        FROM (SELECT std_id, {_designation('is_number')} AS d FROM ({_CAT}))""",
+    f"""SELECT std_id, CASE WHEN m.digits <> '' THEN m.publisher || ' ' || m.digits || CASE WHEN inside <> '' THEN ' (' || inside || ')' ELSE '' END ELSE x END AS normalized, CASE WHEN m.digits <> '' THEN m.publisher || ' ' || m.digits END AS number, nullif(m.part, '') AS part, nullif(m.section, '') AS section
+        FROM (SELECT std_id, x, m, concat_ws('/', CASE WHEN m.part <> '' THEN 'PART ' || m.part END, CASE WHEN m.section <> '' THEN 'SEC ' || m.section END) AS inside
+              FROM (SELECT std_id, x, regexp_extract(x, '{N.DESIGNATION}', ['publisher', 'digits', 'part', 'section']) AS m FROM (SELECT std_id, {_collapse('upper(is_number)')} AS x FROM ({_CAT}))))""",
 )
 def p7(spark, sf):
     x = F.col("is_number")
