@@ -100,17 +100,6 @@ def a17(spark, sf):
     return rows.groupBy("host").agg(F.count("*").alias("pages"), F.count_if(~F.col("ok")).alias("failed"), F.count_distinct("url").alias("urls"), F.count_if(F.col("hash") == "").alias("empty"))
 
 
-@query(
-    "a18_material_vocabulary",
-    """WITH v AS (SELECT split_part(p_name, ' ', 2) AS attribute, split_part(p_name, ' ', 1) AS alias, p_brand AS material, p_partkey, p_size % 5 = 0 AS withdrawn FROM part)
-       SELECT attribute, alias, min(material) AS material, count(DISTINCT CASE WHEN NOT withdrawn THEN p_partkey END) AS n_designations FROM v GROUP BY attribute, alias HAVING count(DISTINCT material) = 1""",
-)
-def a18(spark, sf):
-    name = F.split("p_name", " ")
-    rows = table(spark, sf, "part").select(name[1].alias("attribute"), name[0].alias("alias"), F.col("p_brand").alias("material"), F.col("p_partkey").alias("designation"), (F.col("p_size") % 5 == 0).alias("withdrawn"))
-    return Q.material_vocabulary(rows)
-
-
 @query("j20_evidence_table", f"SELECT f.req_id, f.verdict, s.number, e.first_order FROM {_FIND} f JOIN ({_STD}) s ON s.std_id = f.std_id LEFT JOIN (SELECT l_partkey, min(l_orderkey) AS first_order FROM lineitem WHERE l_quantity > 49 GROUP BY l_partkey) e ON e.l_partkey = f.std_id")
 def j20(spark, sf):
     evidence = table(spark, sf, "lineitem").where("l_quantity > 49").groupBy(F.col("l_partkey").alias("std_id")).agg(F.min("l_orderkey").alias("first_order"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from ..functions.vocabulary import point_id
 from pyspark.sql.types import StructType
 
 
@@ -40,7 +42,7 @@ def write_catalogue(df: DataFrame, inputs: DataFrame, key: str, path: str) -> No
 
 def index_mark(df: DataFrame, key: str) -> DataFrame:
     """One row (n, checksum) that changes with any key; the order of rows doesn't matter."""
-    return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(key).cast("decimal(38,0)")).alias("checksum"))
+    return df.agg(F.count("*").alias("n"), F.sum(point_id(F.col(key).cast("string")).cast("decimal(38,0)")).cast("string").alias("checksum"))
 
 
 def index_is_fresh(df: DataFrame, mark: DataFrame, key: str) -> bool:
