@@ -5,22 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.normalize import classify_link, normalize_url, resolve_url
+
 CITATION = r"(?i)\bIS\s*\d+(?:\s*\(Part\s*\d+\))?(?::\d{4})?"
 BLOCKED = "captcha|access denied|are you a robot|unusual traffic"
 #: In lower-case text: a run of letters without a vowel, with five consonants in a row, or of one or two different letters.
 ODD_WORD = r"(?<![a-z])(?:[bcdfghjklmnpqrstvwxz]+|[a-z]*[bcdfghjklmnpqrstvwxz]{5}[a-z]*|([a-z])\1*(?:([a-z])(?:\1|\2)*)?)(?![a-z])"
 
 
+LINK = r"""(?i)<a\s(?:[^>]*\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
 def html_links(pages: DataFrame) -> DataFrame:
-    """(page_id, href): the link targets of each page, in its order."""
-    return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), 1)).alias("href"))
+    """(page_id, pos, href): the link targets of each page, in its order, however they are quoted."""
+    tags = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(LINK), 0)).alias("pos", "tag"))
+    group = lambda k: F.regexp_extract("tag", LINK, k)
+    return tags.select("page_id", "pos", F.concat(group(1), group(2), group(3)).alias("href"))
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, url, kind, mime): the links of pages (page_id, url, html) as canonical absolute URLs; kind
+    is document, pagination or navigation. Links that lead to no web page are left out."""
+    links = html_links(pages).join(pages.select("page_id", F.col("url").alias("base")), "page_id")
+    found = links.withColumn("url", normalize_url(resolve_url(F.col("base"), F.col("href")))).where("url <> ''")
+    kind, mime = classify_link(F.col("url"))
+    return found.select("page_id", "pos", "url", kind.alias("kind"), mime.alias("mime"))
+
+
+def _meta(name: str) -> Column:
+    return F.trim(F.regexp_extract("html", rf'(?i)<meta\s[^>]*name="{name}"[^>]*content="([^"]*)"', 1))
 
 
 def html_metadata(pages: DataFrame) -> DataFrame:
-    """(page_id, title, lang, n_headings)."""
+    """(page_id, title, lang, n_headings, description, keywords, json_ld)."""
     return pages.select(
-        "page_id", F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), F.regexp_extract("html", r'(?i)<html[^>]*lang="([^"]*)"', 1).alias("lang"), F.regexp_count("html", F.lit(r"(?i)<h[1-3][ >]")).alias("n_headings")
-    )
+        "page_id", F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), F.regexp_extract("html", r'(?i)<html[^>]*lang="([^"]*)"', 1).alias("lang"), F.regexp_count("html", F.lit(r"(?i)<h[1-3][ >]")).alias("n_headings"),
+        _meta("description").alias("description"), _meta("keywords").alias("keywords"), F.trim(F.regexp_extract("html", r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>', 1)).alias("json_ld"),
+    )
+
+
+def html_tables(pages: DataFrame) -> DataFrame:
+    """(page_id, table, row, col, value, header): the cells of the tables of each page; markup inside a cell goes,
+    white space is collapsed. A table inside a cell of another one ends that one."""
+    tables = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<table(?:\s[^>]*)?>(.*?)(?=<table[\s>]|</table>|$)"), 1)).alias("table", "body"))
+    rows = tables.select("page_id", "table", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)<tr(?:\s[^>]*)?>(.*?)(?=<tr[\s>]|</tr>|$)"), 1)).alias("row", "cells"))
+    cells = rows.select("page_id", "table", "row", F.posexplode(F.regexp_extract_all("cells", F.lit(r"(?is)(<t[dh](?:\s[^>]*)?>.*?)(?=<t[dh][\s>]|</t[dh]>|$)"), 1)).alias("col", "cell"))
+    value = F.trim(F.regexp_replace(F.regexp_replace("cell", "<[^>]*>", " "), r"\s+", " "))
+    return cells.select("page_id", "table", "row", "col", value.alias("value"), F.col("cell").rlike("(?i)^<th").alias("header"))
 
 
 def blocked_page(body: Column, status: Column) -> Column:

@@ -9,6 +9,7 @@ from ..functions import normalize as N
 from ..functions import text as T
 from ..operators import corpus as X
 from ..sources.storage import table
+from .base import view
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -151,8 +152,8 @@ def p24(spark, sf):
 
 @query(
     "x17_html_links",
-    r"""SELECT page_id, count(*) AS n_links, count(DISTINCT href) AS n_distinct, count(*) FILTER (WHERE href LIKE '/%') AS n_relative, min(href) AS first_href
-        FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1)) AS href FROM pages) GROUP BY page_id""",
+    rf"""SELECT page_id, count(*) AS n_links, count(DISTINCT href) AS n_distinct, count(*) FILTER (WHERE href LIKE '/%') AS n_relative, min(href) AS first_href
+        FROM (SELECT page_id, regexp_extract(t, '{X.LINK.replace("'", "''")}', 1) || regexp_extract(t, '{X.LINK.replace("'", "''")}', 2) || regexp_extract(t, '{X.LINK.replace("'", "''")}', 3) AS href FROM (SELECT page_id, unnest(regexp_extract_all(html, '{X.LINK.replace("'", "''")}')) AS t FROM pages)) GROUP BY page_id""",
 )
 def x17(spark, sf):
     links = X.html_links(table(spark, sf, "pages"))
@@ -161,12 +162,30 @@ def x17(spark, sf):
 
 @query(
     "x16_html_metadata",
-    r"""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, regexp_extract(html, '(?i)<html[^>]*lang="([^"]*)"', 1) AS lang, len(regexp_extract_all(html, '(?i)<h[1-3][ >]'))::INT AS n_headings FROM pages""",
+    r"""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, regexp_extract(html, '(?i)<html[^>]*lang="([^"]*)"', 1) AS lang, len(regexp_extract_all(html, '(?i)<h[1-3][ >]'))::INT AS n_headings, trim(regexp_extract(html, '(?i)<meta\s[^>]*name="description"[^>]*content="([^"]*)"', 1)) AS description,
+        trim(regexp_extract(html, '(?i)<meta\s[^>]*name="keywords"[^>]*content="([^"]*)"', 1)) AS keywords, trim(regexp_extract(html, '(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>', 1)) AS json_ld FROM pages""",
 )
 def x16(spark, sf):
     return X.html_metadata(table(spark, sf, "pages"))
 
 
+_PRICES = "SELECT o_orderkey AS page_id, concat('<p>x</p><TABLE class=\"a\"><tr><th>Key</th><th scope=\"col\">Priority</th></tr><tr><td>', o_custkey, '</td><td> <b>', o_orderpriority, '</b>', chr(10), '</td></tr></TABLE><table><tr><td>', o_orderstatus, '<td>end</table>') AS html FROM {orders}"
+
+
+@query(
+    "x16_html_tables",
+    """SELECT o_orderkey AS page_id, c.t::INT AS "table", c.r::INT AS row, c.c::INT AS col, c.v AS value, c.h AS header FROM (SELECT *, unnest([{'t': 0, 'r': 0, 'c': 0, 'v': 'Key', 'h': true}, {'t': 0, 'r': 0, 'c': 1, 'v': 'Priority', 'h': true}, {'t': 0, 'r': 1, 'c': 0, 'v': o_custkey::VARCHAR, 'h': false},
+        {'t': 0, 'r': 1, 'c': 1, 'v': o_orderpriority, 'h': false}, {'t': 1, 'r': 0, 'c': 0, 'v': o_orderstatus, 'h': false}, {'t': 1, 'r': 0, 'c': 1, 'v': 'end', 'h': false}]) AS c FROM orders)""",
+)
+def x16_tables(spark, sf):
+    return X.html_tables(view(spark, sf, _PRICES))
+
+
+@query("x17_page_links")
+def x17_page_links(spark, sf):
+    return X.page_links(table(spark, sf, "pages"))
+
+
 @query("x19_blocked_page", "SELECT page_id, regexp_matches(lower(html), 'captcha|access denied|are you a robot|unusual traffic') OR page_id % 50 IN (1, 3, 29) AS blocked FROM pages")
 def x19(spark, sf):
     status = F.when(F.col("page_id") % 50 == 1, 401).when(F.col("page_id") % 50 == 3, 403).when(F.col("page_id") % 50 == 29, 429).otherwise(200)

@@ -49,7 +49,7 @@ def test_fusion_rules(spark):
 def test_vector_blocks_agree(spark):
     rows = spark.createDataFrame([(i, [float(i % 7 - 3), float(i % 5), 1.0 if i else 0.0]) for i in range(60)], "std_id long, vec array<double>")
     queries = rows.where("std_id % 6 = 0").withColumnRenamed("std_id", "query_id")
-    one, several = (sorted(tuple(r) for r in R.vector_top_k(queries, rows, 4, block=b).collect()) for b in (100, 3))
+    one, several = (sorted(tuple(r) for r in R.vector_top_k(queries, rows, 4, chunk=b).collect()) for b in (100, 3))
     assert one == several and len(one) == 40
     assert R.vector_top_k(queries.limit(0), rows, 4).collect() == []
 
