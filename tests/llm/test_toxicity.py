@@ -53,3 +53,26 @@ def test_without_positives_and_without_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.predicted for r in toxicity(df, none).collect()] == [0, 0]
     assert toxicity(df.limit(0), none).collect() == []
+
+
+def test_training_lowers_the_non_negative_risk():
+    import numpy as np
+
+    from tenderweave.llm.toxicity import train
+
+    rng = np.random.default_rng(3)
+    toxic = np.concatenate([np.ones(300, bool), rng.random(1500) < 0.2])  # 300 confirmed, 1,500 unlabelled of which a fifth are toxic
+    x = (rng.random((1800, 6)) < np.where(toxic[:, None], [0.8, 0.7, 0.1, 0.3, 0.3, 0.3], [0.05, 0.1, 0.5, 0.3, 0.3, 0.3])).astype(np.float32)
+    positive = np.arange(1800) < 300
+
+    def risk(w):
+        g = np.hstack([x, np.ones((1800, 1))]) @ w
+        loss = lambda z: 1 / (1 + np.exp(z))
+        p, u = g[positive], g[~positive]
+        return 0.2 * loss(p).mean() + max(0, loss(-u).mean() - 0.2 * loss(-p).mean())
+
+    start = np.append(np.zeros(6), np.log(0.2 / 0.8))
+    few, many = train(x, positive, 0.2, steps=20), train(x, positive, 0.2, steps=400)
+    assert risk(many) < risk(few) < risk(start)
+    guess = np.hstack([x, np.ones((1800, 1))])[~positive] @ many > 0
+    assert (guess == toxic[~positive]).mean() > 0.9
