@@ -37,6 +37,7 @@ GAZETTE_DATE = rf"\b(\d{{1,2}}-[A-Za-z]{{3}}-[12]\d{{3}}|{ISO_DATE})\b"
 GAZETTE_ID = r"\b(CG-[A-Z]{2}-[EW]-\d{8}-\d+)\b"
 ORDER_NUMBER = r"(?i)S\.?\s*O\.?\s*(\d+)"
 ORDER_SERIES = r"(?i)S\.?\s*O\.?\s*\d+\s*\(([A-Za-z0-9]+)\)"
+SERIES_ORDER = r"(?i)\bS\.O\.\s*(\d+)\s*\([A-Z]\)"
 NUMBER = r"(?i)\bIS\s*(\d{2,6})\b"
 NUMBER_AND_YEAR = r"(?i)\bIS\s*(\d{2,6}(?:\s*[:/\-]\s*Part\s*\d+)?(?:\s*[:\-]?\s*[12]\d{3})?)\b"
 DRAFT_NUMBER = r"(?i)\b(?:DRAFT|DOC|WC)\s*[:\-]?\s*(\w+[/\-]\w+)\b"
@@ -124,7 +125,7 @@ def catalogue_standards(pages: DataFrame) -> DataFrame:
     Part and section are those of the first mention, the year the first one given with a mention or on its line,
     the committee the first on such a line, else the page's first (in its first 2,000 characters). The title is the
     longest line naming the standard, cut to 120 characters (of longer ones the last); a line under 25 characters
-    takes the next one with it. IS itself is no committee.
+    takes the next one with it. Citations are upper-case, as in scan_citations; IS itself is no committee.
     """
     lines = pages.select("doc_id", F.posexplode(F.split("text", r"\R")).alias("line_no", "raw")).withColumn("line", F.trim("raw"))
     lines = lines.withColumn("next", F.lead("line").over(Window.partitionBy("doc_id").orderBy("line_no")))
@@ -156,7 +157,7 @@ def payloads(pages: DataFrame) -> DataFrame:
     title = F.coalesce("title", F.when(kind == "bis", "Indian Standard Document").when(kind == "draft", "Wide Circulation Draft Standard"))
     own = F.when(kind == "bis", F.coalesce(number, F.when(F.contains(title, F.lit("IS")), title), F.lit(NO_NUMBER)))
     own = own.when(kind == "draft", F.coalesce(F.concat(F.lit("DRAFT "), _first(text, DRAFT_NUMBER)), F.lit(NO_DRAFT))).when(kind == "tender", F.coalesce(_first(text, TENDER_ID), F.lit(NO_TENDER)))
-    own = own.when(kind == "order", F.coalesce(F.concat(F.lit("S.O. "), _first(text, r"(?i)\bS\.O\.\s*(\d+)\s*\([A-Z]\)"), F.lit("(E)")), F.lit(NO_ORDER)))
+    own = own.when(kind == "order", F.coalesce(F.concat(F.lit("S.O. "), _first(text, SERIES_ORDER), F.lit("(E)")), F.lit(NO_ORDER)))
     authority = F.when(kind == "tender", F.coalesce("author", F.lit("Central Public Procurement Portal"))).when(kind == "order", "Ministry / DPIIT")
     return pages.select("doc_id", "kind", own.alias("identifier"), title.alias("title"), authority.alias("authority"), F.when(kind == "tender", text).when(kind == "order", F.left(text, F.lit(2000))).otherwise(F.left(text, F.lit(1500))).alias("excerpt"))
 

@@ -92,6 +92,16 @@ TENDERS = f"""
     FROM {{orders}}"""
 
 
+#: Pages of notices over orders and customer: catalogue pages, drafts, tenders, orders, and others.
+NOTICES = f"""
+    SELECT o_orderkey AS doc_id, {_pick('o_orderkey', ['bis', 'draft', 'tender', 'order', 'other'])} AS kind,
+           CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE concat({_pick('o_custkey', ['Standards list', 'Tender Ref: NH/', 'Order on cables ', 'CG-DL-E-01012024-'])}, o_custkey) END AS title, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE c_name END AS author,
+           CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE concat({_pick('o_custkey', ['ETD 20 ', 'CPWD notice. ', 'The Railways and MES. ', 'Ministry of Steel order. ', 'Plain. '])}, {_pick('o_orderkey', ['Tender ID: ', 'Tender Notice No - ', 'DOC: MED/', 'S.O. '])}, o_custkey, {_pick('o_custkey', [' (E)', ' ', '/24 ', '. '])}, chr(10),
+               {_pick('(o_orderkey + o_custkey)', _LINES)}, chr(10), 'See is ', o_custkey % 400 + 10, ' : Part ', o_orderkey % 4 + 1, ' : ', 1990 + o_orderkey % 30, ' and IS ', o_orderkey % 90 + 10, ' of ', o_orderdate, chr(10), 'IS ', o_custkey % 400 + 10, chr(10), {_pick('(o_orderkey + 3)', _LINES)}, '.', chr(10),
+               {_pick('o_custkey', ['Closing Date: 2024-03-05', 'Submission date - 12th March 2024', 'Due Date 3 May 2025', 'From 1st Apr 2023'])}, chr(10), {_pick('o_orderkey', ['CG-DL-E-02022023-5', 'nothing more', 'IS 732 of 2019, code of practice for the electrical wiring of installations in homes and offices, with the parts that follow it below'])}) END AS text
+    FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey"""
+
+
 def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     names = [t for t in ("part", "supplier", "nation", "lineitem", "events", "orders", "customer", "documents", "pages", "benchmark", "embeddings", "labels", "conversations") if "{" + t + "}" in text]
     return spark.sql(text, **{t: table(spark, sf_dir, t) for t in names})
