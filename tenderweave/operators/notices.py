@@ -70,7 +70,7 @@ def tender_notices(pages: DataFrame) -> DataFrame:
     """
     text, title = _filled("text"), F.coalesce("title", F.lit("Public Procurement Tender Notice"))
     referenced = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(NUMBER), 1), lambda n: F.concat(F.lit("IS "), n)))
-    lines = F.transform(F.split(text, r"\R"), F.trim)
+    lines = F.transform(F.split(text, r"\R"), lambda x: F.trim(x))
     naming = F.filter(lines, lambda x: (F.length(x) > LEAST_CLAUSE) & F.exists("referenced", lambda r: F.contains(x, r)))
     rows = pages.withColumn("referenced", referenced)
     return rows.select(
