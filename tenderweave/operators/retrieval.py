@@ -41,7 +41,7 @@ def lexical_score(queries: DataFrame, catalogue: DataFrame, fields: dict[str, st
 
 
 def ranked(scored: DataFrame, by: list[Column], k: int | None, group: str = "query_id") -> DataFrame:
-    """Rows with rank (1 is best) and the group's total before the cut; the first k of each group."""
+    """Rows with rank (1 is best), the first k of each group."""
     out = scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*by)))
     return out.where(F.col("rank") <= k) if k else out
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.catalogue import upsert_rows
+
 
 def document_state(fetches: DataFrame) -> DataFrame:
     """fetches (url, hash, ts, seq) with state: new, unchanged, modified or duplicate_url.
@@ -75,3 +77,38 @@ def windowed_activity(events: DataFrame, width: str = "1 hour", late: str = "10
 def analysis_status(events: DataFrame, key: str) -> DataFrame:
     """(key, status, n): the latest status of each key, ties by the greatest seq."""
     return events.groupBy(key).agg(F.max_by("status", F.struct("ts", "seq")).alias("status"), F.count("*").alias("n"))
+
+
+def ingest(state: DataFrame, target: DataFrame, batch: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One step of ingestion: (outcomes, new state, new target) of fetches batch (url, hash, ts, seq, code, and the
+    columns of target but version).
+
+    Code 304 and an unchanged hash are unchanged, a code of 400 or more is failed; neither touches target. The last
+    row of a key by (ts, seq) that is left replaces that of target; its version is its seq.
+    """
+    fetched = batch.where("code < 400 and code <> 304")
+    results, kept = advance(state, fetched.select("url", "hash", "ts", "seq"))
+    told = batch.join(results.select("url", "seq", F.col("state").alias("_state")), ["url", "seq"], "left")
+    outcome = F.when(F.col("code") == 304, "unchanged").when(F.coalesce("code", F.lit(500)) >= 400, "failed").when(F.col("_state") == "unchanged", "unchanged").otherwise("success")
+    told = told.withColumn("outcome", outcome)
+    newest = Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("seq"))
+    fresh = told.where("outcome = 'success'").withColumn("version", F.col("seq")).withColumn("_n", F.row_number().over(newest)).where("_n = 1")
+    return told.drop("_state"), kept, upsert_rows(target, fresh.select(target.columns), key)
+
+
+def run_ingest_stream(stream: DataFrame, folder: str, checkpoint: str, key: str, fields: list[str]):
+    """Starts ingestion of a stream; outcomes, state and catalogue of batch n are written under its number, so that a
+    batch run again, after a failure, overwrites itself and starts from what batch n - 1 left."""
+    spark = stream.sparkSession
+
+    def handle(batch: DataFrame, n: int) -> None:
+        if n:
+            state, target = (spark.read.parquet(f"{folder}/{part}/{n - 1}") for part in ("state", "catalogue"))
+        else:
+            state = spark.createDataFrame([], batch.select("url", "hash", "ts", "seq").schema)
+            target = spark.createDataFrame([], batch.select(*fields, F.col("seq").alias("version")).schema)
+        outcomes, kept, rows = ingest(state, target, batch, key)
+        for part, df in (("outcomes", outcomes), ("state", kept), ("catalogue", rows)):
+            df.write.mode("overwrite").parquet(f"{folder}/{part}/{n}")
+
+    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
