@@ -61,3 +61,18 @@ def summary_names(summary: Column, given: Column) -> tuple[Column, Column]:
     """(whether the text names only what was given, how many different numbers it names)."""
     named = F.array_distinct(F.regexp_extract_all(summary, F.lit(r"\bIS \d+"), 0))
     return F.size(F.array_except(named, given)) == 0, F.size(named).cast("long")
+
+
+def excerpt_choice(candidates: DataFrame, evidence: DataFrame, group: str) -> DataFrame:
+    """(group, std_id, pos, score, excerpt): the distinct standards of candidates (group, pos, std_id, own_score, score,
+    own_excerpt, scope), each at its first place.
+
+    The excerpt is the standard's own, else those of its evidence (group, std_id, pos, excerpt) in their order with
+    rules between, else its scope, else null; blanks count for nothing. The score is the standard's own, else
+    that of the retrieval.
+    """
+    first = candidates.groupBy(group, "std_id").agg(F.min_by(F.struct("pos", "own_score", "score", "own_excerpt", "scope"), "pos").alias("c"))
+    texts = evidence.withColumn("excerpt", F.trim("excerpt")).where("excerpt <> ''").groupBy(group, "std_id")
+    said = texts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "excerpt"))), lambda x: x["excerpt"]), "\n---\n").alias("said"))
+    given = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return first.join(said, [group, "std_id"], "left").select(group, "std_id", "c.pos", F.coalesce("c.own_score", "c.score").alias("score"), F.coalesce(given("c.own_excerpt"), "said", given("c.scope")).alias("excerpt"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import notices as N
+from ..operators.records import excerpt_choice
 from .base import NOTICES, ORDERS, plain, view
 
 _D, _O = plain(NOTICES), plain(ORDERS)
@@ -102,3 +103,15 @@ _POLICIES = [(1, "A", "a.example", False, ["/1"], []), (2, "B", "b.example", Fal
 def p26(spark, sf):
     policies = spark.createDataFrame(_POLICIES, "pos int, source string, domain string, blocked boolean, denied array<string>, allowed array<string>")
     return N.crawl_decisions(view(spark, sf, _URLS), policies)
+
+
+# the lines of an order propose their parts, with a part's own text or a line's as evidence
+_PROPOSED = "SELECT l_orderkey AS analysis_id, l_linenumber * 1000000 + l_partkey AS pos, l_partkey AS std_id, CAST(NULL AS DOUBLE) AS own_score, CAST(l_partkey % 10 AS DOUBLE) AS score, CASE WHEN l_partkey % 3 = 0 THEN concat(' ', p_name, ' ') ELSE ' ' END AS own_excerpt, CASE WHEN p_size % 5 > 0 THEN p_type END AS scope FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"
+_EVIDENCE = "SELECT DISTINCT l_orderkey AS analysis_id, l_partkey AS std_id, l_linenumber AS pos, concat('line ', l_linenumber) AS excerpt FROM {lineitem} WHERE l_returnflag = 'R'"
+
+
+@query("p37_excerpt_choice", f"""WITH c AS (SELECT * FROM ({plain(_PROPOSED)}) QUALIFY row_number() OVER (PARTITION BY analysis_id, std_id ORDER BY pos) = 1),
+       e AS (SELECT analysis_id, std_id, string_agg(excerpt, chr(10) || '---' || chr(10) ORDER BY pos) AS said FROM ({plain(_EVIDENCE)}) GROUP BY analysis_id, std_id)
+       SELECT c.analysis_id, c.std_id, c.pos, score, coalesce(nullif(trim(own_excerpt), ''), said, scope) AS excerpt FROM c LEFT JOIN e ON e.analysis_id = c.analysis_id AND e.std_id = c.std_id""")
+def p37(spark, sf):
+    return excerpt_choice(view(spark, sf, _PROPOSED), view(spark, sf, _EVIDENCE), "analysis_id")

@@ -55,3 +55,12 @@ def test_crawl_decisions(spark):
     assert {r.url: r.decision for r in got} == want and len(got) == len(want)
     types = spark.createDataFrame([("text/html; charset=x",), ("image/png",), ("",), (None,)], "t string").select(N.content_type_allowed(F.col("t"), ["text/html", "application/pdf"]).alias("ok")).collect()
     assert [r.ok for r in types] == [True, False, True, True]
+
+
+def test_excerpts_of_candidates(spark):
+    from tenderweave.operators.records import excerpt_choice
+
+    candidates = spark.createDataFrame([(1, 0, 7, None, 0.5, " ", "scope"), (1, 1, 8, 0.9, 0.4, "own ", "s"), (1, 2, 7, 0.1, 0.1, "late", None), (1, 3, 9, None, 0.3, None, " s9 "), (2, 0, 7, None, 0.2, None, "")], "q int, pos int, std_id int, own_score double, score double, own_excerpt string, scope string")
+    evidence = spark.createDataFrame([(1, 7, 1, "two"), (1, 7, 0, " one "), (1, 7, 2, " "), (1, 9, 0, None), (1, 8, 0, "x")], "q int, std_id int, pos int, excerpt string")
+    got = {(r.q, r.std_id): (r.pos, r.score, r.excerpt) for r in excerpt_choice(candidates, evidence, "q").collect()}
+    assert got == {(1, 7): (0, 0.5, "one\n---\ntwo"), (1, 8): (1, 0.9, "own"), (1, 9): (3, 0.3, "s9"), (2, 7): (0, 0.2, None)}
