@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and their SQL, where SQL can express them."""
+"""The queries op1 to op13 and their SQL, where SQL can express them."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from .decontaminate import contamination
 from .html import extracted
 from .packing import best_fit
 from .quality import quality
+from .runs import periodic_runs
 from .sharding import sharded
 from .simhash import near_duplicates
 from .suffix import suffix_dedup
@@ -61,6 +62,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(read(spark, sf_dir, "documents"), tails=True)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
@@ -72,6 +77,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE_SQL = {
