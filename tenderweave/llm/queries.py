@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .codebooks import compression
 from .common import read
 from .decontaminate import contamination
 from .html import extracted
@@ -66,6 +67,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(read(spark, sf_dir, "documents"), tails=True)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
@@ -78,8 +83,36 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_vector_codes": op12_vector_codes,
 }
 
+
+def _codes_sql(rounds: int = 2) -> str:
+    """Parts, codebooks and assignments of op12, one pair of common tables a round."""
+    nearest = """
+        d{k} AS (SELECT x.part, x.vec_id, c.entry, sum((x.v - c.v) * (x.v - c.v)) AS d
+                 FROM x JOIN c{k} c ON c.part = x.part AND c.j = x.j GROUP BY x.part, x.vec_id, c.entry),
+        a{k} AS (SELECT part, vec_id, d, entry FROM d{k}
+                 QUALIFY row_number() OVER (PARTITION BY part, vec_id ORDER BY d, entry) = 1),"""
+    moved = """
+        m{n} AS (SELECT x.part, a.entry, x.j, sum(x.v)::HUGEINT AS s, count(*)::HUGEINT AS n
+                 FROM x JOIN a{k} a ON a.part = x.part AND a.vec_id = x.vec_id GROUP BY x.part, a.entry, x.j),
+        c{n} AS (SELECT c.part, c.entry, c.j, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, c.v)::BIGINT AS v
+                 FROM c{k} c LEFT JOIN m{n} m ON m.part = c.part AND m.entry = c.entry AND m.j = c.j),"""
+    steps = "".join(nearest.format(k=k) + moved.format(k=k, n=k + 1) for k in range(rounds)) + nearest.format(k=rounds)
+    return f"""
+        WITH kept AS (SELECT vec_id, embedding AS v, label FROM embeddings
+                      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+        p AS (SELECT vec_id, label, len(v) // 16 AS w, unnest(range(1, len(v) + 1)) AS i, v FROM kept),
+        x AS (SELECT vec_id, (i - 1) // w AS part, (i - 1) % w AS j, floor(256 * v[i]::DOUBLE)::BIGINT AS v FROM p),
+        f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < 64),
+        c0 AS (SELECT x.part, f.entry, x.j, x.v FROM x JOIN f ON f.vec_id = x.vec_id),{steps}
+        r AS (SELECT k.vec_id, k.label, string_agg(printf('%02x', a.entry), '' ORDER BY a.part) AS code, sum(a.d)::BIGINT AS error
+              FROM kept k JOIN a{rounds} a ON a.vec_id = k.vec_id GROUP BY k.vec_id, k.label),
+        b AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, j)) AS h FROM c{rounds})
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, b.h AS codebooks_sha256 FROM r, b"""
+
+
 ORACLE_SQL = {
     "op6_suffix_dedup": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -112,4 +145,5 @@ ORACLE_SQL = {
         SELECT dw.doc_id, len(dw.w)::BIGINT AS n_words, coalesce(hits.n_hit, 0)::BIGINT AS n_hit, coalesce(its.n_items, 0)::BIGINT AS n_items,
                sha256(coalesce(its.ids, '')) AS items_sha256, coalesce(hits.n_hit, 0) > 0 AS contaminated
         FROM dw LEFT JOIN hits ON hits.doc_id = dw.doc_id LEFT JOIN its ON its.doc_id = dw.doc_id""",
+    "op12_vector_codes": _codes_sql(),
 }
