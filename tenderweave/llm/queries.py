@@ -15,6 +15,7 @@ from .sharding import sharded
 from .simhash import near_duplicates
 from .suffix import suffix_dedup
 from .tokens import token_files
+from .topk import largest_products
 from .toxicity import toxicity
 from .urls import filtered
 
@@ -71,6 +72,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression(read(spark, sf_dir, "embeddings"))
 
 
+def op13_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return largest_products(rows.where("vec_id % 50 = 0"), rows)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
@@ -84,6 +90,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_vector_codes": op12_vector_codes,
+    "op13_top_products": op13_top_products,
 }
 
 
@@ -146,4 +153,11 @@ ORACLE_SQL = {
                sha256(coalesce(its.ids, '')) AS items_sha256, coalesce(hits.n_hit, 0) > 0 AS contaminated
         FROM dw LEFT JOIN hits ON hits.doc_id = dw.doc_id LEFT JOIN its ON its.doc_id = dw.doc_id""",
     "op12_vector_codes": _codes_sql(),
+    "op13_top_products": """
+        WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+              FROM e q JOIN e c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+        FROM s QUALIFY rank <= 5""",
 }
