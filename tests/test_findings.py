@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tenderweave.operators import findings as G
 from tenderweave.streaming import state as S
+from tenderweave.streaming.tables import KeyedTable
 
 
 def test_findings_take_the_worse_verdict(spark):
@@ -42,4 +43,4 @@ def test_ingestion_in_batches(spark, tmp_path):
     S.run_ingest_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "number", ["number", "title"]).awaitTermination()
     out = {(r.seq, r.outcome) for n in range(3) for r in spark.read.parquet(str(tmp_path / f"out/outcomes/{n}")).collect()}
     assert out == {(1, "success"), (2, "failed"), (3, "unchanged"), (4, "success"), (5, "unchanged"), (6, "success")}
-    assert {(r.number, r.title, r.version) for r in spark.read.parquet(str(tmp_path / "out/catalogue/2")).collect()} == {("A", "new", 4), ("D", "four", 6)}
+    assert {(r.number, r.title, r.version) for r in KeyedTable(spark, str(tmp_path / "out/catalogue"), "number string, title string, version long", ["number"]).as_of().collect()} == {("A", "new", 4), ("D", "four", 6)}

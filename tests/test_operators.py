@@ -1,4 +1,4 @@
-from datetime import date, datetime
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +7,6 @@ from tenderweave.functions.normalize import key_exact, key_family, key_tight
 from tenderweave.operators import catalogue as C
 from tenderweave.operators import retrieval as R
 from tenderweave.operators import rules as K
-from tenderweave.streaming import state as S
 
 
 def test_last_order_wins_and_nothing_is_lost(spark):
@@ -65,17 +64,3 @@ def test_verdict_cascade(spark):
     df = spark.createDataFrame([c for c, _ in cases], kind)
     verdict, sure = K.suggested_verdict(F.col("status"), F.col("deadline"), F.lit("2024-01-01").cast("date"), F.col("mismatch"), F.col("cited"), F.col("current"))
     assert [tuple(r) for r in df.coalesce(1).select(verdict, sure).collect()] == [v for _, v in cases]
-
-
-def test_document_states_in_batch_and_stream(spark, tmp_path):
-    at = lambda k: datetime(2024, 1, 1, 0, k)
-    rows = [("u1", "a", at(0), 1), ("u1", "a", at(1), 2), ("u1", "b", at(2), 3), ("u2", "a", at(3), 4), ("u1", "a", at(4), 5), ("u3", "", at(5), 6), ("u3", None, at(6), 7), ("u3", "c", at(7), 8), ("u2", "c", at(8), 9)]
-    kind = "url string, hash string, ts timestamp, seq long"
-    expected = {1: "new", 2: "unchanged", 3: "modified", 4: "duplicate_url", 5: "modified", 6: "new", 7: "new", 8: "new", 9: "modified"}
-    df = spark.createDataFrame(rows, kind)
-    assert {r.seq: r.state for r in S.document_state(df).collect()} == expected
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for a, b in ((0, 3), (3, 4), (4, 9)):
-        df.where((F.col("seq") > a) & (F.col("seq") <= b)).coalesce(1).write.mode("append").parquet(source)
-        S.run_document_stream(spark.readStream.schema(kind).parquet(source), out, str(tmp_path / "check")).awaitTermination()
-    assert {r.seq: r.state for r in spark.read.parquet(f"{out}/results").collect()} == expected
