@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import phrases, thesaurus
 from .text import classify_first, labels_of
 
 # Labels and their terms, in their order of precedence.
@@ -117,6 +118,17 @@ def keywords(title: Column, known: Column, found: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(known, found, labels_of(title, KEYWORDS))))
 
 
+def thesaurus_terms(title: Column) -> Column:
+    """The thesaurus terms of a title; thesaurus rows of equal terms count once."""
+    return phrases.expanded(title, thesaurus.THESAURUS)
+
+
+def categories_of_rules(title: Column, number: Column, most: int = 3) -> Column:
+    """The first `most` categories of the ordered rules that a title and number fit, else General Standards."""
+    found = phrases.rules_in(F.concat_ws(" ", title, number), thesaurus.CATEGORY_RULES)
+    return F.when(F.size(found) > 0, F.slice(found, 1, most)).otherwise(F.array(F.lit("General Standards")))
+
+
 def application_context(title: Column) -> Column:
     return F.array_join(labels_of(title, CONTEXTS), " ")
 
