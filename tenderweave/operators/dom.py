@@ -201,7 +201,9 @@ def attachments(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """
     found = _listed(pages.select(key, F.col("url").alias("base"), "html"), "html", FOUND, _links).select(key, "base", F.explode("found").alias("f")).select(key, "base", "f.*")
     found = found.where("href <> '' AND NOT startswith(href, '#') AND NOT startswith(lower(href), 'javascript:')")
-    found = found.withColumn("url", N.normalize_url(N.resolve_url(F.col("base"), F.col("href"))))
+    # Exploding a list of one keeps the long expressions from being evaluated again wherever their result is used.
+    whole = F.explode(F.array(N.resolve_url(F.col("base"), F.col("href"))))
+    found = found.select("*", whole.alias("_whole")).select("*", F.explode(F.transform(F.array("_whole"), N.normalize_url)).alias("url")).drop("_whole")
     embedded = F.col("tag") != "a"
     ending = F.nullif(_ending(F.col("url")), F.lit(""))
     inside = F.lower("href").rlike(r"\.(?:" + "|".join(TYPES) + ")")
