@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from .corpus import scan_citations
 
-# Names before a tender's number and date, words of authorities and ministries, divisions by committee, schemes, what stands for a missing value.
-TENDER_NAMES = (r"Notice\s*No", "Reference", "Number", "Ref", "ID", "No")
-CLOSING_NAMES = ("Closing", "Submission", "Due")
-MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+# Words of authorities and ministries, divisions by committee, schemes, what stands for a missing value.
 AUTHORITIES = (("CPWD", "Central Public Works Department (CPWD)"), ("NHAI", "National Highways Authority of India (NHAI)"), ("Railways", "Ministry of Railways"), ("MES", "Military Engineer Services (MES)"))
 MINISTRIES = (
     ("Ministry of Steel", "Ministry of Steel"), ("Ministry of Heavy Industries", "Ministry of Heavy Industries"), ("Ministry of Electronics|MeitY", "Ministry of Electronics and Information Technology"),
@@ -28,19 +25,29 @@ NO_DRAFT, NO_NUMBER = "DRAFT Standard", "IS Unknown"
 LEAST_CLAUSE, MOST_CLAUSES, LEAST_TITLE, MOST_TITLE = 20, 10, 25, 120
 # End of the fixed values.
 
-ISO_DATE = r"\d{4}-\d{2}-\d{2}"
-SPOKEN_DATE = r"\d{1,2}(?:st|nd|rd|th)?\s+[A-Za-z]+\s+[12]\d{3}"
-TENDER_ID = rf"(?i)\bTender\s*(?:{'|'.join(TENDER_NAMES)})\b\s*[:\-]?\s*([A-Za-z0-9_/\-]*[A-Za-z0-9_])"
-CLOSING_DATE = rf"(?i)\b(?:{'|'.join(CLOSING_NAMES)})\s*Date\s*[:\-]?\s*({SPOKEN_DATE}|{ISO_DATE})"
-ANY_DATE = rf"(?i)\b(\d{{1,2}}(?:st|nd|rd|th)?\s+(?:{'|'.join(MONTHS)})[a-z]*\s+[12]\d{{3}}|{ISO_DATE})"
-GAZETTE_DATE = rf"\b(\d{{1,2}}-[A-Za-z]{{3}}-[12]\d{{3}}|{ISO_DATE})\b"
-GAZETTE_ID = r"\b(CG-[A-Z]{2}-[EW]-\d{8}-\d+)\b"
-ORDER_NUMBER = r"(?i)S\.?\s*O\.?\s*(\d+)"
-ORDER_SERIES = r"(?i)S\.?\s*O\.?\s*\d+\s*\(([A-Za-z0-9]+)\)"
-SERIES_ORDER = r"(?i)\bS\.O\.\s*(\d+)\s*\([A-Z]\)"
+#: A code of letters, digits, _, / and -, and a date: 2024-03-05, 5-Mar-2024, 5 March 2024 or 5th March 2024.
+CODE = r"[\w/\-]*\w"
+DATE = r"\d{4}-\d\d-\d\d|\d{1,2}(?:st|nd|rd|th)?[\s\-]+(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[\s\-]+[12]\d{3}"
+
+
+def labelled(leads: tuple[str, ...], names: tuple[str, ...], value: str) -> str:
+    """A pattern for a field of running text, as in "Tender Ref. no: X/1": one of the leading words, one or more of the
+    names behind it (none needed if there are no names), up to three signs and blanks between, and the value as group 1."""
+    words = lambda ws: rf"(?:{'|'.join(sorted(ws))})\b"
+    middle = rf"(?:\W{{0,3}}{words(names)})+" if names else ""
+    return rf"(?i)\b{words(leads)}{middle}\W{{0,3}}\b({value})"
+
+
+TENDER_ID = labelled(("tender",), ("id", "no", "notice", "number", "ref", "reference"), CODE)
+CLOSING_DATE = labelled(("closing", "due", "submission"), ("date",), DATE)
+DRAFT_NUMBER = labelled(("doc", "draft", "wc"), (), r"\w+[/\-]\w+")
+ANY_DATE = rf"(?i)\b({DATE})"
+GAZETTE_DATE = ANY_DATE
+GAZETTE_ID = r"\b(CG-[A-Z]{2}-[EW]-\d{8}-\d+)\b"  # a format
+#: An order: its number, and its series if there is one.
+ORDER = r"(?i)\bS\W{0,2}O\W{0,2}(\d+)(?:\s*\((\w+)\))?"
 NUMBER = r"(?i)\bIS\s*(\d{2,6})\b"
-NUMBER_AND_YEAR = r"(?i)\bIS\s*(\d{2,6}(?:\s*[:/\-]\s*Part\s*\d+)?(?:\s*[:\-]?\s*[12]\d{3})?)\b"
-DRAFT_NUMBER = r"(?i)\b(?:DRAFT|DOC|WC)\s*[:\-]?\s*(\w+[/\-]\w+)\b"
+NUMBER_AND_YEAR = r"(?i)\bIS\s*(\d{2,6}(?:\W{1,3}Part\s*\d+)?(?:\W{0,3}[12]\d{3})?)\b"
 COMMITTEE = r"\b((?:[A-HJ-Z][A-Z]|I[A-RT-Z])[A-Z]{0,2}\s*\d{1,3})\b"
 YEAR = r"\b(19[5-9]\d|20[0-3]\d)\b"
 
@@ -83,8 +90,8 @@ def order_notices(pages: DataFrame) -> DataFrame:
     """(doc_id, so_number, is_number, title, ministry, effective_date, excerpt) of order pages (doc_id, title, text):
     the first order number with its series, the first number cited, the first ministry of the table, the first date."""
     text, title = _filled("text"), F.coalesce("title", F.lit("Quality Control Order"))
-    series = _first(F.regexp_extract(text, r"(?i)S\.?\s*O\.?\s*\d+\s*(?:\([A-Za-z0-9]+\))?", 0), ORDER_SERIES)
-    number = F.concat(F.lit("S.O. "), _first(text, ORDER_NUMBER), F.coalesce(F.concat(F.lit("("), F.upper(series), F.lit(")")), F.lit("")))
+    series = F.nullif(F.regexp_extract(text, ORDER, 2), F.lit(""))
+    number = F.concat(F.lit("S.O. "), _first(text, ORDER), F.coalesce(F.concat(F.lit("("), F.upper(series), F.lit(")")), F.lit("")))
     return pages.select(
         "doc_id", F.coalesce(number, F.lit(NO_ORDER)).alias("so_number"), F.coalesce(F.concat(F.lit("IS "), F.trim(_first(text, NUMBER_AND_YEAR))), F.lit(NO_STANDARD)).alias("is_number"), title.alias("title"),
         _said(text, MINISTRIES, F.lit(NO_MINISTRY)).alias("ministry"), _first(text, ANY_DATE).alias("effective_date"), F.when(text != "", F.left(text, F.lit(2000))).otherwise(title).alias("excerpt"),
@@ -157,7 +164,7 @@ def payloads(pages: DataFrame) -> DataFrame:
     title = F.coalesce("title", F.when(kind == "bis", "Indian Standard Document").when(kind == "draft", "Wide Circulation Draft Standard"))
     own = F.when(kind == "bis", F.coalesce(number, F.when(F.contains(title, F.lit("IS")), title), F.lit(NO_NUMBER)))
     own = own.when(kind == "draft", F.coalesce(F.concat(F.lit("DRAFT "), _first(text, DRAFT_NUMBER)), F.lit(NO_DRAFT))).when(kind == "tender", F.coalesce(_first(text, TENDER_ID), F.lit(NO_TENDER)))
-    own = own.when(kind == "order", F.coalesce(F.concat(F.lit("S.O. "), _first(text, SERIES_ORDER), F.lit("(E)")), F.lit(NO_ORDER)))
+    own = own.when(kind == "order", F.when(F.length(F.regexp_extract(text, ORDER, 2)) == 1, F.concat(F.lit("S.O. "), _first(text, ORDER), F.lit("(E)"))).otherwise(NO_ORDER))
     authority = F.when(kind == "tender", F.coalesce("author", F.lit("Central Public Procurement Portal"))).when(kind == "order", "Ministry / DPIIT")
     return pages.select("doc_id", "kind", own.alias("identifier"), title.alias("title"), authority.alias("authority"), F.when(kind == "tender", text).when(kind == "order", F.left(text, F.lit(2000))).otherwise(F.left(text, F.lit(1500))).alias("excerpt"))
 

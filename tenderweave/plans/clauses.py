@@ -28,7 +28,7 @@ def _split(source: str) -> str:
     held = rf"regexp_replace(text, '(?i)((?:^|[^\p{{L}}\p{{N}}.])(?:{'|'.join(C.ABBREVIATIONS)})\.)', '\1' || chr(2), 'g')"
     ends = rf"regexp_replace({held}, '([.;!?])(\s)', '\1' || chr(1) || '\2', 'g')"
     blank = rf"regexp_replace({ends}, '(\n[ \t]*\n)', chr(1) || '\1', 'g')"
-    items = rf"regexp_replace({blank}, '(\n[ \t]*(?:{'|'.join(C._MARKERS)}))', chr(1) || '\1', 'g')"
+    items = rf"regexp_replace({blank}, '(\n[ \t]*{C.ITEM})', chr(1) || '\1', 'g')"
     return rf"""(WITH s AS (SELECT doc_id, string_split(replace({items}, chr(2), ''), chr(1)) AS p FROM {source}),
         n AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS nth FROM s),
         o AS (SELECT doc_id, nth, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(regexp_extract(piece, '^(\s*)', 1)) AS place, trim(regexp_replace(piece, '\s+', ' ', 'g')) AS clause FROM n)
@@ -54,11 +54,15 @@ def x5(spark, sf):
 
 
 _OBLIGED = "|".join(C.OBLIGATIONS)
+_HEADERS = ", ".join(f"'{h.replace(' ', '')}'" for h in C.HEADERS)
 
 
-@query("x7_noise_and_headings", rf"""SELECT doc_id, nth, t = '' OR regexp_matches(t, '{C.PAGE}') OR regexp_matches(t, '{C.NOISE}') AS noise,
-        regexp_matches(t, '{C.HEADING}') AND NOT contains(t, chr(10)) AND NOT regexp_matches(t, '(?i)\b(?:{_OBLIGED})\b') AND NOT regexp_matches(t, '\bIS\s*[:\-]?\s*\d') AS heading
-        FROM (SELECT doc_id, unnest(b) AS raw, generate_subscripts(b, 1) - 1 AS nth, trim(raw) AS t FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS b FROM ({_D})))""")
+@query("x7_noise_and_headings", rf"""SELECT doc_id, nth, t = '' OR regexp_matches(t, '{C.PAGE}') OR regexp_matches(t, '{C.COUNTS}') OR regexp_matches(t, '{C.SIGNS}')
+        OR regexp_replace(lower(t), '[^\p{{L}}\p{{N}}]', '', 'g') IN ({_HEADERS}) AS noise,
+        length(h) BETWEEN {C.HEAD_LENGTH[0]} AND {C.HEAD_LENGTH[1]} AND regexp_matches(h, '^[A-Z]') AND NOT regexp_matches(h, '{C.NO_HEAD}')
+        AND length(regexp_replace(h, '[^A-Z]', '', 'g')) >= length(h) * {C.LETTER_SHARE}
+        AND NOT regexp_matches(h, '(?i)\b(?:{_OBLIGED})\b') AND NOT regexp_matches(h, '\bIS\s*[:\-]?\s*\d') AS heading
+        FROM (SELECT doc_id, unnest(b) AS raw, generate_subscripts(b, 1) - 1 AS nth, trim(raw) AS t, regexp_replace(t, '{C.HEAD_NUMBER}', '') AS h FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS b FROM ({_D})))""")
 def x7(spark, sf):
     rows = view(spark, sf, TENDERS).select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("nth", "raw"))
     return rows.select("doc_id", F.col("nth").cast("long").alias("nth"), C.is_noise(F.col("raw")).alias("noise"), C.is_heading(F.col("raw")).alias("heading"))

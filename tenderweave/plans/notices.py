@@ -44,9 +44,9 @@ def x14(spark, sf):
     return rows.select("doc_id", "tender_id", "authority", "closing_date", F.array_join("referenced", ", ").alias("referenced"), F.size(clauses).cast("long").alias("n_clauses"), F.array_join(clauses, "\n").alias("clauses"))
 
 
-@query("x15_order_notices", rf"""WITH d AS (SELECT *, coalesce(text, '') AS t, coalesce(title, 'Quality Control Order') AS named FROM ({_D})), s AS (SELECT *, regexp_extract(t, '(?i)S\.?\s*O\.?\s*\d+\s*(?:\([A-Za-z0-9]+\))?', 0) AS so FROM d)
-       SELECT doc_id, coalesce('S.O. ' || {_first('so', N.ORDER_NUMBER)} || coalesce('(' || upper({_first('so', N.ORDER_SERIES)}) || ')', ''), '{N.NO_ORDER}') AS so_number, coalesce('IS ' || trim({_first('t', N.NUMBER_AND_YEAR)}), '{N.NO_STANDARD}') AS is_number, named AS title,
-              {_said('t', N.MINISTRIES, f"'{N.NO_MINISTRY}'")} AS ministry, {_first('t', N.ANY_DATE)} AS effective_date, CASE WHEN t <> '' THEN left(t, 2000) ELSE named END AS excerpt FROM s""")
+@query("x15_order_notices", rf"""WITH d AS (SELECT *, coalesce(text, '') AS t, coalesce(title, 'Quality Control Order') AS named FROM ({_D}))
+       SELECT doc_id, coalesce('S.O. ' || {_first('t', N.ORDER)} || coalesce('(' || upper(nullif(regexp_extract(t, '{N.ORDER}', 2), '')) || ')', ''), '{N.NO_ORDER}') AS so_number, coalesce('IS ' || trim({_first('t', N.NUMBER_AND_YEAR)}), '{N.NO_STANDARD}') AS is_number, named AS title,
+              {_said('t', N.MINISTRIES, f"'{N.NO_MINISTRY}'")} AS ministry, {_first('t', N.ANY_DATE)} AS effective_date, CASE WHEN t <> '' THEN left(t, 2000) ELSE named END AS excerpt FROM d""")
 def x15_orders(spark, sf):
     return N.order_notices(view(spark, sf, NOTICES))
 
@@ -75,7 +75,7 @@ def x13(spark, sf):
 
 @query("x18_payloads", rf"""WITH d AS (SELECT *, coalesce(text, '') AS t, coalesce(title, CASE kind WHEN 'bis' THEN 'Indian Standard Document' WHEN 'draft' THEN 'Wide Circulation Draft Standard' END) AS named FROM ({_D}))
        SELECT doc_id, kind, CASE kind WHEN 'bis' THEN coalesce('IS ' || {_first('t', N.NUMBER)}, CASE WHEN contains(named, 'IS') THEN named END, '{N.NO_NUMBER}') WHEN 'draft' THEN coalesce('DRAFT ' || {_first('t', N.DRAFT_NUMBER)}, '{N.NO_DRAFT}') WHEN 'tender' THEN coalesce({_first('t', N.TENDER_ID)}, '{N.NO_TENDER}')
-              WHEN 'order' THEN coalesce('S.O. ' || {_first('t', N.SERIES_ORDER)} || '(E)', '{N.NO_ORDER}') END AS identifier, named AS title,
+              WHEN 'order' THEN CASE WHEN length(regexp_extract(t, '{N.ORDER}', 2)) = 1 THEN 'S.O. ' || {_first('t', N.ORDER)} || '(E)' ELSE '{N.NO_ORDER}' END END AS identifier, named AS title,
               CASE kind WHEN 'tender' THEN coalesce(author, 'Central Public Procurement Portal') WHEN 'order' THEN 'Ministry / DPIIT' END AS authority, CASE kind WHEN 'tender' THEN t WHEN 'order' THEN left(t, 2000) ELSE left(t, 1500) END AS excerpt FROM d""")
 def x18(spark, sf):
     return N.payloads(view(spark, sf, NOTICES))
