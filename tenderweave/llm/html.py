@@ -32,12 +32,15 @@ TRAIN_PAGES = 150
 TRAIN_CHARS = 200_000
 SPLIT_COST = 30.0
 SPLIT_SHARE = 0.02
+LENT = 1.0
 BATCH_NODES = 20_000
 
 # HTML element names and usual words of class names.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style head title template noscript iframe object svg math canvas audio video select option textarea button datalist".split())
+UNSEEN = frozenset("script style head title template iframe object svg math canvas audio video select option textarea button datalist".split())
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())  # what can stand in a head
+CONTROLS = ("button", "select", "option", "textarea", "datalist")  # left open, they end where a block begins
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead"), "body": ("head", "title")}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",)}
@@ -50,6 +53,7 @@ BAD = frozenset(
 
 
 PARTS = frozenset("nav footer aside form".split())
+LENDS_NOT = PARTS | frozenset("div section header".split())
 CUES = frozenset("comment comments reply replies says ago posted share tweet subscribe newsletter cookie cookies copyright reserved menu home login register search related advertisement sponsored privacy terms contact".split())
 
 _NONE: frozenset[str] = frozenset()
@@ -76,8 +80,12 @@ class _Dom(HTMLParser):
         return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
 
     def handle_starttag(self, tag, attrs):
+        if self.open["head"] and tag not in HEAD:
+            self._close(("head",), ())
         if tag in CLOSES_P:
             self._close(("p",), ("table", "td", "th"))
+            while any(self.open[c] for c in CONTROLS):
+                self._close(CONTROLS, ())
         if tag in CLOSED_BY:
             self._close(CLOSED_BY[tag], SCOPES.get(tag, ()))
         node = self.stack[-1][1]
@@ -139,6 +147,8 @@ class _Dom(HTMLParser):
             self.parts[-1][1].append(data)
 
     def handle_data(self, data):
+        if self.stack[-1][0] == "head" and data.strip():
+            self._close(("head",), ())
         if not self.mute:
             self._text(data)
             if self.links:
@@ -208,6 +218,19 @@ class Page:
                 self.features[i, _KIND[t]] = 1
         self.features[:, len(KINDS) :] = np.stack(stats, axis=1)
 
+    def lent(self, odds: np.ndarray) -> np.ndarray:
+        """odds with a share of those of the article or main element around, where these are positive: what stands in an
+        article is its text unless much speaks against it. Containers get none, nor what is in them: they may be anything."""
+        lends, out = [0.0] * len(self.tag), np.array(odds, np.float64)
+        for i, tag in enumerate(self.tag):
+            up = lends[self.parent[i]] if i else 0.0
+            if tag in ("article", "main"):
+                lends[i] = max(0.0, float(odds[i]))
+            elif tag not in LENDS_NOT and not self.tokens[i] & BAD:
+                lends[i] = up
+                out[i] += LENT * up
+        return out
+
     def choices(self, odds: np.ndarray) -> list[int]:
         """The best consistent choice for each subtree: 1 keep it, -1 drop it, 0 go on to the children.
 
@@ -233,6 +256,7 @@ class Page:
 
     def decode(self, odds: np.ndarray) -> list[bool]:
         """Whether each node's own text is kept."""
+        odds = self.lent(odds)
         how, kept = self.choices(odds), [False] * len(self.tag)
         for i in range(len(how)):
             if i and how[self.parent[i]]:
@@ -299,10 +323,58 @@ def _sections(html: str, rng: random.Random) -> str:
     return html[: m.start()] + out + html[m.end() :]
 
 
+def _article(html: str) -> tuple[re.Match, list[str]] | None:
+    """The article of a page and the texts of its paragraphs, if it has both."""
+    m = re.search(r"(?is)<(article|main)(?=[ >])[^>]*>(.*)</\1>", html)
+    texts = [x[1] for x in re.finditer(r"(?is)<p(?:\s[^>]*)?>(.*?)(?=</?(?:p|article|main|div|h\d|ul|ol|section|aside|form|nav|footer)[ >])", m[0])] if m else []
+    return (m, texts) if any(t.strip() for t in texts) else None
+
+
+def _listed(html: str, rng: random.Random) -> str:
+    """The page with a part of its article's paragraphs, or all of them, as items of a list, a sentence each."""
+    if not (found := _article(html)):
+        return html
+    m, texts = found
+    texts = [t for t in texts if t.strip()]
+    first = rng.randrange(len(texts))
+    last = rng.randrange(first, len(texts)) + 1
+    items = [x for x in re.split(r"(?<=[.!?])\s+", " ".join(texts[first:last])) if x.strip()] or texts[:1]
+    outer, inner = rng.choice(["ul", "ol", "ol"]), rng.choice(["", "", "p"])
+    item = (lambda x: f"<li><p>{x}</p></li>") if inner else (lambda x: f"<li>{x}</li>")
+    plain = lambda some: "".join(f"<p>{t}</p>" for t in some)
+    head = h[0] if (h := re.search(r"(?is)<h[12][ >].*?</h[12]>", m[2])) else ""
+    body = head + plain(texts[:first]) + f"<{outer}>" + "".join(map(item, items)) + f"</{outer}>" + plain(texts[last:])
+    return html[: m.start(2)] + body + html[m.end(2) :]
+
+
+def _short(html: str, rng: random.Random) -> str:
+    """The page with one or two of its article's paragraphs, with or without its heading; they may be alike."""
+    if not (found := _article(html)):
+        return html
+    m, texts = found
+    one = rng.choice([t for t in texts if t.strip()])
+    head = h[0] if (h := re.search(r"(?is)<h[12][ >].*?</h[12]>", m[2])) and rng.random() < 0.5 else ""
+    return html[: m.start(2)] + head + f"<p>{one}</p>" * rng.choice([1, 1, 2]) + html[m.end(2) :]
+
+
+def _tabled(html: str, rng: random.Random) -> str:
+    """The page's article as a cell of a table, beside or below a cell of links."""
+    m = re.search(r"(?is)<(article|main)(?=[ >])[^>]*>.*</\1>", html)
+    if not m:
+        return html
+    links = "".join(f'<a href="#">{w}</a>{rng.choice(["<br>", " ", " | "])}' for w in rng.sample(["Home", "News", "About us", "Contact", "Products", "Archive", "Help"], rng.randrange(2, 7)))
+    between = rng.choice(["</td><td>", "</td></tr><tr><td>"])
+    return f'<table><tr><td data-part="1">{links}{between}{m[0]}</td></tr></table>'
+
+
 def _variants(html: str, other: str, rng: random.Random) -> Iterator[str]:
-    """The page as it is, its article alone or in sections, and with other parts put in around and inside the article."""
+    """The page as it is, its article alone, in sections, short, as a list or in a table, and with other parts put in around
+    and inside the article."""
     yield html
-    if alone := re.search(r"(?is)<(article|main)[ >].*</\1>", html):
+    yield _listed(html, rng)
+    yield _short(html, rng)
+    yield _tabled(rng.choice([html, html, _short(html, rng), _listed(html, rng)]), rng)
+    if alone := re.search(r"(?is)<(article|main)[ >].*</\1>", rng.choice([html, html, _short(html, rng), _listed(html, rng)])):
         yield alone[0]
     words = re.sub(r"<[^>]*>", " ", other).split() or ["text"]
     some = lambda n: " ".join(words[(k := rng.randrange(len(words))) : k + n])
@@ -322,7 +394,7 @@ def _variants(html: str, other: str, rng: random.Random) -> Iterator[str]:
             tag = rng.choice(tags[kind])
             telling = _name(rng, bad) if kind != "text" or place != "inside" else f' class="{rng.choice(bad)}"'
             put += f'<{tag} data-part="1"{telling}>{body()}</{tag}>'
-        base = _sections(html, rng) if rng.random() < 0.4 else html
+        base = rng.choice([_sections, _sections, _listed, _short, lambda h, _: h, lambda h, _: h])(html, rng)
         if place == "before":
             yield re.sub(r"(?i)<article|<main", lambda m: put + m[0], base, count=1)
         else:

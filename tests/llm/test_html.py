@@ -135,3 +135,34 @@ def test_the_sample_is_bounded_and_has_no_copies(spark):
     got = sampled(df, 10)
     assert len(got) == 10 == len(set(got)) and got == sampled(df.repartition(3), 10)
     assert len(sampled(df, 1000)) == 20
+
+
+def test_no_article_is_lost_to_its_markup(spark, sf_dir):
+    model = train(sampled(spark.read.parquet(f"{sf_dir}/pages.parquet"), 150))
+    run = lambda h: (lambda p: p.text(model.score(p.features)))(Page(h))
+    p = ["This is the first paragraph of a text that has some words and ends here.", "The second one goes on about something else, with commas, and a full stop.", "A third paragraph closes it all. It has two sentences."]
+    text = "".join(f"<p>{x}</p>" for x in p)
+    items = [f"Step {i}: take the part number {i} and put it beside the others." for i in range(9)]
+    steps = "<ol>" + "".join(f"<li>{x}</li>" for x in items) + "</ol>"
+    whole = "\n\n".join(["H", *p])
+    pages = [
+        (f"<html><head><title>T</title>{NAV}<article><h1>H</h1>{text}</article>{FOOT}", whole),  # both head's end and body may be left out
+        (f"<html><head><meta charset=x>{NAV}<article><h1>H</h1>{text}</article>{FOOT}", whole),
+        *((f"<body>{NAV}<{c}>Go <article><h1>H</h1>{text}</article>{FOOT}</body>", whole) for c in ("button", "select><option", "textarea", "datalist")),
+        (f"<body>{NAV}<noscript><article><h1>H</h1>{text}</article></noscript>{FOOT}</body>", whole),
+        (f"<body>{NAV}<article><h1>How</h1>{steps}</article>{FOOT}</body>", "\n\n".join(["How", *items])),
+        (f"<body>{NAV}<article><h1>How</h1>{text}{steps}</article>{FOOT}</body>", "\n\n".join(["How", *p, *items])),
+        (f"<article><p>{p[0]}</p></article>", p[0]),
+        (f"<body>{NAV}<article><p>{p[0]}</p></article>{FOOT}</body>", p[0]),
+        (f"<body>{NAV}<article>{f'<p>{p[0]}</p>' * 3}</article>{FOOT}</body>", "\n\n".join([p[0]] * 3)),
+        (f'<table><tr><td><a href="/">Home</a><br><a href="/n">News</a><br><a href="/c">Contact</a></td><td><h1>H</h1>{text}</td></tr></table>', whole),
+    ]
+    for html, want in pages:
+        assert run(html) == want, html
+
+
+def test_what_a_head_may_hold_stays_unseen():
+    p = Page("<head><title>t</title><style>s</style><noscript><link href=x></noscript><script>j</script></head><p>a</p>")
+    assert [t for _, t in p.blocks] == ["a"]
+    assert [t for _, t in Page("<head><title>t</title>loose text<p>a").blocks] == ["loose text", "a"]
+    assert [t for _, t in Page("<p>a</p><select><option>x<option>y</select><p>b</p><button>z</button>c").blocks] == ["a", "b", "c"]
