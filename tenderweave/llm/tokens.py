@@ -29,6 +29,8 @@ from .common import fresh_path, stored
 
 LENGTH = 2048
 CACHE_WORDS = 400_000
+PARTS = 1024
+PART_BYTES = 64 << 20
 FILE_BYTES = 32 << 20
 TEXTS = 128
 
@@ -123,15 +125,20 @@ def file_schema(length: int, dtype: pa.DataType, metadata: dict | None = None) -
     return pa.schema([pa.field("ids", pa.list_(dtype, length)), pa.field("mask", pa.list_(pa.bool_(), length))], metadata)
 
 
-def file_bytes(doc_ids: list[int], parts: list[bytes], length: int, dtype: str, rows: int = 512) -> bytes:
+#: What a file says of its documents: id, whether that is null, number of ids.
+INDEX = [("doc_id", "<i8"), ("null", "u1"), ("n", "<u4")]
+
+
+def file_bytes(doc_ids: list[int | None], parts: list[bytes], length: int, dtype: str, rows: int = 512) -> bytes:
     """An Arrow stream of these documents' ids, in batches of rows sequences."""
     flat = np.frombuffer(b"".join(parts), dtype)
     n = -(-len(flat) // length)
     ids = np.zeros(n * length, dtype)
     ids[: len(flat)] = flat
     mask = np.arange(n * length) < len(flat)
-    index = np.zeros(len(parts), [("doc_id", "<i8"), ("n", "<u4")])
-    index["doc_id"], index["n"] = doc_ids, [len(p) // flat.itemsize for p in parts]
+    index = np.zeros(len(parts), INDEX)
+    index["doc_id"], index["null"] = [0 if d is None else d for d in doc_ids], [d is None for d in doc_ids]
+    index["n"] = [len(p) // flat.itemsize for p in parts]
     schema = file_schema(length, pa.from_numpy_dtype(np.dtype(dtype)), {"length": str(length), "tokens": str(len(flat)), b"documents": index.tobytes()})
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, schema) as out:
@@ -145,7 +152,7 @@ def open_file(content: bytes | pa.Buffer) -> tuple[np.ndarray, pa.Table, np.ndar
     """(all ids without padding, the table of sequences, the index of documents)."""
     with pa.ipc.open_stream(content) as reader:
         table = reader.read_all()
-    index = np.frombuffer(table.schema.metadata[b"documents"], [("doc_id", "<i8"), ("n", "<u4")])
+    index = np.frombuffer(table.schema.metadata[b"documents"], INDEX)
     flat = [b.column(0).values.to_numpy(zero_copy_only=True) for b in table.to_batches()]
     every = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
     mask = [b.column(1).values.to_numpy(zero_copy_only=False) for b in table.to_batches()]
@@ -160,7 +167,7 @@ def _writer(folder: str, path: str, end_id: int, length: int, dtype: str):
         part, nth = TaskContext.get().partitionId(), 0
         words, end = encoder(path, dtype), np.array([end_id], dtype).tobytes()
         files, base = fs.FileSystem.from_uri(folder)
-        ids: list[int] = []
+        ids: list[int | None] = []
         parts: list[bytes] = []
         size = 0
 
@@ -194,7 +201,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, len
 
     start is the number of ids in all files before. Null and empty texts are the end id alone; very
     long texts run over as many sequences as they need; rows that repeat a doc_id follow each other,
-    ordered by text. No documents: no files.
+    ordered by text. Rows without doc_id come first, in the order of their texts. No documents: no files.
     """
     from pyarrow import fs
     from tokenizers import Tokenizer
@@ -202,12 +209,25 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, len
     dtype = "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() < 1 << 16 and end_id < 1 << 16 else "<u4"
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = docs.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.repartitionByRange(_partitions(docs), "doc_id").sortWithinPartitions("doc_id", "text")
     files, base = fs.FileSystem.from_uri(folder)
     files.create_dir(base, recursive=True)
     manifest = stored(ordered.mapInArrow(_writer(folder, tokenizer, end_id, length, dtype), "file string, part long, nth long, n_tokens long, n_docs long"), "manifest")
-    before = Window.orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    return manifest.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"), "n_tokens", "n_docs")
+    # A row for each file, summed up within runs of PARTS partitions, and over these: no task gets a row for every file.
+    manifest = manifest.withColumn("run", F.expr(f"part div {PARTS}"))
+    upto = lambda *by: Window.partitionBy(*by) if by else Window
+    runs = manifest.groupBy("run").agg(F.sum("n_tokens").alias("n"))
+    runs = runs.select("run", F.coalesce(F.sum("n").over(upto().orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    inside = F.coalesce(F.sum("n_tokens").over(upto("run").orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return manifest.withColumn("inside", inside).join(runs, "run").select("file", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "n_docs")
+
+
+def _partitions(docs: DataFrame) -> int:
+    """As many as shuffles have, or more if the plan's statistics say that these would hold over PART_BYTES each."""
+    spark = docs.sparkSession
+    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return least if known >= 1 << 60 else max(least, known // PART_BYTES + 1)  # over that, the size is not known
 
 
 def read_ids(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
@@ -221,7 +241,7 @@ def read_ids(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame
                 raw = memoryview(ids.astype("<u4").tobytes())
                 begins = ends - index["n"]
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(index)), pa.array(index["doc_id"]), pa.array(begins), pa.array(index["n"].astype(np.int64)), pa.array(crc, pa.int64())], ["file", "doc_id", "inside", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(index)), pa.array(index["doc_id"], mask=index["null"].astype(bool)), pa.array(begins), pa.array(index["n"].astype(np.int64)), pa.array(crc, pa.int64())], ["file", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     found = files.mapInArrow(run, "file string, doc_id long, inside long, n_tokens long, ids_crc32 long")
