@@ -89,6 +89,8 @@ def fit(docs: DataFrame, positive: DataFrame, pool: DataFrame, prior: float | No
     z = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(rate * (1 - rate) * (1 / n_p + 1 / n_u) + 1e-12)
     chosen = counted.withColumn("z", z).where((F.col("z") >= LEAST_Z) & (F.col("p") >= max(3, LEAST_SHARE * n_p))).orderBy(F.desc("z"), "word").limit(FEATURES).select("word").collect()
     vocabulary = sorted(bytes(r[0]) for r in chosen)
+    if not vocabulary:  # nothing tells toxic texts from others: a share of labels alone must not condemn all of them
+        return [], np.array([-6.0])
     found = sample.select("positive", F.array_intersect("words", F.array(*[F.lit(w) for w in vocabulary]) if vocabulary else F.expr("array(x'')")).alias("words")).collect()  # a row for each of the sample
     place = {w: i for i, w in enumerate(vocabulary)}
     x = np.zeros((len(found), len(vocabulary)), np.float32)
@@ -168,8 +170,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None, thr
     crc32 of the doc_id modulo 4 is 2 are held out: neither their labels nor their texts are learnt
     from. prior is the share of toxic documents; by default that of the labelled rows learnt from.
     Of several labels of one doc_id the highest counts, null labels don't. A null or empty text gets
-    the intercept's score. Without toxic labels every score is near 0. Repeated doc_ids give a row
-    each; no documents: no rows.
+    the intercept's score; a very long one is read whole. Without toxic labels, and where no word tells
+    toxic texts from others, every score is near 0 and no document is called toxic. Repeated doc_ids give a
+    row each; no documents: no rows.
     """
     vocabulary, weights = learnt(docs, labels, prior)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", _held_out())

@@ -55,6 +55,15 @@ def test_without_positives_and_without_rows(spark):
     assert toxicity(df.limit(0), none).collect() == []
 
 
+def test_without_a_telling_word_nothing_is_toxic(spark):
+    from tenderweave.llm.toxicity import without_toxic
+
+    docs = spark.createDataFrame([(1, "a few words"), (3, "other words here"), (4, None), (5, ""), (6, "more"), (8, "so on " * 5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in (1, 3, 4, 5, 6, 8)], "doc_id long, toxic int")
+    assert {r.predicted for r in toxicity(docs, labels).collect()} == {0}
+    assert without_toxic(docs, labels).count() == 6
+
+
 def test_training_lowers_the_non_negative_risk():
     import numpy as np
 
