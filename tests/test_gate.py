@@ -5,7 +5,7 @@ from tenderweave.operators import gate as G
 CASES = {
     "IS 10322": None, "N95 mask": None, "12345": "no_analysable_content", "  ": "empty", None: "empty", "qwertyuiop": "no_meaningful_content", "asdfghjkl zzzzzz": "no_meaningful_content", "kjh gfd saq": "no_meaningful_content",
     "borewell": None, "PVC THD MCB": None, "fhbjfbdjvfdjhbdf dhdjfhfjfjfjfjsjs qwertyuiop tubewell": None, "fhbjfbdj dhdjfhfj qwertyuio bcdfghjkl tubewell": "dominated_by_gibberish", "fhbjfbdj dhdjfhfj qwertyuio bcdfghjkl IS 456": None,
-    "पानी का पंप": None, "230V": None, "IE3": None, "?!": "no_analysable_content", "strengths": None,
+    "पानी का पंप": None, "230V": None, "IE3": None, "?!": "no_analysable_content", "lengthy": None,
 }
 
 
