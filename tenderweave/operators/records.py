@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import labels_of
@@ -47,7 +47,7 @@ def infer_references(own: Column, key: Column, lookup: dict[str, list[str]]) ->
 def fill_not_stated(stated: Column, context: Column) -> tuple[Column, Column]:
     """(value, filled): the context's value only where the document says nothing and the context knows something."""
     knows = ~F.lower(F.trim(F.coalesce(context, F.lit("")))).isin(*UNKNOWN)
-    fill = (stated == NOT_STATED) & knows
+    fill = stated.startswith(NOT_STATED) & knows  # also the profile's longer form
     return F.when(fill, context).otherwise(stated), fill
 
 
@@ -76,3 +76,30 @@ def excerpt_choice(candidates: DataFrame, evidence: DataFrame, group: str) -> Da
     said = texts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "excerpt"))), lambda x: x["excerpt"]), "\n---\n").alias("said"))
     given = lambda c: F.nullif(F.trim(c), F.lit(""))
     return first.join(said, [group, "std_id"], "left").select(group, "std_id", "c.pos", F.coalesce("c.own_score", "c.score").alias("score"), F.coalesce(given("c.own_excerpt"), "said", given("c.scope")).alias("excerpt"))
+
+
+def sync_snapshot(asked: DataFrame, results: DataFrame, running: DataFrame) -> DataFrame:
+    """(analysis_id, bucket, last_synced_at, total_synced, error_count, changed_count, in_progress, planned) for each of asked
+    (analysis_id).
+
+    results (analysis_id, number, synced_at, seq, changed, n_errors) are what syncs found; a null analysis_id is the bucket
+    that all share. Of several results of a number in a bucket the last by (synced_at, seq) counts. An analysis without
+    results of its own shows the shared ones (bucket `shared`), or nothing (`none`). last_synced_at is that of the
+    last result without errors. running (analysis_id, planned) are the syncs that go on now.
+    """
+    newest = Window.partitionBy("analysis_id", "number").orderBy(F.desc("synced_at"), F.desc("seq"))
+    last = results.withColumn("_n", F.row_number().over(newest)).where("_n = 1")
+    sums = [
+        F.max(F.when(F.col("n_errors") == 0, F.col("synced_at"))).alias("last_synced_at"), F.count("*").alias("total_synced"), F.count_if(F.col("n_errors") > 0).alias("error_count"), F.count_if("changed").alias("changed_count"),
+    ]
+    own = last.where("analysis_id IS NOT NULL").groupBy("analysis_id").agg(F.lit("own").alias("bucket"), *sums)
+    shared = last.where("analysis_id IS NULL").agg(*sums).where("total_synced > 0")  # one row at most
+    names = ["last_synced_at", "total_synced", "error_count", "changed_count"]
+    both = asked.select("analysis_id").distinct().join(own, "analysis_id", "left").join(F.broadcast(shared.select(*[F.col(c).alias(f"_{c}") for c in names])), F.lit(True), "left")
+    lacks = F.col("bucket").isNull()
+    shown = both.select(
+        "analysis_id", F.when(~lacks, "own").when(F.col("_total_synced").isNotNull(), "shared").otherwise("none").alias("bucket"), F.when(lacks, F.col("_last_synced_at")).otherwise(F.col("last_synced_at")).alias("last_synced_at"),
+        *[F.coalesce(F.when(lacks, F.col(f"_{c}")).otherwise(F.col(c)), F.lit(0)).alias(c) for c in names[1:]],
+    )
+    now = running.groupBy("analysis_id").agg(F.max("planned").alias("planned"), F.lit(True).alias("_on"))
+    return shown.join(now, "analysis_id", "left").select("analysis_id", "bucket", *names, F.coalesce("_on", F.lit(False)).alias("in_progress"), "planned")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as E
 from ..operators import learning as L
 from ..operators import retrieval as R
+from ..operators.records import sync_snapshot
 from ..sources.storage import table
 from .base import CATALOGUE, plain, view
 from .files import folder
@@ -100,3 +101,25 @@ def m4_chosen(spark, sf):
     rows = docs.join(table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
     split = R.group_split(rows, "doc_id", 7)
     return L.choose_text_classifier(split.where("split = 'train'").drop("split"), split.where("split <> 'train'").drop("split"))[1]
+
+
+#: Syncs over events: some of an analysis, some of the bucket that all share.
+SYNCED = """
+    SELECT CASE WHEN event_id % 6 = 0 THEN NULL ELSE user_id % 400 END AS analysis_id, concat('IS ', event_id % 40) AS number, ts AS synced_at, event_id AS seq, event_type IN ('view', 'click') AS changed,
+           CASE WHEN event_type = 'error' THEN 2 ELSE 0 END AS n_errors FROM {events} WHERE user_id % 3 > 0"""
+ASKED = "SELECT DISTINCT user_id % 500 AS analysis_id FROM {events}"
+RUNNING = "SELECT user_id % 500 AS analysis_id, CAST(user_id % 7 AS INT) AS planned FROM {events} WHERE event_id % 50 = 0"
+_SUMS = "max(synced_at) FILTER (WHERE n_errors = 0) AS last_synced_at, count(*) AS total_synced, count(*) FILTER (WHERE n_errors > 0) AS error_count, count(*) FILTER (WHERE changed) AS changed_count"
+
+
+@query(
+    "a16_sync_status",
+    f"""WITH l AS (SELECT * FROM ({plain(SYNCED)}) QUALIFY row_number() OVER (PARTITION BY analysis_id, number ORDER BY synced_at DESC, seq DESC) = 1),
+        o AS (SELECT analysis_id, {_SUMS} FROM l WHERE analysis_id IS NOT NULL GROUP BY analysis_id), s AS (SELECT {_SUMS} FROM l WHERE analysis_id IS NULL),
+        n AS (SELECT analysis_id, max(planned) AS planned FROM ({plain(RUNNING)}) GROUP BY analysis_id)
+        SELECT a.analysis_id, CASE WHEN o.analysis_id IS NOT NULL THEN 'own' WHEN s.total_synced > 0 THEN 'shared' ELSE 'none' END AS bucket, CASE WHEN o.analysis_id IS NOT NULL THEN o.last_synced_at ELSE s.last_synced_at END AS last_synced_at,
+               coalesce(o.total_synced, s.total_synced) AS total_synced, coalesce(o.error_count, s.error_count) AS error_count, coalesce(o.changed_count, s.changed_count) AS changed_count, n.analysis_id IS NOT NULL AS in_progress, n.planned
+        FROM ({plain(ASKED)}) a LEFT JOIN o ON o.analysis_id = a.analysis_id LEFT JOIN n ON n.analysis_id = a.analysis_id, s""",
+)
+def a16_status(spark, sf):
+    return sync_snapshot(view(spark, sf, ASKED), view(spark, sf, SYNCED), view(spark, sf, RUNNING))

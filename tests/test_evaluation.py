@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tenderweave.operators import evaluation as E
 from tenderweave.operators import learning as L
+from tenderweave.operators.records import sync_snapshot
 
 HITS = [
     ("lexical", 1, 1, "IS 10322 : Part 5"), ("lexical", 1, 2, "IS 9"), ("vector", 1, 1, "IS 9"), ("fused", 1, 1, "is 10322 Part 5 Sec 3"), ("ranked", 1, 1, "IS 9"), ("ranked", 1, 6, "IS 10322"),
@@ -59,3 +60,13 @@ def test_better_of_two_text_classifiers(spark):
     assert sorted(r.model for r in got) == ["forest", "regression"] and sum(r.chosen for r in got) == 1
     assert max(r.macro_f1 for r in got) == [r.macro_f1 for r in got if r.chosen][0] > 0.9
     assert model.transform(df).where("prediction = label").count() > 54
+
+
+def test_sync_snapshot(spark):
+    kind = "analysis_id long, number string, synced_at long, seq long, changed boolean, n_errors int"
+    rows = [(1, "IS 1", 5, 1, True, 0), (1, "IS 1", 9, 2, False, 1), (1, "IS 2", 7, 3, True, 0), (None, "IS 3", 4, 4, False, 0)]
+    asked, running = spark.createDataFrame([(1,), (2,), (2,)], "analysis_id long"), spark.createDataFrame([(2, 8)], "analysis_id long, planned int")
+    got = sorted(map(tuple, sync_snapshot(asked, spark.createDataFrame(rows, kind), running).collect()))
+    assert got == [(1, "own", 7, 2, 1, 1, False, None), (2, "shared", 4, 1, 0, 0, True, 8)]
+    alone = sync_snapshot(asked, spark.createDataFrame(rows[:3], kind), running.limit(0)).where("analysis_id = 2").first()
+    assert tuple(alone) == (2, "none", None, 0, 0, 0, False, None)
