@@ -40,6 +40,7 @@ REACH = WIDTH - PERIOD + 1
 LEAST = 16
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 2 << 20
+PIECE = 1 << 18
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -76,11 +77,14 @@ class _Block:
         doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.ends - self.starts)
         if not self.size:
             return np.zeros(0, np.int64), doc[:0]
-        at = np.arange(self.size, dtype=np.int64)
-        inside = at - self.starts[doc]
         wanted = np.zeros(PERIOD, bool)
         wanted[list(COVER)] = True
-        at = at[wanted[inside % PERIOD] & (at + REACH <= self.ends[doc])]
+        found = []
+        for a in range(0, self.size, PIECE):
+            at = np.arange(a, min(self.size, a + PIECE), dtype=np.int64)
+            some = doc[a : a + PIECE]
+            found.append(at[wanted[(at - self.starts[some]) % PERIOD] & (at + REACH <= self.ends[some])])
+        at = np.concatenate(found)
         return at, doc[at]
 
     def names(self, at: np.ndarray) -> np.ndarray:
@@ -148,17 +152,21 @@ def _unsettled(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _least(data: np.ndarray, size: int) -> np.ndarray:
-    """For each position: the least name of a LEAST-byte string inside the WIDTH bytes from there."""
-    w = _words(data)
-    x = _mix((w[: size + WIDTH] * _A) ^ (w[8 : size + WIDTH + 8] * _C))
-    span = WIDTH - LEAST + 1
-    step = 1
-    while step * 2 <= span:
-        x = np.minimum(x[:-step], x[step:])
-        step *= 2
-    if rest := span - step:
-        x = np.minimum(x[:-rest], x[rest:])
-    return x[:size]
+    """For each position: the least name of a LEAST-byte string inside the WIDTH bytes from there. In pieces, so that the
+    working memory is a small part of the result's."""
+    w, out = _words(data), np.empty(size, np.uint64)
+    for a in range(0, size, PIECE):
+        b = min(size, a + PIECE)
+        x = _mix((w[a : b + WIDTH] * _A) ^ (w[a + 8 : b + WIDTH + 8] * _C))
+        span = WIDTH - LEAST + 1
+        step = 1
+        while step * 2 <= span:
+            x = np.minimum(x[:-step], x[step:])
+            step *= 2
+        if rest := span - step:
+            x = np.minimum(x[:-rest], x[rest:])
+        out[a:b] = x[: b - a]
+    return out
 
 
 def _runs(at: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +203,8 @@ def _merger(buckets: int, name_buckets: int):
         change = np.zeros(block.size + 1, np.int32)
         np.add.at(change, low[fits], 1)
         np.add.at(change, high[fits] + 1, -1)
-        at = np.flatnonzero(np.cumsum(change)[:-1] > 0)
+        at = np.flatnonzero(np.cumsum(change, dtype=np.int32)[:-1] > 0)
+        del change, low, high, fits, hit
         if not len(at):
             return pd.DataFrame([], columns=columns)
         doc = (np.searchsorted(block.ends, at, side="right")).astype(np.int32)
