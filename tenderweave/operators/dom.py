@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 
 CELLS = "table int, parent int, row int, col int, header boolean, value string, link string"
+RECORDS = "table int, row int, heads array<string>, values array<string>, links array<string>"
 FOUND = "pos int, tag string, href string, text string, title string, headers array<string>, cells array<string>"
 
 # Endings of documents with their types, and words that make a link a document.
@@ -132,6 +133,15 @@ def _cells(html: str | None) -> list[dict]:
     return out
 
 
+def _records(html: str | None) -> list[dict]:
+    out = []
+    for t in walked(html).tables:
+        rows = [[(_flat(c.said), c.link) for c in row] for row in t.rows if row]
+        heads = [v for v, _ in rows[0]] if rows else []
+        out += [{"table": t.number, "row": r, "heads": heads, "values": [v for v, _ in row], "links": [x for _, x in row]} for r, row in enumerate(rows) if r]
+    return out
+
+
 def _links(html: str | None) -> list[dict]:
     out = []
     for pos, x in enumerate(walked(html).links):
@@ -175,16 +185,14 @@ def table_records(pages: DataFrame, key: str = "page_id") -> DataFrame:
     A table's first row is its header row. A column is named by its header in lower case, signs left out and blanks as _;
     beyond the headers, or where nothing is left of one, it is col_<number>.
     """
-    cells = table_cells(pages, key)
-    name = F.replace(F.lower(F.trim(F.regexp_replace("value", r"[^\p{L}\p{N}_\s]", ""))), F.lit(" "), F.lit("_"))
-    heads = cells.where("row = 0").select(key, "table", "col", F.nullif(name, F.lit("")).alias("_name"))
-    named = cells.where("row > 0").join(heads, [key, "table", "col"], "left").withColumn("_name", F.coalesce("_name", F.concat(F.lit("col_"), F.col("col").cast("string"))))
-    pairs = F.array(F.struct(F.col("_name").alias("k"), F.col("value").alias("v")), F.struct(F.concat("_name", F.lit("_link")).alias("k"), F.col("link").alias("v")))
-    rows = named.select(key, "table", "row", "col", F.explode(F.filter(pairs, lambda p: p["v"].isNotNull())).alias("p"))
-    last = Window.partitionBy(key, "table", "row", "p.k").orderBy(F.desc("col"))  # of columns with one name the last counts
-    kept = rows.withColumn("_n", F.row_number().over(last)).where("_n = 1")
-    record = F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("col", "p"))), lambda x: x["p"]))
-    return kept.groupBy(key, "table", "row").agg(record.alias("record"))
+    rows = _listed(pages.select(key, "html"), "html", RECORDS, _records).select(key, F.explode("found").alias("f")).select(key, "f.*")
+    name = lambda x: F.replace(F.lower(F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}_\s]", ""))), F.lit(" "), F.lit("_"))
+    named = rows.withColumn("names", F.transform("heads", lambda h: F.nullif(name(h), F.lit(""))))
+    column = lambda i: F.coalesce(F.get("names", i), F.concat(F.lit("col_"), i.cast("string")))
+    cells = F.transform("values", lambda v, i: F.array(F.struct(column(i).alias("k"), v.alias("v")), F.struct(F.concat(column(i), F.lit("_link")).alias("k"), F.get("links", i).alias("v"))))
+    told = named.select(key, "table", "row", F.filter(F.flatten(cells), lambda p: p["v"].isNotNull()).alias("said")).withColumn("keys", F.transform("said", lambda p: p["k"]))
+    last = F.filter("said", lambda p, i: F.array_position(F.slice("keys", i + 2, F.size("keys")), p["k"]) == 0)  # of columns with one name the last counts
+    return told.select(key, "table", "row", F.map_from_entries(last).alias("record"))
 
 
 def _ending(url: Column) -> Column:

@@ -62,6 +62,7 @@ TENDER_PAGES = """
                   '<a href="docs/', o_orderkey, '.pdf">again</a>') AS html
     FROM {orders}"""
 
+_DEALT = {"orders": "o_orderkey"}
 _FILE = "concat('Notice of ', o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN ' Annex Sheet' ELSE '' END)"
 
 
@@ -75,7 +76,7 @@ _FILE = "concat('Notice of ', o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN ' An
         SELECT o_orderkey AS page_id, x.t::INT AS "table", x.p::INT AS parent, x.r::INT AS row, x.c::INT AS col, x.h AS header, x.v AS value, x.l AS link FROM c WHERE x.t = 0 OR o_orderkey % 3 = 0""",
 )
 def x16_cells(spark, sf):
-    return D.table_cells(view(spark, sf, TENDER_PAGES))
+    return D.table_cells(view(spark, sf, TENDER_PAGES, _DEALT))
 
 
 @query(
@@ -84,7 +85,7 @@ def x16_cells(spark, sf):
 )
 def x16_records(spark, sf):
     entries = F.array_sort(F.transform(F.map_entries("record"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
-    return D.table_records(view(spark, sf, TENDER_PAGES)).withColumn("record", F.array_join(entries, ";"))
+    return D.table_records(view(spark, sf, TENDER_PAGES, _DEALT)).withColumn("record", F.array_join(entries, ";"))
 
 
 @query(
@@ -96,4 +97,4 @@ def x16_records(spark, sf):
 )
 def x17_attachments(spark, sf):
     entries = F.array_sort(F.transform(F.map_entries("context"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
-    return D.attachments(view(spark, sf, TENDER_PAGES)).drop("pos").withColumns({"context": F.array_join(entries, ";"), "mime": F.regexp_extract("mime", r"([a-z]+)$", 1)})
+    return D.attachments(view(spark, sf, TENDER_PAGES, _DEALT)).drop("pos").withColumns({"context": F.array_join(entries, ";"), "mime": F.regexp_extract("mime", r"([a-z]+)$", 1)})
