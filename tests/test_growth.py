@@ -1,7 +1,8 @@
 """Jobs whose work must grow with their input, and no faster: how their rows are dealt out and what their plans hold."""
 
 from tenderweave.operators import dom as D
-from tenderweave.plans import pages
+from tenderweave.operators import profile as P
+from tenderweave.plans import pages, profile
 from tenderweave.plans.base import view
 
 
@@ -9,6 +10,19 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_tenders_of_one_file_are_many_tasks_and_their_text_is_not_moved(spark, sf_dir):
+    dealt = view(spark, sf_dir, profile.PROFILES, profile._DEALT)
+    assert dealt.rdd.getNumPartitions() == 4  # one file of one block is one task without it
+    moved = P.tender_profile(dealt)._jdf.queryExecution().executedPlan().toString()
+    assert moved.count("Exchange hashpartitioning") == 2, "only keys of orders, for each side of the join"
+
+
+def test_counts_in_front_of_a_product(spark):
+    texts = ["Supply of 12 nos. of the brass valves at site", "Supply of 3.5", "Supply of the"]
+    rows = P.tender_profile(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.product for r in rows] == ["brass valves", P.NOT_STATED, P.NOT_STATED]
+
+
 def test_records_walk_a_page_once(spark):
     html = "<table><tr><th>A b!<th>A b<th></tr><tr><td>1<td><a href=x>2</a><td>3<td>4</tr></table><table><tr><td>only heads</table>"
     rows = D.table_records(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string"))
