@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Weights of the six signals, and the boost of a cited standard.
 SIGNALS = {"semantic": 0.40, "lexical": 0.15, "product": 0.20, "application": 0.10, "technical": 0.10, "metadata": 0.05}
 CITED_BOOST = 0.3
+#: Orders in a block, and groups of profiles over which a class of orders is dealt out.
+BLOCK, DEALT = 4096, 64
 
 
 def _solid(x: Column) -> Column:
@@ -92,16 +94,29 @@ def order_applicability(profiles: DataFrame, numbers: DataFrame, orders: DataFra
     phrases has all its tokens in the profile; 1.0 for both, 0.95 for the number alone, 0.65 for a phrase.
 
     profiles (profile_id, token), numbers (profile_id, key), orders (order_id, key), phrases (order_id,
-    phrase, token). Relational division: a phrase fits if as many of its tokens meet as it has.
+    phrase, token). Relational division: a phrase fits if as many of its tokens meet as it has. Every order of a phrase
+    that fits is a pair, so pairs are many; orders of the same phrases are one class that a profile meets once,
+    and its orders follow in blocks at the very end, in front of which no pair is shuffled.
     """
-    by_number = numbers.distinct().join(orders, "key").select("profile_id", "order_id").distinct().withColumn("_n", F.lit(1))
-    wanted = phrases.distinct()
-    need = wanted.groupBy("order_id", "phrase").agg(F.count("*").alias("need"))
-    met = wanted.join(profiles.distinct(), "token").groupBy("profile_id", "order_id", "phrase").agg(F.count("*").alias("met"))
-    by_phrase = met.join(need, ["order_id", "phrase"]).where("met = need").select("profile_id", "order_id").distinct().withColumn("_p", F.lit(1))
-    both = by_number.join(by_phrase, ["profile_id", "order_id"], "full_outer")
-    n, p = F.col("_n").isNotNull(), F.col("_p").isNotNull()
-    return both.select("profile_id", "order_id", F.when(n & p, "number+phrase").when(n, "number").otherwise("phrase").alias("reasons"), F.when(n & p, 1.0).when(n, 0.95).otherwise(0.65).alias("confidence"))
+    by_number = numbers.distinct().join(orders, "key").select("profile_id", "order_id").distinct()
+    token_sets = phrases.distinct().groupBy("order_id", "phrase").agg(F.array_sort(F.collect_set("token")).alias("tokens"), F.count("*").alias("need")).where(F.size("tokens") == F.col("need"))
+    classes = token_sets.groupBy("order_id").agg(F.array_sort(F.collect_set("tokens")).alias("class"))
+    wanted = token_sets.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token"))
+    fit = wanted.join(profiles.distinct(), "token").groupBy("profile_id", "tokens").agg(F.count("*").alias("met")).where(F.col("met") == F.size("tokens"))
+    kinds = classes.select("class").distinct().select("class", F.explode("class").alias("tokens"))
+    held = fit.join(kinds, "tokens").select("profile_id", "class").distinct()
+
+    numbered = by_number.join(classes, "order_id", "left").join(held.withColumn("_p", F.lit(True)), ["profile_id", "class"], "left")
+    cited = numbered.where("_p").groupBy("profile_id", "class").agg(F.collect_list("order_id").alias("cited"))
+    sizes = classes.groupBy("class").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    listed = classes.join(sizes, "class").groupBy("class", F.pmod(F.xxhash64("order_id"), "blocks").alias("block")).agg(F.collect_list("order_id").alias("orders"))
+    # classes are few and large: each is dealt out over DEALT groups of profiles
+    listed = listed.select("class", "orders", F.explode(F.array(*map(F.lit, range(DEALT)))).alias("part"))
+    dealt = held.join(cited, ["profile_id", "class"], "left").withColumn("part", F.pmod(F.xxhash64("profile_id"), F.lit(DEALT)).cast("int"))
+    rest = F.when(F.col("cited").isNull(), F.col("orders")).otherwise(F.array_except("orders", "cited"))
+    by_phrase = dealt.join(listed, ["class", "part"]).select("profile_id", F.explode(rest).alias("order_id"), F.lit("phrase").alias("reasons"), F.lit(0.65).alias("confidence"))
+    by_number = numbered.select("profile_id", "order_id", F.when(F.col("_p"), "number+phrase").otherwise("number").alias("reasons"), F.when(F.col("_p"), 1.0).otherwise(0.95).alias("confidence"))
+    return by_number.unionByName(by_phrase)
 
 
 def attach_evidence(rows: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 """Jobs whose work must grow with their input, and no faster: how their rows are dealt out and what their plans hold."""
 
+import random
+
 from tenderweave.operators import dom as D
 from tenderweave.operators import profile as P
+from tenderweave.operators import selection as A
 from tenderweave.plans import pages, profile
 from tenderweave.plans.base import view
 
@@ -32,3 +35,23 @@ def test_records_walk_a_page_once(spark):
 
 def test_pages_of_one_file_are_many_tasks(spark, sf_dir):
     assert view(spark, sf_dir, pages.TENDER_PAGES, pages._DEALT).rdd.getNumPartitions() == 4
+
+
+def test_orders_of_a_profile_are_found_once_and_their_pairs_are_not_shuffled(spark):
+    rng = random.Random(3)
+    words = ["a", "b", "c", "d"]
+    profiles = [(p, w) for p in range(12) for w in words if rng.random() < 0.5]
+    phrases = [(o, f, w) for o in range(30) for f in ("x", "y")[: rng.randrange(3)] for w in rng.sample(words, rng.randrange(1, 3))] + [(50, "x", "a"), (50, "x", None)]
+    numbers = [(p, rng.randrange(40)) for p in range(12) for _ in range(4)]
+    frame = spark.createDataFrame
+    found = A.order_applicability(frame(profiles, "profile_id long, token string"), frame(numbers, "profile_id long, key long"), frame([(o, o) for o in range(30)], "order_id long, key long"), frame(phrases, "order_id long, phrase string, token string"))
+    has = {p: {w for q, w in profiles if q == p} for p in range(12)}
+    needs = {}
+    for o, f, w in phrases:
+        needs.setdefault((o, f), set()).add(w)
+    by_phrase = {(p, o) for p in has for (o, _), ws in needs.items() if ws <= has[p]}
+    by_number = {(p, k) for p, k in numbers if k < 30}
+    want = {(p, o, "number+phrase" if (p, o) in by_phrase & by_number else "number" if (p, o) in by_number else "phrase") for p, o in by_phrase | by_number}
+    got = [(r.profile_id, r.order_id, r.reasons) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert "FullOuter" not in plan_of(found)
