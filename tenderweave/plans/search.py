@@ -32,8 +32,8 @@ def _search(asked: str, catalogue: str, columns: dict[str, str], exact: list[str
 
 @query("w17_catalogue_search", f"WITH {_search(plain(ASKED), plain(FIELDS), _COLUMNS, ['number', 'designation'])} SELECT query_id, std_id, score, rank::INT AS rank, array_to_string(matched, '|') AS matched FROM top WHERE rank <= 5")
 def w17(spark, sf):
-    found = S.search(view(spark, sf, ASKED), view(spark, sf, FIELDS), _COLUMNS, ["number", "designation"])
-    return S.ranked(found, [F.desc("score"), F.asc("std_id")], 5).withColumn("matched", F.array_join("matched", "|"))
+    found = S.search_best(view(spark, sf, ASKED), view(spark, sf, FIELDS), _COLUMNS, ["number", "designation"], 5)
+    return found.withColumn("matched", F.array_join("matched", "|"))
 
 
 #: One changed text for each supplier: the name of a part under a number, some with a year.

@@ -2,9 +2,13 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tenderweave.operators import dom as D
 from tenderweave.operators import profile as P
+from tenderweave.operators import search as S
 from tenderweave.operators import selection as A
+from tenderweave.operators.retrieval import ranked
 from tenderweave.plans import pages, profile
 from tenderweave.plans.base import view
 
@@ -55,3 +59,16 @@ def test_orders_of_a_profile_are_found_once_and_their_pairs_are_not_shuffled(spa
     got = [(r.profile_id, r.order_id, r.reasons) for r in found.collect()]
     assert set(got) == want and len(got) == len(want)
     assert "FullOuter" not in plan_of(found)
+
+
+def test_best_hits_are_those_of_all_pairs(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice(["is", "steel", "pipe", "x1", "x2", "x3", "IS", "wire", "!"]) for _ in range(rng.randrange(n)))
+    queries = spark.createDataFrame([(q, text(6)) for q in range(40)] + [(90, None), (91, "")], "query_id long, query_text string")
+    rows = spark.createDataFrame([(s, f"IS {s % 9}" if s % 5 else None, f"x{s}", text(5)) for s in range(60)], "std_id long, number string, designation string, title string")
+    fields, exact = {"number": "number", "title": "title"}, ["number", "designation"]
+    want = ranked(S.search(queries, rows, fields, exact), [F.desc("score"), F.asc("std_id")], 3).collect()
+    as_set = lambda found: {(r.query_id, r.std_id, r.score, r["rank"], tuple(r.matched)) for r in found}
+    for rare in (0, 5, 1000):
+        got = S.search_best(queries, rows, fields, exact, 3, rare=rare).collect()
+        assert as_set(got) == as_set(want) and len(got) == len(want) > 60
