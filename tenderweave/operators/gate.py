@@ -28,6 +28,13 @@ CONSONANTS = rf"[^aeiouy]{{{MOST_CONSONANTS + 1}}}"
 STEPS = tuple(sorted({p for row in ROWS for a, b in zip(row, row[1:]) for p in (a + b, b + a)}))
 
 
+def _ascii(pattern: str) -> str:
+    r"""The pattern with \b and \s over ASCII alone: for Java's \b a letter of any script is a letter, and its \s has a vertical tab.
+    Where case does not count, the long s and the Kelvin sign are the letters they stand for."""
+    out = pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))").replace(r"\s", r"[\t\n\f\r ]")
+    return re.sub("[kK]", "[k\u212a]", re.sub("[sS]", "[s\u017f]", out)) if out.startswith("(?i)") else out
+
+
 def known_words() -> list[str]:
     """The words, of three letters or more, that the library's own rule tables say titles and tenders by."""
     texts = [w for words, _ in thesaurus.CATEGORY_RULES for w in words] + [t for _, t in thesaurus.THESAURUS]
@@ -73,7 +80,7 @@ def quality_gate(docs: DataFrame, words: list[str] | None = None, sample: int |
     marked = base.withColumn("marks", F.transform(F.regexp_extract_all("t", F.lit(TOKEN), 0), lambda w: F.struct(w.alias("w"), token_kind(w, words).alias("k"))))
     n = lambda kind: F.size(F.filter("marks", lambda m: m["k"] == kind))
     counted = marked.select(
-        "doc_id", "t", "marks", F.col("t").rlike(DESIGNATION).alias("designation"), F.col("t").rlike(SPECIFICATION).alias("specification"), F.col("t").rlike(CODE).alias("code"),
+        "doc_id", "t", "marks", F.col("t").rlike(_ascii(DESIGNATION)).alias("designation"), F.col("t").rlike(_ascii(SPECIFICATION)).alias("specification"), F.col("t").rlike(_ascii(CODE)).alias("code"),
         n("vocabulary").alias("n_vocabulary"), n("shaped").alias("n_shaped"), n("short").alias("n_short"), n("gibberish").alias("n_gibberish"), n("malformed").alias("n_malformed"),
         (F.regexp_count("t", F.lit(r"\p{L}")) - F.regexp_count("t", F.lit("[A-Za-z]"))).alias("n_foreign"), F.size("marks").alias("n_tokens"),
     )

@@ -28,3 +28,11 @@ def test_keyboard_runs_and_pages(spark):
     assert got == [True, False, True, True, False, False]
     texts = [("--- PAGE 1 ---\nx\n  --- page 2 ---\n",), ("x --- page 2 --- y",), (None,)]
     assert [r[0] for r in spark.createDataFrame(texts, "t string").coalesce(1).select(G.page_count(F.col("t"))).collect()] == [2, 1, 1]
+
+
+def test_marks_end_at_letters_of_other_scripts(spark):
+    said = {"éIS 10322": "designation", "IS 10322é": "designation", "Iſ 123": "designation", "90 Wé": "specification", "çIP66": "specification", "5 \u212ag": "specification", "N95é": "code", "9µA3": "code"}
+    unsaid = {"IS\x0b10322": "designation", "90\x0bW": "specification", "AIS 10322": "designation", "90 Wx": "specification", "N-95": "code"}
+    df = spark.createDataFrame(list(enumerate([*said, *unsaid])), "doc_id int, text string")
+    got = {r.doc_id: r for r in G.quality_gate(df).collect()}
+    assert [got[k][mark] for k, mark in enumerate([*said.values(), *unsaid.values()])] == [True] * len(said) + [False] * len(unsaid)
