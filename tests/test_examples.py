@@ -1,4 +1,5 @@
 from tenderweave.operators import examples as X
+from tenderweave.operators import learning
 from tenderweave.operators.learning import train_text_classifier
 
 
@@ -18,3 +19,18 @@ def test_examples_and_a_model_of_them(spark):
     got = X.predict_type(held, train_text_classifier(train), labels).collect()
     assert sum(r.label == r.want for r in got) >= 0.9 * len(got)
     assert {r.label for r in X.predict_type(held, None, labels).collect()} == {"OTHER"}
+
+
+def test_trees_hold_different_texts_only(spark, monkeypatch):
+    held = []
+
+    class Forest(learning.RandomForestClassifier):
+        def fit(self, rows):
+            held.extend((r.label, r.weight) for r in rows.collect())
+            return super().fit(rows)
+
+    monkeypatch.setattr(learning, "RandomForestClassifier", Forest)
+    rows = [("steel pipe test", 0.0)] * 6 + [("copper wire sheet", 0.0)] * 4 + [("oak chair safety", 1.0)] * 5 + [("steel pipe test", 1.0)] * 5
+    model = train_text_classifier(spark.createDataFrame(rows, "text string, label double"), trees=3)
+    assert sorted((label, round(w, 6)) for label, w in held) == [(0.0, 4.0), (0.0, 6.0), (1.0, 5.0), (1.0, 5.0)]
+    assert len(model.stages) == 8
