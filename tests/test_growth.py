@@ -9,7 +9,7 @@ from tenderweave.operators import profile as P
 from tenderweave.operators import search as S
 from tenderweave.operators import selection as A
 from tenderweave.operators.retrieval import ranked
-from tenderweave.plans import pages, profile
+from tenderweave.plans import clauses, pages, profile
 from tenderweave.plans.base import view
 
 
@@ -72,3 +72,9 @@ def test_best_hits_are_those_of_all_pairs(spark):
     for rare in (0, 5, 1000):
         got = S.search_best(queries, rows, fields, exact, 3, rare=rare).collect()
         assert as_set(got) == as_set(want) and len(got) == len(want) > 60
+
+
+def test_spans_are_dealt_before_their_text_is_made(spark, sf_dir):
+    for name in ("x6_requirement_spans", "x11_requirements"):
+        plan = clauses.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan
