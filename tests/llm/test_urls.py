@@ -77,3 +77,29 @@ def test_the_sample_has_no_copies(spark):
     df = spark.createDataFrame([(f"http://a{k % 30}.com/",) for k in range(3000)], "url string").repartition(7)
     got = [r.url for r in sampled(df, 10).collect()]
     assert len(got) == 10 == len(set(got)) and sampled(df, 100).count() == 30
+
+
+def test_counts_and_trees_take_all_labelled_urls(spark, monkeypatch):
+    from tenderweave.llm import urls as U
+
+    def seen(taken):
+        found.append((taken.count(), taken.select("url").distinct().count(), *trained(taken)))
+        return found[-1][2:]
+
+    found = []
+    monkeypatch.setattr(U, "trained", seen)
+    # 300 folders, more than were looked up before, and more URLs than the sample had; each twice
+    many = [f"http://a{i % 7}.example.{('com', 'net')[i % 2]}/{('es' if i % 4 == 1 else 'f' + str(i // 2 % 300))}/{i}" for i in range(12000)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(many * 2)], "page_id long, url string")
+    rows = U.filtered(df)
+    labelled = [u for u in many if brute(u)[3]]
+    (n, different, _, known), folder = found[0], {}
+    assert n == different == len(labelled) > 5000
+    for u in labelled:
+        f = u.split("/")[3]
+        folder[f] = folder.get(f, 0) + 1
+    assert len(folder) > 256
+    got = spark.createDataFrame([("com", f) for f in [*folder, "none"]], "suffix string, folder string").withColumns(known).collect()
+    usual = sum((c / n) ** 2 for c in folder.values())
+    assert all(abs(r.f_folder_share - (folder[r.folder] / n if r.folder in folder else usual)) < 1e-12 for r in got)
+    assert rows.count() == len(many) * 2
