@@ -7,7 +7,7 @@ the attribute. Built-in expressions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Attributes and their forms, words that end a material's name, words that are no alias.
@@ -37,12 +37,13 @@ _BREAK = r"[,.;:!?\[\]/–—-]"
 
 def _before(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     """(key, pos, attribute, before): each attribute word of a text, and what stands before it back to the
-    last break, the attribute word before, or LOOK_BACK characters."""
+    last break, the attribute word before, or LOOK_BACK characters. A text is cut where it lies."""
     cut = rf"(?=(?i:\b(?:{'|'.join(_FORMS)})\b))"
-    pieces = rows.select(*key, F.posexplode(F.split(text, cut)).alias("pos", "piece"))
-    previous = F.lag("piece").over(Window.partitionBy(*key).orderBy("pos"))
+    pieces = rows.select(*key, F.split(text, cut).alias("pieces"))
+    places = F.transform("pieces", lambda p, i: F.struct(i.alias("pos"), p.alias("piece"), F.get("pieces", i - 1).alias("previous")))
+    pieces = pieces.where(F.size("pieces") > 1).select(*key, F.explode(places).alias("p")).select(*key, "p.*")
     names = F.create_map(*[F.lit(x) for pair in _FORMS.items() for x in pair])
-    found = pieces.withColumn("previous", F.right(previous, F.lit(LOOK_BACK))).withColumn("form", F.lower(F.regexp_extract("piece", "^" + _FORM.replace("(?i)", "(?i:", 1) + ")", 1)))
+    found = pieces.withColumn("previous", F.right("previous", F.lit(LOOK_BACK))).withColumn("form", F.lower(F.regexp_extract("piece", "^" + _FORM.replace("(?i)", "(?i:", 1) + ")", 1)))
     return found.where("form <> '' and previous is not null").select(*key, "pos", names[F.col("form")].alias("attribute"), F.element_at(F.split("previous", _BREAK), -1).alias("before"))
 
 
@@ -100,6 +101,7 @@ def scope_check(pairs: DataFrame, standards: DataFrame) -> DataFrame:
     A mismatch needs a known material in the requirement, another one for the same attribute in the
     standard's title, and no mention of it in the standard's title, scope or keywords. A requirement that names
     several materials for an attribute says nothing about it. checked is false where nothing was compared.
+    The designations that cover a material are listed once for it and met at the end, by the pairs that mismatch alone.
     """
     alias, covers = material_vocabulary(standards)
     key = ["req_id", "std_id"]
@@ -107,13 +109,15 @@ def scope_check(pairs: DataFrame, standards: DataFrame) -> DataFrame:
     several = asked.groupBy(*key, "attribute").agg(F.min("material").alias("a"), F.max("material").alias("b")).where("a = b").drop("a", "b")
     stated = materials_in(standards, ["std_id"], "title").groupBy("std_id", "attribute").agg(F.max_by("phrase", "pos").alias("covered"))
     text = F.lower(F.concat_ws(" ", "title", "scope", "keywords"))
-    met = asked.join(several, [*key, "attribute"]).join(stated, ["std_id", "attribute"]).join(covers, ["attribute", "material"]).join(standards.select("std_id", "designation", text.alias("said")), "std_id")
+    met = asked.join(several, [*key, "attribute"]).join(stated, ["std_id", "attribute"]).join(covers.drop("designations"), ["attribute", "material"]).join(standards.select("std_id", "designation", text.alias("said")), "std_id")
     mentioned = F.exists(aliases(F.col("spelling")), lambda a: F.regexp_like(F.col("said"), F.concat(F.lit(r"(?<![a-z0-9])\Q"), a, F.lit(r"\E(?![a-z0-9])"))))
     met = met.withColumn("mismatch", (material_key(F.col("covered")) != F.col("material")) & ~mentioned)
-    result = F.struct("mismatch", "attribute", F.col("spelling").alias("required"), F.col("alias").alias("as_written"), "covered", F.array_remove(F.col("designations"), F.col("designation")).alias("alternatives"))
+    result = F.struct("mismatch", "attribute", F.col("spelling").alias("required"), F.col("alias").alias("as_written"), "covered", "material", "designation")
     best = met.groupBy(*key).agg(F.min_by(result, F.struct((~F.col("mismatch")).alias("ok"), "pos")).alias("r"))
-    rows = pairs.select(*key).join(best, key, "left")
     bad = F.coalesce("r.mismatch", F.lit(False))
+    listed = covers.select(F.col("attribute").alias("_a"), F.col("material").alias("_m"), "designations")  # as many rows as there are materials
+    rows = pairs.select(*key).join(best, key, "left")
+    rows = rows.join(F.broadcast(listed), bad & (F.col("r.attribute") == F.col("_a")) & (F.col("r.material") == F.col("_m")), "left")
     return rows.select(
-        *key, F.col("r").isNotNull().alias("checked"), bad.alias("mismatch"), "r.attribute", "r.required", F.when(bad, F.col("r.as_written")).alias("as_written"), "r.covered", F.when(bad, F.col("r.alternatives")).otherwise(F.array().cast("array<string>")).alias("alternatives")
+        *key, F.col("r").isNotNull().alias("checked"), bad.alias("mismatch"), "r.attribute", "r.required", F.when(bad, F.col("r.as_written")).alias("as_written"), "r.covered", F.when(bad, F.array_remove(F.col("designations"), F.col("r.designation"))).otherwise(F.array().cast("array<string>")).alias("alternatives")
     )

@@ -1,15 +1,21 @@
 """Jobs whose work must grow with their input, and no faster: how their rows are dealt out and what their plans hold."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
 from tenderweave.operators import dom as D
+from tenderweave.operators import features as M
+from tenderweave.operators import notices as N
 from tenderweave.operators import profile as P
+from tenderweave.operators import retrieval as R
+from tenderweave.operators import scope as S2
 from tenderweave.operators import search as S
 from tenderweave.operators import selection as A
+from tenderweave.operators.catalogue import latest_edition
 from tenderweave.operators.retrieval import ranked
-from tenderweave.plans import clauses, pages, profile
+from tenderweave.plans import clauses, evaluation, findings, notices, pages, profile
 from tenderweave.plans.base import view
 
 
@@ -78,3 +84,65 @@ def test_spans_are_dealt_before_their_text_is_made(spark, sf_dir):
     for name in ("x6_requirement_spans", "x11_requirements"):
         plan = clauses.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION_BY_NUM" in plan
+
+
+def executed(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_small_files_are_dealt_before_their_text_is_made(spark, sf_dir):
+    for module, name in ((pages, "p12_categories_of_rules"), (findings, "m7_labelled_examples"), (notices, "x13_catalogue_standards")):
+        assert "REPARTITION_BY_NUM" in executed(module.QUERIES[name](spark, sf_dir)), name
+
+
+def test_lines_of_a_page_are_met_where_they_lie(spark):
+    rows = N.catalogue_standards(spark.createDataFrame([(1, "IS 732 : 1999\nCode of practice\nend"), (2, None)], "doc_id long, text string"))
+    assert "lead(" not in plan_of(rows)
+    assert [(r.doc_id, r.title) for r in rows.collect()] == [(1, "IS 732 : 1999 - Code of practice")]
+
+
+def test_pairs_of_queries_and_rows_are_not_moved(spark):
+    queries = spark.sql("SELECT * FROM VALUES (1L, 'steel pipe'), (2L, 'wire') AS t(query_id, query_text)")  # a size Spark knows, as a file has
+    rows = spark.createDataFrame([(7, "Steel", "steel wire wire"), (8, None, "pipe"), (9, "x", "")], "std_id long, title string, text string")
+    for scored in (R.lexical_score(queries, rows, {"title": "title", "scope": "text"}), R.bm25_score(queries, rows)):
+        assert "hashpartitioning(query_id" not in executed(scored) and "hashpartitioning(std_id#" in executed(scored)
+    got = {(r.query_id, r.std_id, r.score, r.matched) for r in R.lexical_score(queries, rows, {"title": "title", "scope": "text"}).collect()}
+    assert got == {(1, 7, 4.5, "steel"), (1, 8, 1.5, "pipe"), (2, 7, 1.5, "wire")}
+    idf, usual = math.log(1 + 2.5 / 1.5), 4 / 3
+    want = idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / usual))
+    assert abs(next(r.score for r in R.bm25_score(queries, rows).collect() if r.query_id == 2) - want) < 1e-12
+
+
+def test_editions_of_one_designation_are_met_once(spark):
+    catalogue = spark.createDataFrame([(1, "IS 1:2", 5), (1, "IS 1:2", 9), (1, "IS 1:3", None), (1, "IS 1:3", 9), (2, "IS 2:1", None)], "family long, designation string, published int")
+    wanted = spark.createDataFrame([(1, "IS 1:3"), (1, "IS 1:8"), (2, "IS 2:2")], "family long, wanted string")
+    found = latest_edition(wanted, catalogue)
+    assert "max(published" in plan_of(found)
+    assert sorted((r.wanted, r.designation, r.published) for r in found.collect()) == [("IS 1:3", "IS 1:3", 9), ("IS 1:8", "IS 1:2", 9), ("IS 2:2", "IS 2:1", None)]
+
+
+def test_designations_are_not_carried_with_the_pairs(spark):
+    standards = spark.createDataFrame([(k, f"{'PVC' if k % 2 else 'XLPE'} insulated cables", None, "", f"IS {k}", "active") for k in range(40)], "std_id long, title string, scope string, keywords string, designation string, status string")
+    pairs = spark.createDataFrame([(1, 1, "XLPE insulated cable"), (2, 2, "XLPE insulated"), (3, 3, None)], "req_id long, std_id long, text string")
+    checked = S2.scope_check(pairs, standards)
+    assert "Window" not in plan_of(checked)
+    worst = next(line for line in plan_of(checked).splitlines() if "min_by" in line)
+    assert "designations" not in worst
+    got = {r.req_id: r for r in checked.collect()}
+    assert got[1].alternatives == sorted(f"IS {k}" for k in range(0, 40, 2)) and got[2].alternatives == got[3].alternatives == []
+
+
+def test_hits_are_made_in_one_pass(spark, sf_dir):
+    hits = evaluation._hits(spark, sf_dir)
+    same = view(spark, sf_dir, evaluation.HITS)
+    assert hits.columns == same.columns and hits.exceptAll(same).isEmpty() and same.exceptAll(hits).isEmpty()
+    assert plan_of(hits).count("Relation") == 2
+    modes = plan_of(evaluation.QUERIES["a11_match_modes"](spark, sf_dir))
+    assert modes.count("row_number()") == 1  # hits of all modes and stages, and the list of stages, in one reading
+
+
+def test_candidates_that_are_not_wanted_count_in_the_ranks_alone(spark):
+    rows = [(1, 1, "lamp 5 W", "lamp", 0.5, 1.0, 0.1, True), (1, 2, None, None, 0.9, 2.0, 0.2, None), (1, 3, None, None, 0.1, 2.0, 0.2, False)]
+    df = spark.createDataFrame(rows, "q long, s long, requirement_text string, candidate_text string, semantic_score double, bm25_score double, rrf_score double, wanted boolean")
+    got = M.applicability_features(df, ["q"], "s", only="wanted").collect()
+    assert [(r.s, r.embedding_cosine_sim_rank, r.bm25_score_rank) for r in got] == [(1, 2.0, 3.0)]
