@@ -1,7 +1,8 @@
 """Candidate retrieval for batches of queries: token joins, exact vector search, fusion, and their evaluation.
 
 Lexical scoring never crosses queries with rows: tokens that no query asks for leave first, then both
-sides meet in an equi-join on the token. All tokens of a row are in one task until its scores are summed.
+sides meet in an equi-join on the token. All tokens of a row are in one task until its scores are summed,
+so pairs of queries and rows are made and ranked there and not moved.
 Vectors are packed into chunks; each chunk of rows meets each chunk of queries once, in a matrix product.
 """
 
@@ -21,6 +22,11 @@ WEIGHTS = {"number": 5.0, "title": 3.0, "scope": 1.5, "keyword": 2.0, "committee
 CHUNK = 2048  # vectors in a chunk
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by key into as many partitions as shuffles have, however little they are: each gives many pairs."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def postings(rows: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
     """(key, field, token): distinct tokens of each field."""
     parts = F.array(*[F.struct(F.lit(name).alias("field"), tokenize_set(F.col(column)).alias("tokens")) for name, column in fields.items()])
@@ -36,7 +42,7 @@ def lexical_score(queries: DataFrame, catalogue: DataFrame, fields: dict[str, st
     asked = queries.select("query_id", F.explode(tokenize_set(F.col("query_text"))).alias("token"))
     table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
     wanted = postings(catalogue, "std_id", fields).join(asked.select("token").distinct(), "token", "left_semi")
-    weighed = wanted.groupBy("std_id", "token").agg(F.sum(table[F.col("field")]).alias("weight"))
+    weighed = _dealt(wanted, "std_id").groupBy("std_id", "token").agg(F.sum(table[F.col("field")]).alias("weight"))
     return asked.join(weighed, "token").groupBy("query_id", "std_id").agg(F.sum("weight").alias("score"), F.array_join(F.array_sort(F.collect_list("token")), " ").alias("matched"))
 
 
@@ -116,20 +122,25 @@ def hybrid_fuse(lexical: DataFrame, vectors: DataFrame, lexical_weight: float =
 def bm25_score(queries: DataFrame, rows: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, std_id, score): Okapi BM25 over runs of letters and digits of text.
 
-    Lengths are sizes of token arrays; only tokens that a query asks for are exploded further, and a
-    row's are counted where it lies.
+    Lengths are sizes of token arrays; of a row's tokens only those that a query asks for go on, counted, and with
+    them one empty token that carries the row itself into the corpus's length: texts are read once. Rows then
+    meet the queries where all their tokens are.
     """
     tokens = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9]+"), lambda t: t != "")
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("token"))
     split = rows.select("std_id", tokens(F.col("text")).alias("tokens")).withColumn("len", F.size("tokens"))
-    wanted = split.select("std_id", "len", F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    known = asked.select(F.explode(F.array("token", F.lit(""))).alias("token")).distinct()
+    wanted = split.select("std_id", "len", F.explode(F.array_append("tokens", F.lit(""))).alias("token")).join(known, "token", "left_semi")
     tf = wanted.groupBy("std_id", "token", "len").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    corpus = split.agg(F.count("*").alias("n"), F.sum("len").alias("tokens"))  # one row
+    # every branch takes all columns of tf, so that they share its shuffle
+    df = tf.groupBy("token").agg(F.count_if(F.col("tf") > 0).alias("df"), F.sum("tf").alias("n"), F.sum(F.col("tf") * F.col("len")).alias("tokens"))
+    row = lambda c: F.max(F.when(F.col("token") == "", F.col(c))).alias(c)
+    corpus = df.agg(row("n"), row("tokens"))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = asked.join(df, "token").crossJoin(F.broadcast(corpus)).select("query_id", "token", idf.alias("idf"), (F.col("tokens") / F.col("n")).alias("usual"))
+    terms = df.select("token", "df").crossJoin(F.broadcast(corpus)).select("token", idf.alias("idf"), (F.col("tokens") / F.col("n")).alias("usual"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("usual")))
-    return tf.join(terms, "token").groupBy("query_id", "std_id").agg(F.sum(part).alias("score"))
+    parts = _dealt(tf.join(terms, "token").select("std_id", "token", part.alias("part")), "std_id")
+    return parts.join(asked, "token").groupBy("query_id", "std_id").agg(F.sum("part").alias("score"))
 
 
 def rrf_fuse(ranks: DataFrame, k: int = 60) -> DataFrame:
