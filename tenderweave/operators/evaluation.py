@@ -24,7 +24,10 @@ def matches(mode: str, found: Column, expected: Column) -> Column:
     if mode not in MODES:
         raise ValueError(f"{mode} is none of {MODES}")
     form = spaced if mode == "either_way" else squeezed
-    a, b = form(found), form(expected)
+    return _same(mode, form(found), form(expected))
+
+
+def _same(mode: str, a: Column, b: Column) -> Column:
     same = a == b if mode == "exact" else F.contains(a, b) | F.contains(b, a)
     return F.coalesce((a != "") & (b != "") & same, F.lit(False))
 
@@ -33,14 +36,16 @@ def match_modes(hits: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5
     """(mode, stage, n_queries, recall_at_k..., mrr) of hits (stage, query_id, rank, number) against gold (query_id, expected).
 
     A query counts in every stage, also where the stage has no hit for it. A query with several expected numbers is
-    found with the first of them. Hits meet the expected numbers of their own query only, by an equi-join.
+    found with the first of them. Hits meet the expected numbers of their own query only, by an equi-join, and are
+    read once for all modes; expected numbers are spelled before they are met.
     """
-    ways = F.array(*[F.struct(F.lit(m).alias("mode"), matches(m, F.col("number"), F.col("expected")).alias("relevant")) for m in MODES])
-    judged = hits.join(gold, "query_id").select("stage", "query_id", "rank", F.explode(ways).alias("w")).where("w.relevant")
-    best = judged.groupBy(F.col("w.mode").alias("mode"), "stage", "query_id").agg(F.min("rank").alias("best"))
-    found = best.groupBy("mode", "stage").agg(*[F.count_if(F.col("best") <= k).alias(f"_{k}") for k in ks], F.sum(1 / F.col("best")).alias("_rr"))
-    stages = hits.select("stage").distinct().select("stage", F.explode(F.array(*map(F.lit, MODES))).alias("mode"))
-    every = stages.join(found, ["mode", "stage"], "left").crossJoin(gold.agg(F.count_distinct("query_id").alias("n_queries")))  # one row
+    wanted = gold.select("query_id", spaced(F.col("expected")).alias("_spaced"), squeezed(F.col("expected")).alias("_squeezed"))
+    told = hits.join(wanted, "query_id", "left").withColumns({"_a": spaced(F.col("number")), "_b": squeezed(F.col("number"))})
+    near = lambda m: _same(m, *((F.col("_a"), F.col("_spaced")) if m == "either_way" else (F.col("_b"), F.col("_squeezed"))))
+    best = told.groupBy("query_id", "stage").agg(*[F.min(F.when(near(m), F.col("rank"))).alias(m) for m in MODES])
+    found = best.groupBy("stage").agg(*[F.struct(*[F.count_if(F.col(m) <= k).alias(f"_{k}") for k in ks], F.sum(1 / F.col(m)).alias("_rr")).alias(m) for m in MODES])
+    modes = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), f"{m}.*") for m in MODES])).alias("w")
+    every = found.select("stage", modes).select("stage", "w.*").crossJoin(gold.agg(F.count_distinct("query_id").alias("n_queries")))  # one row
     share = lambda c: F.round(F.coalesce(F.col(c), F.lit(0)) / F.col("n_queries"), 4)
     return every.select("mode", "stage", "n_queries", *[share(f"_{k}").alias(f"recall_at_{k}") for k in ks], share("_rr").alias("mrr"))
 
