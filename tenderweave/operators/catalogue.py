@@ -136,8 +136,12 @@ def normalize_amendments(df: DataFrame, key: str) -> DataFrame:
 
 
 def latest_edition(wanted: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """For each wanted family the exact designation, else the newest published of its editions."""
-    joined = wanted.join(catalogue, "family")
+    """For each wanted family the exact designation, else the newest published of its editions.
+
+    Rows of one designation are one edition, published when the last of them was, before any is met.
+    """
+    editions = catalogue.groupBy("family", "designation").agg(F.max("published").alias("published"))
+    joined = wanted.join(editions, "family")
     order = Window.partitionBy("wanted").orderBy(F.desc(F.col("designation") == F.col("wanted")), F.desc_nulls_last("published"), "designation")
     return joined.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("wanted", "designation", "published")
 
