@@ -43,7 +43,7 @@ def p16_documents(spark, sf):
         SELECT std_id, CASE WHEN len(c) = 0 THEN 'General Standards' ELSE array_to_string(c[1:3], '|') END AS categories FROM d""",
 )
 def p12_rules(spark, sf):
-    return view(spark, sf, TITLES).select("std_id", F.array_join(V.categories_of_rules(F.col("title"), F.col("is_number")), "|").alias("categories"))
+    return view(spark, sf, TITLES, {"part": "p_partkey"}).select("std_id", F.array_join(V.categories_of_rules(F.col("title"), F.col("is_number")), "|").alias("categories"))
 
 
 _WORDS = ["the", "in", "an", "and", "ing", "thing", "some", "someone", "on", "one", "der", "die", "und", "les", "est", "el", "la", "que", "th", "t"]
