@@ -134,8 +134,9 @@ def catalogue_standards(pages: DataFrame) -> DataFrame:
     longest line naming the standard, cut to 120 characters (of longer ones the last); a line under 25 characters
     takes the next one with it. Citations are upper-case, as in scan_citations; IS itself is no committee.
     """
-    lines = pages.select("doc_id", F.posexplode(F.split("text", r"\R")).alias("line_no", "raw")).withColumn("line", F.trim("raw"))
-    lines = lines.withColumn("next", F.lead("line").over(Window.partitionBy("doc_id").orderBy("line_no")))
+    lines = pages.select("doc_id", F.transform(F.split("text", r"\R"), lambda x: F.trim(x)).alias("all"))
+    said = F.transform("all", lambda x, i: F.struct(i.alias("line_no"), x.alias("line"), F.get("all", i + 1).alias("next")))
+    lines = lines.select("doc_id", F.explode(said).alias("l")).select("doc_id", "l.*")
     full = F.when((F.length("line") < LEAST_TITLE) & F.col("next").isNotNull(), F.concat_ws(" - ", "line", "next")).otherwise(F.col("line"))
     lines = lines.select("doc_id", "line_no", "line", full.alias("full")).where(F.col("line").rlike(r"\bIS\s*[:\-–]?\s*\d"))
     lines = lines.withColumn("key", F.struct("doc_id", "line_no"))

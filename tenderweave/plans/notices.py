@@ -70,7 +70,7 @@ def x15_gazettes(spark, sf):
 
 @query("x13_catalogue_standards")
 def x13(spark, sf):
-    return N.catalogue_standards(view(spark, sf, NOTICES))
+    return N.catalogue_standards(view(spark, sf, NOTICES, {"orders": "o_orderkey"}))
 
 
 @query("x18_payloads", rf"""WITH d AS (SELECT *, coalesce(text, '') AS t, coalesce(title, CASE kind WHEN 'bis' THEN 'Indian Standard Document' WHEN 'draft' THEN 'Wide Circulation Draft Standard' END) AS named FROM ({_D}))
