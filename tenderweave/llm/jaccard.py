@@ -9,7 +9,8 @@ that several texts have stay, by which each candidate is then confirmed or refut
 Few texts of a prefix shingle: all pairs are candidates. Many (over CROWD): first each with some
 leaders and its neighbours in size; then, as links only count for components, those that the confirmed
 links left apart, with other leaders in turn and at the last turn in all pairs. So a large group of copies has links in proportion to its size, and
-still no pair that could join two groups goes untried.
+still no pair that could join two groups goes untried. Candidates found by other means may come first:
+once confirmed they are links, and pairs that these connect already are passed over from the start.
 
 Between the steps entries travel as binary columns of many shingles to a row.
 """
@@ -163,8 +164,8 @@ def _fits(n: np.ndarray, left: np.ndarray, m: np.ndarray, other: np.ndarray) ->
 
 def _candidates(turn: int, crowd: int):
     """Pairs of texts with a prefix shingle in common, once for each part. A pair of a text with itself
-    says that the text is in a crowd. After turn 0 only crowds, and pairs of different components: first
-    with other leaders at each turn, at the last turn all of them."""
+    says that the text is in a crowd. Pairs of one component are passed over. After turn 0 only crowds: first
+    with other leaders at each turn, at the last turn all pairs."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         doc, size, h, root, left = _read(pdf, hashes=np.uint64, root=np.int64, left=np.int32)
@@ -185,7 +186,7 @@ def _candidates(turn: int, crowd: int):
         if not turn:
             for k in range(1, int(min(crowd, n.max()))):
                 i = np.flatnonzero((h[:-k] == h[k:]) & (few[:-k] | (k < 3)))
-                i = i[fits(i, i + k)]
+                i = i[(root[i] != root[i + k]) & fits(i, i + k)]
                 add(i, i + k)
         for a, g in zip(starts[n > crowd].tolist(), n[n > crowd].tolist()):
             at = np.arange(a, a + g)
@@ -202,7 +203,7 @@ def _candidates(turn: int, crowd: int):
             else:
                 add(at, at)
                 for i in chosen(at).tolist():
-                    j = at[(at != i) & fits(i, at)]
+                    j = at[(root[at] != root[i]) & fits(i, at)]
                     add(np.full(len(j), i), j)
         found = np.unique(np.concatenate(pairs), axis=0)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
@@ -218,11 +219,12 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], ["a", "b"])
 
 
-def similar(docs: DataFrame, hashes: Callable[[bytes], np.ndarray], crowd: int = CROWD) -> DataFrame:
+def similar(docs: DataFrame, hashes: Callable[[bytes], np.ndarray], crowd: int = CROWD, seeds: DataFrame | None = None) -> DataFrame:
     """Links (a, b) of doc_ids whose texts have a similarity of NUM / DEN or more, with the components
     that all such links have. hashes gives a text's shingles.
 
-    docs has doc_id and text, each doc_id once. Texts without words are equal to each other.
+    docs has doc_id and text, each doc_id once. Texts without words are equal to each other. seeds (a, b) are
+    candidates found by other means; they are confirmed like all others, and whatever they lack is found.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     parts = max(1, text_bytes(docs) // PART_BYTES)
@@ -233,17 +235,22 @@ def similar(docs: DataFrame, hashes: Callable[[bytes], np.ndarray], crowd: int =
     copies = stored(active.select("doc", "digest").join(least, "digest").where("doc <> least").select(F.col("doc").alias("a"), F.col("least").alias("b")), "copies")
     firsts = active.drop("digest").join(copies.select(F.col("a").alias("doc")), "doc", "left_anti")
 
-    def confirmed(texts: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-        dealt = texts.select("doc", "n", "take", "shingles", "root").mapInArrow(_prefixes(parts), f"{_ENTRIES}, root binary, left binary")
-        pairs = stored(dealt.groupBy("part").applyInPandas(_candidates(turn, crowd), "a long, b long").distinct(), "pairs")
+    def confirmed(pairs: DataFrame) -> DataFrame:
         side = lambda x: firsts.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}"))
         whole = pairs.where("a <> b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "sa", "sb")
-        return pairs, stored(whole.mapInArrow(_confirmed, "a long, b long"), "confirmed")
+        return stored(whole.mapInArrow(_confirmed, "a long, b long"), "confirmed")
+
+    def rooted(texts: DataFrame, links: DataFrame) -> DataFrame:
+        return texts.join(components(links), F.col("doc") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc"))
+
+    def candidates(texts: DataFrame, turn: int) -> DataFrame:
+        dealt = texts.select("doc", "n", "take", "shingles", "root").mapInArrow(_prefixes(parts), f"{_ENTRIES}, root binary, left binary")
+        return stored(dealt.groupBy("part").applyInPandas(_candidates(turn, crowd), "a long, b long").distinct(), "pairs")
 
-    pairs, links = confirmed(firsts.withColumn("root", F.col("doc")), 0)
+    seeded = confirmed(seeds.distinct()) if seeds is not None else None
+    pairs = candidates(firsts.withColumn("root", F.col("doc")) if seeded is None else rooted(firsts, seeded), 0)
+    links = confirmed(pairs) if seeded is None else confirmed(pairs).union(seeded)
     crowded = pairs.where("a = b").select(F.col("a").alias("doc"))
     for turn in range(1, 1 if crowded.isEmpty() else TURNS + 1):
-        roots = components(links)
-        texts = firsts.join(crowded, "doc", "left_semi").join(roots, F.col("doc") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc"))
-        links = links.union(confirmed(texts, turn)[1])
+        links = links.union(confirmed(candidates(rooted(firsts.join(crowded, "doc", "left_semi"), links), turn)))
     return links.union(copies)

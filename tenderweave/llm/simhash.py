@@ -342,18 +342,29 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     return stored(ordered.withColumn(key, F.monotonically_increasing_id()), "rows"), key
 
 
-def without_near_copies(docs: DataFrame, size: int = 5) -> DataFrame:
+def _candidates(docs: DataFrame, size: int, budget: int) -> DataFrame:
+    """(a, b) of doc_ids whose fingerprints are equal, or are in one component of the tries' links."""
+    prints = stored(fingerprints(docs, size), "fingerprints")
+    classes = stored(prints.groupBy("w0").agg(F.min("doc_id").alias("least")), "classes")
+    equal = prints.join(classes, "w0").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    return stored(links(classes, budget).select("a", "b").union(equal), "candidates")
+
+
+def without_near_copies(docs: DataFrame, size: int = 5, budget: int = 4) -> DataFrame:
     """The rows of docs, with all their columns, of the documents with the least doc_id of their groups.
 
     Two documents link if their sets of shingles of size words have a Jaccard similarity of 0.8 or more,
-    exactly; groups are the components of all links. Fingerprints don't take part: the Hamming distance
-    of 256 bits that keeps all pairs of 0.8 is too wide for tries. Each row is a document of its own: rows
+    exactly; groups are the components of all links. Candidates come from the join of tries over the
+    fingerprints, within budget bits, and each is confirmed by its shingles. The tries can't find all pairs
+    of 0.8 (two such texts differ in more bits than tries can allow), so a prefix filter over the shingles
+    adds the pairs that the confirmed ones leave apart. Each row is a document of its own: rows
     that repeat a doc_id, or have none, link by their texts alone; of a group's rows of one doc_id
     the one with the least text stays, and rows without doc_id come after all others. A null text is one
     without words; such texts are copies of each other. Texts of any length are read whole. No documents:
     no rows.
     """
     docs, key = _keyed(docs)
-    roots = components(similar(docs.select(F.col(key).alias("doc_id"), "text"), partial(shingle_hashes, size=size)))
+    texts = docs.select(F.col(key).alias("doc_id"), "text")
+    roots = components(similar(texts, partial(shingle_hashes, size=size), seeds=_candidates(texts, size, budget)))
     later = stored(roots.where("node <> root").select(F.col("node").alias(key)), "later")
     return docs.join(later, key, "left_anti").drop(key)

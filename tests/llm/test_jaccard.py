@@ -66,3 +66,23 @@ def test_stage_keeps_the_least_of_each_group(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(r.doc_id for r in without_near_copies(df).collect()) == sorted(set(brute(docs)[0].values()))
     assert without_near_copies(df.limit(0)).collect() == []
+
+
+def test_tries_give_candidates_which_are_confirmed_and_completed(spark, monkeypatch):
+    from tenderweave.llm import simhash as S
+
+    docs = corpus()
+    expected, _ = brute(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    joined, real = [], S.links
+    monkeypatch.setattr(S, "links", lambda *args: joined.append(real(*args)) or joined[-1])
+    assert sorted(r.doc_id for r in without_near_copies(df).collect()) == sorted(set(expected.values()))
+    assert len(joined) == 1 and joined[0].count() > 20
+    rng = random.Random(8)
+    ids = sorted(expected)
+    wrong = [(a, b) for a, b in ((rng.choice(ids), rng.choice(ids)) for _ in range(300)) if expected[a] != expected[b]]
+    right = [(d, r) for d, r in expected.items() if rng.random() < 0.3]
+    seeds = spark.createDataFrame([*wrong, *right, *right[:5], (-1, ids[0])], "a long, b long")
+    for crowd in (3, 32):
+        found = {r.node: r.root for r in components(similar(df, lambda raw: shingle_hashes(raw, 5), crowd, seeds)).collect()}
+        assert {d: found.get(d, d) for d in expected} == expected
