@@ -28,27 +28,29 @@ def _units(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(UNITS), 0), lambda u: F.upper(u)))
 
 
-def applicability_features(pairs: DataFrame, group: list[str], item: str) -> DataFrame:
+def applicability_features(pairs: DataFrame, group: list[str], item: str, only: str | None = None) -> DataFrame:
     """(group, item, and a column for each of FEATURES) of pairs with requirement_text, candidate_text,
     semantic_score, bm25_score and rrf_score.
 
     A pair is known by group (the requirement) and item (the candidate). A rank is the place among the
     group's candidates by falling score, ties by item; what can't be told is NaN. Null texts are empty.
+    only names a column of booleans: pairs where it is not true count in the ranks alone and have no row.
     """
-    pairs = pairs.withColumns({c: F.coalesce(c, F.lit("")) for c in ("requirement_text", "candidate_text")})
     req, cand = F.col("requirement_text"), F.col("candidate_text")
     known = lambda c: F.coalesce(F.col(c).cast("double"), _nan())
     place = lambda c: F.when(F.col(c).isNotNull(), F.row_number().over(Window.partitionBy(*group).orderBy(F.desc_nulls_last(c), item)).cast("double")).otherwise(_nan())
+    pairs = pairs.withColumns({f"_{c}": place(f"{c}_score") for c in ("semantic", "bm25", "rrf")})
+    pairs = (pairs.where(only) if only else pairs).withColumns({c: F.coalesce(c, F.lit("")) for c in ("requirement_text", "candidate_text")})
     a, b = (F.array_distinct(T.words(x)) for x in (req, cand))
     union = F.size(F.array_union(a, b))
     match, n_req, n_std = T.numeric_features(req, cand)
     u, v = _units(req), _units(cand)
     columns = {
-        "embedding_cosine_sim": known("semantic_score"), "embedding_cosine_sim_rank": place("semantic_score"), "bm25": known("bm25_score"), "bm25_score_rank": place("bm25_score"),
+        "embedding_cosine_sim": known("semantic_score"), "embedding_cosine_sim_rank": F.col("_semantic"), "bm25": known("bm25_score"), "bm25_score_rank": F.col("_bm25"),
         "token_jaccard": _share(F.size(F.array_intersect(a, b)), union), "technical_keyword_overlap_ratio": T.tech_keyword_overlap(req, cand),
         "numeric_param_match_ratio": match, "numeric_param_count_requirement": n_req, "numeric_param_count_standard": n_std,
         "unit_overlap_ratio": F.when(F.size(u) > 0, F.size(F.array_intersect(u, v)) / F.size(F.array_union(u, v))).otherwise(_nan()),
-        "rrf": known("rrf_score"), "rrf_rank": place("rrf_score"), "requirement_length_ratio": _share(F.size(T.words(req)), F.size(T.words(cand))),
+        "rrf": known("rrf_score"), "rrf_rank": F.col("_rrf"), "requirement_length_ratio": _share(F.size(T.words(req)), F.size(T.words(cand))),
     }
     key = [*group, item]
     rows = pairs.select(*key, req, cand, *[c.alias(n) for n, c in columns.items()])
@@ -68,6 +70,6 @@ def featurise_pairs(labelled: DataFrame, catalogue: DataFrame, candidates: DataF
     text = candidate_text(F.col("title"), F.col("scope"), F.col("search_text"))
     titled = catalogue.groupBy(F.lower(F.trim("title")).alias("key")).agg(F.min_by(F.struct("std_id", text.alias("candidate_text")), "std_id").alias("c"))
     wanted = labelled.withColumn("key", F.lower(F.trim("standard_title"))).join(titled, "key").select("group_id", "requirement_text", "label", "c.std_id", "c.candidate_text")
-    every = candidates.join(wanted.select("group_id", "std_id", "requirement_text", "label", "candidate_text"), ["group_id", "std_id"], "full_outer")
-    features = applicability_features(every, ["group_id"], "std_id")
+    every = candidates.join(wanted.select("group_id", "std_id", "requirement_text", "candidate_text", F.lit(True).alias("wanted")), ["group_id", "std_id"], "full_outer")
+    features = applicability_features(every, ["group_id"], "std_id", only="wanted")
     return wanted.select("group_id", "std_id", "label").join(features, ["group_id", "std_id"])
