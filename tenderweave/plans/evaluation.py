@@ -34,7 +34,7 @@ def _hits(spark, sf):
     hits of four stages and are ranked."""
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("std_id"), F.col("l_quantity").alias("q"), F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("s"))
     numbers = view(spark, sf, CATALOGUE).select("std_id", F.col("is_number").alias("number"))
-    dealt = lines.join(numbers, "std_id").repartition("query_id")
+    dealt = lines.join(numbers, "std_id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "query_id")
     q, n, s = F.col("q"), F.col("n"), F.col("s")
     stages = [("lexical", q, s % 5 != 0), ("vector", -q, s % 7 != 0), ("fused", -q, s % 11 != 0), ("ranked", -q * (1 + n % 3), n % 4 != 0)]
     at = F.explode(F.array_compact(F.array(*[F.when(keep, F.struct(F.lit(name).alias("stage"), by.alias("by"))) for name, by, keep in stages])))
