@@ -5,6 +5,8 @@ A small reader of one page (`walked`) tells what stands where; Spark resolves, c
 
 from __future__ import annotations
 
+import re
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -26,6 +28,11 @@ ASKS = ("download", "view document", "view pdf", "gazette pdf", "tender document
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _MUTE = {"script", "style"}
+# Elements whose tags have no say in how the text after them is read, and the plainest spelling of tags: there the standard
+# reader's tolerant patterns find the same name, attributes and end.
+_PLAIN = {*"a b i p u br dd dl dt em hr li ol td th tr ul div h1 h2 h3 h4 h5 h6 img nav pre body font form head html link main meta span tbody table tfoot thead strong article caption section".split()}
+_PIECE = re.compile(r"""([^<]*+)<(/?)([A-Za-z][A-Za-z0-9]*+)((?:[ \n]++[A-Za-z][A-Za-z-]*+="[^"<>&]*+")*+)>""")
+_ATTRIBUTE = re.compile(r"""([A-Za-z][A-Za-z-]*)="([^"]*)\"""")
 
 
 class _Cell:
@@ -45,10 +52,38 @@ class _Walk(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tables, self.open, self.links, self.link, self.mute = [], [], [], None, None
 
+    def updatepos(self, i, j):  # nobody asks for lines
+        return j
+
+    def _plain(self, i):
+        """Reads plain tags and the texts between them, as many as follow each other from i on, and tells where they end."""
+        m = _PIECE.match(self.rawdata, i)
+        while m:
+            text, closing, tag, attrs = m.groups()
+            tag = tag.lower()
+            if tag not in _PLAIN or (closing and attrs):
+                break
+            if text:
+                self.handle_data(unescape(text))
+            if closing:
+                self.handle_endtag(tag)
+            else:
+                self.handle_starttag(tag, [(k.lower(), v) for k, v in _ATTRIBUTE.findall(attrs)] if tag == "a" else ())
+            i = m.end()
+            m = _PIECE.match(self.rawdata, i)
+        return i
+
+    def parse_starttag(self, i):
+        end = self._plain(i)
+        return end if end > i else super().parse_starttag(i)
+
+    def parse_endtag(self, i):
+        end = self._plain(i) if self.cdata_elem is None else i
+        return end if end > i else super().parse_endtag(i)
+
     def handle_starttag(self, tag, attrs):
         if self.mute:
             return
-        got = {k: v or "" for k, v in reversed(attrs)}  # of an attribute that repeats, the first counts
         top = self.open[-1] if self.open else None
         if tag in _MUTE:
             self.mute = tag
@@ -65,14 +100,17 @@ class _Walk(HTMLParser):
             top.rows[-1].append(top.cell)
         elif tag == "a":
             self.link = None
+            got = _first_of(attrs)
             if "href" in got:
                 self._found(tag, got["href"], got.get("title", ""))
                 self.link = self.links[-1]
                 for t in self.open:
                     if t.cell and t.cell.link is None:
                         t.cell.link = got["href"]
-        elif tag in ("iframe", "embed", "object") and (got.get("src") or got.get("data")):
-            self._found(tag, got.get("src") or got.get("data"), got.get("title", ""))
+        elif tag in ("iframe", "embed", "object"):
+            got = _first_of(attrs)
+            if got.get("src") or got.get("data"):
+                self._found(tag, got.get("src") or got.get("data"), got.get("title", ""))
 
     def _found(self, tag, href, title):
         top = self.open[-1] if self.open else None
@@ -113,6 +151,11 @@ class _Walk(HTMLParser):
         return end + 1 if end >= 0 else -1
 
 
+def _first_of(attrs) -> dict[str, str]:
+    """Of an attribute that repeats, the first counts."""
+    return {k: v or "" for k, v in reversed(attrs)}
+
+
 def _flat(said: list[str]) -> str:
     return " ".join(" ".join(said).split())
 
@@ -143,23 +186,31 @@ def _records(html: str | None) -> list[dict]:
 
 
 def _links(html: str | None) -> list[dict]:
-    out = []
+    out, heads = [], {}
     for pos, x in enumerate(walked(html).links):
-        headers = [_flat(c.said) for row in x["table"].rows for c in row if c.header] if x["table"] else []
+        t = x["table"]
+        if t and t.number not in heads:
+            heads[t.number] = [_flat(c.said) for row in t.rows for c in row if c.header]
         cells = [_flat(c.said) for c in x["row"]] if x["row"] else []
-        out.append({"pos": pos, "tag": x["tag"], "href": x["href"], "text": _flat(x["said"]), "title": x["title"], "headers": headers, "cells": cells})
+        out.append({"pos": pos, "tag": x["tag"], "href": x["href"], "text": _flat(x["said"]), "title": x["title"], "headers": heads[t.number] if t else [], "cells": cells})
     return out
 
 
 def _listed(df: DataFrame, column: str, kind: str, read) -> DataFrame:
-    """df with `found`, the list of what `read` finds in the column."""
-    schema = df.selectExpr("*", f"cast(null AS array<struct<{kind}>>) AS found").schema
-    fields = pa.list_(pa.struct([_field(f) for f in kind.split(", ")]))
+    """The other columns of df with `found`, the list of what `read` finds in the column."""
+    kept = [c for c in df.columns if c != column]
+    schema = df.select(*kept, F.lit(None).cast(f"array<struct<{kind}>>").alias("found")).schema
+    fields = [_field(f) for f in kind.split(", ")]
 
     def run(batches):
         for b in batches:
-            found = [read(x.as_py()) for x in b.column(b.schema.get_field_index(column))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, fields)], [*b.schema.names, "found"])
+            ends, rows = [0], []
+            for text in b.column(b.schema.get_field_index(column)).to_pylist():
+                rows += read(text)
+                ends.append(len(rows))
+            said = [pa.array([r[name] for r in rows], of) for name, of in fields]
+            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(said, fields=[pa.field(name, of) for name, of in fields]))
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), found], [*kept, "found"])
 
     return df.mapInArrow(run, schema)
 
@@ -199,6 +250,11 @@ def _ending(url: Column) -> Column:
     return F.regexp_extract(F.lower(url), r"\.(" + "|".join(TYPES) + r")(?:[?#].*)?$", 1)
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with the column; exploding a list of one keeps a long expression from being evaluated wherever its result is used."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def attachments(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, pos, url, href, text, kind, mime, context) of the documents that pages (key, url, html) link or embed.
 
@@ -209,11 +265,13 @@ def attachments(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """
     found = _listed(pages.select(key, F.col("url").alias("base"), "html"), "html", FOUND, _links).select(key, "base", F.explode("found").alias("f")).select(key, "base", "f.*")
     found = found.where("href <> '' AND NOT startswith(href, '#') AND NOT startswith(lower(href), 'javascript:')")
-    # Exploding a list of one keeps the long expressions from being evaluated again wherever their result is used.
-    whole = F.explode(F.array(N.resolve_url(F.col("base"), F.col("href"))))
-    found = found.select("*", whole.alias("_whole")).select("*", F.explode(F.transform(F.array("_whole"), N.normalize_url)).alias("url")).drop("_whole")
+    found = _once(found, "_whole", N.joined_url(F.col("base"), F.col("href")))
+    found = _once(found, "_whole", N.without_dots(F.col("_whole")))
+    found = _once(found, "_parts", N.url_parts(F.col("_whole")))
+    found = _once(found, "url", N.canonical_url(F.col("_parts"))).drop("_whole", "_parts", "base")
+    found = _once(found, "_ending", _ending(F.col("url")))
     embedded = F.col("tag") != "a"
-    ending = F.nullif(_ending(F.col("url")), F.lit(""))
+    ending = F.nullif(F.col("_ending"), F.lit(""))
     inside = F.lower("href").rlike(r"\.(?:" + "|".join(TYPES) + ")")
     asked = F.lower("text").rlike("|".join(ASKS))
     found = found.where(F.when(embedded, F.lower("url").rlike(r"\.(?:" + "|".join(TYPES) + ")")).otherwise(ending.isNotNull() | inside | asked))
@@ -225,7 +283,8 @@ def attachments(pages: DataFrame, key: str = "page_id") -> DataFrame:
     by_header = F.filter(F.zip_with("headers", "cells", lambda h, v: entry(F.concat(F.lit("col_"), h), v)), lambda p: (p["k"] != "col_") & (p["v"] != ""))
     in_row = F.when((F.size("headers") > 0) & (F.size("headers") == F.size("cells")), by_header).when(F.size("cells") > 0, F.array(entry(F.lit("row_text"), F.array_join("cells", " | ")))).otherwise(F.array().cast("array<struct<k: string, v: string>>"))
     titled = F.when(F.col("title") != "", F.array(entry(F.lit("title"), F.col("title")))).otherwise(F.array().cast("array<struct<k: string, v: string>>"))
-    whole = F.when(embedded, F.array(entry(F.lit("embedded_tag"), F.col("tag")))).otherwise(F.concat(in_row, titled))
-    distinct = F.map_from_entries(F.filter(whole, lambda p, i: F.array_position(F.transform(whole, lambda q: q["k"]), p["k"]) == i + 1))
+    found = _once(found, "_said", F.when(embedded, F.array(entry(F.lit("embedded_tag"), F.col("tag")))).otherwise(F.concat(in_row, titled)))
+    found = _once(found, "_keys", F.transform("_said", lambda q: q["k"]))
+    distinct = F.map_from_entries(F.filter("_said", lambda p, i: F.array_position("_keys", p["k"]) == i + 1))
     text = F.when(embedded, "Embedded Document").when(F.col("text") != "", F.col("text")).otherwise(F.col("title"))
     return found.select(key, "pos", "url", "href", text.alias("text"), F.when(embedded, "attachment").otherwise("document").alias("kind"), mime.alias("mime"), distinct.alias("context"))

@@ -1,3 +1,6 @@
+import random
+from html.parser import HTMLParser
+
 from tenderweave.operators import dom as D
 
 PAGE = """<table id=a><thead><tr><th>Tender No.</th><th>Due &amp; time<th>File</tr></thead>
@@ -28,3 +31,30 @@ def test_attachments_with_their_row(spark):
     assert got["inner.csv"][1:] == ("c", "document", "csv", {"row_text": "in | up c"})
     assert got["/view?id=3"][1:] == ("View document", "document", "pdf", {})
     assert got["emb.pdf"][1:] == ("Embedded Document", "attachment", "pdf", {"embedded_tag": "iframe"})
+
+
+def test_pages_stay_with_their_readers(spark):
+    """A page's text is not sent back with what was found in it, and its links' URLs are made once, not where they are used."""
+    df = spark.createDataFrame([(1, "http://a.org/d/", PAGE)], "page_id long, url string, html string")
+    assert D._listed(df, "html", D.FOUND, D._links).columns == ["page_id", "url", "found"]
+    plan = D.attachments(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^?#]*)(?:") == 4  # scheme, host, path and query, each once
+
+
+def test_plain_tags_are_read_as_by_the_standard_reader():
+    pieces = ["<table>", "<TR>", "<td >", "<td>", "</td>", "</table>", '<a href="x.pdf" title="T">', '<a href="a&amp;b">', "<a href='q'>", '<a href="1" href="2">', '<a href="k"/>', "</a>", "</A >", "<script>", "</script>", "<title>", "</title>"]
+    pieces += ["<textarea>", "</textarea>", "<p/>", "<", "&lt", "&", "text ", "<!-- c -->", "<!--", "-->", "<td", "</", '</td x="1">', '<a href="u"title="v">', '<a href="x>y">', '<iframe src="e.pdf">']
+
+    class Standard(D._Walk):
+        parse_starttag, parse_endtag = HTMLParser.parse_starttag, HTMLParser.parse_endtag
+
+    told = lambda w: ([(x["href"], x["title"], x["said"]) for x in w.links], [[[(c.header, c.said, c.link) for c in r] for r in t.rows] for t in w.tables])
+    chance = random.Random(1)
+    for _ in range(3000):
+        page = "".join(chance.choices(pieces, k=chance.randint(1, 20)))
+        walks = D._Walk(), Standard()
+        for w in walks:
+            w.feed(page)
+            w.close()
+        assert told(walks[0])[1] == told(walks[1])[1], page
+        assert ["".join(x[2]) for x in told(walks[0])[0]] == ["".join(x[2]) for x in told(walks[1])[0]], page
