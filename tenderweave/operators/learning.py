@@ -28,8 +28,21 @@ def _applicability(features: list[str], trees: int, seed: int) -> Pipeline:
 
 
 def train_applicability(rows: DataFrame, features: list[str], trees: int = 40, seed: int = 7) -> PipelineModel:
-    """Median imputation with indicators of what was missing, scaling, and a random forest over `label`."""
-    return _applicability(features, trees, seed).fit(with_missing(rows, features))
+    """Median imputation with indicators of what was missing, scaling, and a random forest over `label`.
+
+    Every step reads the rows again, so they are dealt evenly, kept, and let go at the end.
+    """
+    ready = with_missing(_dealt(rows).select(*features, "label"), features).persist()
+    model = _applicability(features, trees, seed).fit(ready)
+    ready.unpersist()
+    return model
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows in as many partitions as shuffles have, each in one order, by a hash of the whole row: what a seed draws then
+    depends on the rows alone, not on files or joins, and no task has most of them."""
+    whole = F.xxhash64(*rows.columns)
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), whole).sortWithinPartitions(whole)
 
 
 def with_folds(rows: DataFrame, group: str, folds: int = 3) -> DataFrame:

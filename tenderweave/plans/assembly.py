@@ -222,7 +222,9 @@ _FEATURES = ["quantity", "tax", "size"]
 @query("m2_applicability_model")
 def m2(spark, sf):
     """Trains on one split of orders and scores all pairs: probability, class and coverage of each."""
-    pairs = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_tax")
+    lines = lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")  # few files are few tasks
+    pairs = lines.join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     missing = F.lit(float("nan"))
     rows = pairs.select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 5 == 0, missing).otherwise(F.col("l_quantity")).alias("quantity"), F.col("l_tax").alias("tax"), F.col("p_size").cast("double").alias("size"), ((F.col("l_quantity") + F.col("p_size")) > 50).cast("double").alias("label"))
     split = R.group_split(rows, "l_orderkey", 7)

@@ -73,3 +73,10 @@ def test_decisions_and_families(spark):
     assert sorted((r.finding_id, r.effective) for r in P.apply_decisions(findings, decisions).collect()) == [(1, "missing"), (2, "conflicting"), (4, "covered")]
     families = spark.createDataFrame([("a", 20, False), ("b", 10, False), ("c", 9, False), ("d", 8, True), ("e", 7, True), ("f", 6, True)], "family string, size int, topic boolean")
     assert sorted(r.family for r in P.sample_families(families, 45, 25).collect()) == ["a", "b", "d", "e"]
+
+
+def test_applicability_model_does_not_depend_on_how_rows_lie(spark):
+    rows = [(i, float(i * 37 % 101), float(i * 53 % 17), float((i * 37 % 101 + i * 29 % 50) > 70)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, label double")
+    said = [{r.id: r.probability for r in learning.score_applicability(learning.train_applicability(d, ["a", "b"], trees=5), df, ["a", "b"]).collect()} for d in (df.coalesce(1), df.repartition(5, "b"))]
+    assert said[0] == said[1]
