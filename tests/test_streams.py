@@ -3,6 +3,7 @@ import os
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tenderweave.functions import payloads
@@ -130,3 +131,22 @@ def test_late_rows_drop_out(spark, tmp_path):
 def test_canonical_json(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(payloads.canonical_json(F.col("t"))).first()[0] == want
+
+
+def test_state_is_read_once_and_written_only_when_it_changes():
+    class Last:
+        def __init__(self, kept):
+            self.kept, self.written = kept, []
+
+        def get(self):
+            return self.kept
+
+        def update(self, value):
+            self.written.append(value)
+
+    fetch = lambda content, seq: Row(url="u", hash=content, ts=seq * 1000, seq=seq)
+    for kept, said, moves, written in [(("a",), "aa", ["unchanged", "unchanged"], []), (("a",), "ab", ["unchanged", "modified"], [("b",)]), (None, "a", ["first"], [("a",)])]:
+        step = keyed.UrlMoves()
+        step.last = Last(kept)
+        assert [r.move for r in step.handleInputRows(("u",), iter([fetch(c, n) for n, c in enumerate(said)]), None)] == moves
+        assert step.last.written == written
