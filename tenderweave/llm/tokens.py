@@ -14,30 +14,43 @@ row. Only files of the manifest count, so what lost or repeated tasks leave is n
 from __future__ import annotations
 
 import json
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from operator import add
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, stored
 
 LENGTH = 2048
-CACHE_WORDS = 400_000
+CACHE_PARTS = 800_000
 PARTS = 1024
 PART_BYTES = 64 << 20
 FILE_BYTES = 32 << 20
-TEXTS = 128
+TEXT_BYTES = 4 << 20
 
-#: Lower-case letters that normal form C leaves alone, then ASCII signs but for ' < and |: the parts tokenise apart. A line each.
-_PLAIN = re.compile(rb"^(?:((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])*)([!-&(-/:;=?@\[-`{}~]*)|(.+))$", re.M)
-#: Lower case of the second byte of Latin-1 letters; what it makes of other characters is never plain.
-_SMALL = bytes(c + 32 if 0x80 <= c <= 0x9E and c != 0x97 else c for c in range(256))
+#: What a byte of a text is: ASCII white space, part of a Latin letter that normal form C leaves alone once it is lower case
+#: (ASCII or Latin-1), a digit, an ASCII sign but for ' and <, or anything else. A byte of 0x80 to 0xBF behind other than 0xC3
+#: is in a word that has something else anyway. Runs of letters, runs of signs and single digits tokenise apart.
+_SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
+
+
+def _kind(c: int) -> int:
+    if c in b" \t\n\r\x0b\x0c":
+        return _SPACE
+    if chr(c).isascii():
+        return _LETTER if chr(c).isalpha() else _DIGIT if chr(c).isdigit() else _SIGN if chr(c).isprintable() and c not in b"'<" else _OTHER
+    return _LETTER if c == 0xC3 or 0x80 <= c <= 0xBF and c not in b"\x97\xb7" else _OTHER
+
+
+_KINDS = bytes(map(_kind, range(256)))
+#: Lower case of ASCII letters and of the second byte of Latin-1 letters; what it makes of other characters is not used.
+_SMALL = bytes(c + 32 if chr(c).isascii() and chr(c).isupper() or 0x80 <= c <= 0x9E and c != 0x97 else c for c in range(256))
 
 
 def joins_no_words(tokenizer) -> bool:
@@ -61,54 +74,103 @@ def joins_no_words(tokenizer) -> bool:
 
 
 class WordEncoder:
-    """Ids of texts, as bytes. Where the tokenizer never joins anything across white space, a text's ids
-    are those of its words one after the other; unknown words of several texts are tokenised in one
-    call. Forgets all at CACHE_WORDS. A tokenizer of other rules gets whole texts."""
+    """Ids of texts, as bytes. Where the tokenizer never joins anything across white space, a text's ids are those of its
+    parts one after the other: runs of letters or signs, digits, and whole words that hold anything else. The different parts
+    of the texts of a call are looked up once each, and the unknown ones tokenised together. Forgets all at CACHE_PARTS, or
+    16 times as many ids. A tokenizer of other rules gets whole texts."""
 
     def __init__(self, path: str, dtype: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
         self.by_word = joins_no_words(self.tokenizer)
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {b"": b""}
+        self._forget()
+        if self.by_word:  # parts of letters, signs and digits are normal and split already
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+
+    def _forget(self) -> None:
+        self.parts: dict[bytes, int] = {}  # the number of each part; its ids are sizes[number] of ids from starts[number]
+        self.ids, self.starts, self.sizes = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
             return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        split = [t.encode("utf-8").split() if t else [] for t in texts]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.parts) > CACHE_WORDS:
-            self.parts = {b"": b""}
-        if missing := set().union(*split).difference(self.words):
-            self._learn(missing)
-        known = self.words.__getitem__
-        return [b"".join(map(known, words)) for words in split]
-
-    def _learn(self, missing: set[bytes]) -> None:
-        words = list(missing)
-        letters, signs, odd = zip(*_PLAIN.findall(b"\n".join(words).lower().translate(_SMALL)))
-        new = list({*letters, *signs}.difference(self.parts))
-        for k in range(0, len(new), 4096):
-            self._learn_parts(new[k : k + 4096])
-        known = self.parts.__getitem__
-        self.words.update(zip(words, map(add, map(known, letters), map(known, signs))))
-        if others := [w for w, o in zip(words, odd) if o]:
-            for w, e in zip(others, self.tokenizer.encode_batch([w.decode("utf-8") for w in others], add_special_tokens=False)):
-                self.words[w] = np.array(e.ids, self.dtype).tobytes()
-
-    def _learn_parts(self, parts: list[bytes]) -> None:
-        """Each part is one word to the tokenizer, so one text of them all gives the ids of each."""
-        e = self.tokenizer.encode(b" ".join(parts).decode("utf-8"), add_special_tokens=False)
-        ids, word = np.array(e.ids, self.dtype), np.array(e.word_ids, np.int64)
-        bounds = np.searchsorted(word, np.arange(len(parts) + 1)).tolist()
-        if len(word) and word[-1] != len(parts) - 1:  # never seen: a part that is several words, or none
-            for p in parts:
-                self.parts[p] = np.array(self.tokenizer.encode(p.decode("utf-8"), add_special_tokens=False).ids, self.dtype).tobytes()
-            return
-        for p, a, b in zip(parts, bounds, bounds[1:]):
-            self.parts[p] = ids[a:b].tobytes()
+        every = [t.encode("utf-8") if t else b"" for t in texts]
+        text = b"\n".join(every)
+        begins, data = _parts(text)
+        if not len(begins):
+            return [b""] * len(texts)
+        coded = data.dictionary_encode()
+        number = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        sizes = self.sizes[number]
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.starts[number] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes()
+        starts = np.cumsum([0, *(len(t) + 1 for t in every)])  # of the texts
+        bounds = np.concatenate([[0], ends])[np.searchsorted(begins, starts)] * np.dtype(self.dtype).itemsize
+        return [ids[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+
+    def _numbers(self, parts: list[bytes]) -> np.ndarray:
+        if len(self.parts) > CACHE_PARTS or len(self.ids) > 16 * CACHE_PARTS:
+            self._forget()
+        numbers = np.fromiter(map(self.parts.get, parts, repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            new = [parts[k] for k in missing.tolist()]
+            self._learn(new)
+            numbers[missing] = [*map(self.parts.__getitem__, new)]
+        return numbers
+
+    def _learn(self, new: list[bytes]) -> None:
+        whole = [_OTHER in p.translate(_KINDS) for p in new]
+        others, plain = [*compress(new, whole)], [p for p, w in zip(new, whole) if not w]
+        found = [self._plain(plain[k : k + 4096]) for k in range(0, len(plain), 4096)]
+        found += [self._whole(others[k : k + 1024]) for k in range(0, len(others), 1024)]
+        sizes = np.concatenate([s for _, s in found])
+        first = len(self.parts)
+        self.parts.update(zip(plain + others, range(first, first + len(new))))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, *(i for i, _ in found)])
+
+    def _plain(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Each part is one word to the tokenizer, so one text of them all gives the ids of each: a word's last id says so."""
+        ids = np.array(self.plain.encode_batch_fast([b" ".join(parts).decode("utf-8")], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(parts) or ends[-1] != len(ids):  # never seen: a part that is several words, or none
+            return self._whole(parts)
+        return ids, np.diff(ends, prepend=0)
+
+    def _whole(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
+        return np.array([*chain.from_iterable(found)], self.dtype), np.array([*map(len, found)], np.int64)
+
+
+def _parts(text: bytes) -> tuple[np.ndarray, pa.Array]:
+    """Where the parts of a text begin, and the parts: lower case, or as they are where they hold anything else."""
+    kinds, small = (np.frombuffer(text.translate(t), np.uint8) for t in (_KINDS, _SMALL))
+    begins = np.flatnonzero(np.concatenate([[len(text) > 0], (kinds[1:] != kinds[:-1]) | (kinds[1:] == _DIGIT)]))
+    kind = kinds[begins]
+    if (kind == _OTHER).any():
+        word = np.cumsum(kind == _SPACE)
+        whole = np.zeros(len(begins) + 1, bool)
+        whole[word[kind == _OTHER]] = True
+        inside = whole[word] & (kind != _SPACE)
+        first = inside & ~np.concatenate([[False], inside[:-1]])
+        kind[first] = _OTHER
+        kept = first | ~inside
+        begins, kind = begins[kept], kind[kept]
+        as_is = np.repeat(kind == _OTHER, np.diff(begins, append=len(text)))
+        small = np.where(as_is, np.frombuffer(text, np.uint8), small)
+    real = kind != _SPACE
+    offsets = np.concatenate([[0], np.cumsum(np.diff(begins, append=len(text))[real])]).astype(np.int32)
+    data = pa.py_buffer(small[kinds != _SPACE])
+    return begins[real], pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), data])
 
 
 _encoders: dict[tuple[str, str], WordEncoder] = {}
@@ -159,6 +221,16 @@ def open_file(content: bytes | pa.Buffer) -> tuple[np.ndarray, pa.Table, np.ndar
     return every[np.concatenate(mask)] if mask else every, table, index
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have TEXT_BYTES together, or one more text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
+    first = 0
+    while first < len(batch):
+        after = int(np.searchsorted(size, (size[first - 1] if first else 0) + TEXT_BYTES)) + 1
+        yield batch.slice(first, after - first)
+        first = after
+
+
 def _writer(folder: str, path: str, end_id: int, length: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -181,8 +253,7 @@ def _writer(folder: str, path: str, end_id: int, length: int, dtype: str):
             return pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[1]]), pa.array([part]), pa.array([nth]), pa.array([size // item], pa.int64()), pa.array([len(ids)], pa.int64())], ["file", "part", "nth", "n_tokens", "n_docs"])
 
         for batch in batches:
-            for first in range(0, len(batch), TEXTS):
-                some = batch.slice(first, TEXTS)
+            for some in _slices(batch):
                 for doc_id, encoded in zip(some.column("doc_id").to_pylist(), words.encode(some.column("text").to_pylist())):
                     ids.append(doc_id)
                     parts.append(encoded + end)

@@ -59,3 +59,31 @@ def test_other_tokenizers_get_whole_texts(tmp_path):
     assert tokens.joins_no_words(Tokenizer.from_file(PATH)) and not tokens.joins_no_words(Tokenizer.from_file(str(other)))
     text = "The Cat SAT, on 12 Mats"
     assert np.frombuffer(WordEncoder(str(other), "<u4").encode([text, None])[0], "<u4").tolist() == Tokenizer.from_file(str(other)).encode(text, add_special_tokens=False).ids
+
+
+def test_parts_are_learnt_once_however_they_are_written():
+    whole, words = Tokenizer.from_file(PATH), WordEncoder(PATH, "<u2")
+    texts = ["Idea, IDEA; idea (iDeA)", None, "a1-b2 b22\tÉté\n été,", "DON'T don't <|endoftext|>", "", "été"]
+    seen = []
+    learn = words._learn
+    words._learn = lambda new: (seen.extend(new), learn(new))[1]
+    for _ in range(2):
+        assert [np.frombuffer(i, "<u2").tolist() for i in words.encode(texts)] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert sorted(seen) == sorted([b"idea", b",", b";", b"(", b")", b"a", b"1", b"-", b"b", b"2", "été".encode(), b"DON'T", b"don't", b"<|endoftext|>"])
+
+
+def test_forgets_and_goes_on(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_PARTS", 5)
+    whole, words = Tokenizer.from_file(PATH), WordEncoder(PATH, "<u4")
+    for k in range(40):
+        text = f"the word{chr(97 + k % 26)} and 日本{k} of {k}"
+        assert np.frombuffer(words.encode([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert len(words.parts) < 15
+
+
+def test_slices_hold_all_rows_in_order(monkeypatch):
+    monkeypatch.setattr(tokens, "TEXT_BYTES", 10)
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * n if n != 3 else None for n in (0, 4, 3, 5, 30, 0, 10, 1, 9, 9, 0)]})
+    cut = list(tokens._slices(batch))
+    assert pa.Table.from_batches(cut).to_pydict() == batch.to_pydict()
+    assert [len(c) for c in cut] == [5, 2, 2, 2]
