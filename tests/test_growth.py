@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -138,3 +139,24 @@ def test_hits_are_made_in_one_pass(spark, sf_dir):
     assert plan_of(hits).count("Relation") == 2
     modes = plan_of(evaluation.QUERIES["a11_match_modes"](spark, sf_dir))
     assert modes.count("row_number()") == 1  # hits of all modes and stages, and the list of stages, in one reading
+
+
+def largest_method(df) -> int:
+    """Bytes of the largest method of the whole-stage code; the JVM compiles none of over 8,000."""
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    return max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", df._jdf.queryExecution().explainString(mode))))
+
+
+def small_methods(spark, df) -> bool:
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # its plans show their code only when they are run
+    try:
+        return largest_method(df()) <= 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_profiles_read_the_words_of_few_clauses(spark, sf_dir):
+    found = profile.QUERIES["x10_tender_profile"](spark, sf_dir)
+    assert "row_number()" not in plan_of(found) and "inline(" in plan_of(found)
+    assert "BroadcastExchange" not in executed(found)
+    assert small_methods(spark, lambda: profile.QUERIES["x10_tender_profile"](spark, sf_dir))
