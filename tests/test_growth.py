@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import functions as F
 
+from tenderweave.operators import clauses as C
+from tenderweave.operators import corpus as X
 from tenderweave.operators import dom as D
 from tenderweave.operators import notices as N
 from tenderweave.operators import profile as P
@@ -160,3 +162,26 @@ def test_profiles_read_the_words_of_few_clauses(spark, sf_dir):
     assert "row_number()" not in plan_of(found) and "inline(" in plan_of(found)
     assert "BroadcastExchange" not in executed(found)
     assert small_methods(spark, lambda: profile.QUERIES["x10_tender_profile"](spark, sf_dir))
+
+
+def test_buckets_are_found_in_one_pass(spark, sf_dir):
+    found = profile.QUERIES["x9_profile_buckets"](spark, sf_dir)
+    assert "Join" not in plan_of(found) and plan_of(found).count("Relation") == 1
+    assert small_methods(spark, lambda: profile.QUERIES["x9_profile_buckets"](spark, sf_dir))
+
+
+def test_lines_of_texts_that_hold_the_signs_that_cut(spark):
+    text = "A\x01\x02\n\nThe first body weighs under 12 kg in all.\n\nThe next body weighs under 13 kg in all, no. 5 too.\x02 x"
+    rows = P.profile_buckets(spark.createDataFrame([(1, text), (None, text)], "doc_id long, text string")).orderBy("nth").collect()
+    line = lambda r: text[: [place for place, clause in placed if clause == r.clause][0]].count("\n") + 1
+    placed = [(r.offset, r.clause) for r in C.split_clauses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()]
+    assert [r.location for r in rows] == [f"Line {line(r)}" for r in rows] and [r.label for r in rows] == ["12 kg", "13 kg"]
+
+
+def test_first_citations_are_those_of_the_scan(spark):
+    texts = ["Rails to IS 3443 only, IS 5 too", "THE LIFE IS 15 YEARS, IS 8009 (Part 2/Sec 1):1980 and IS 7", "IS 230 V IS 4 m IS:1786:2008 amd 1", "IS 12 %", "is 5", "", None, "THIS 55", "x\U0001f600 IS 7 \U0001f600 IS 9"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = ["citation", "number", "part_section", "designation", "year", "amendment"]
+    scanned = {r.doc_id: tuple(r[n] for n in names) for r in X.scan_citations(docs).where("pos = 0").collect()}
+    assert {r.doc_id: tuple(r[n] for n in names) for r in X.with_citation(docs, "text").collect()} == {k: scanned.get(k, (None,) * 6) for k in range(len(texts))}
+    assert scanned[1][0] == "IS 8009 (Part 2/Sec 1):1980" and scanned[2][4] == 2008 and sorted(scanned) == [0, 1, 2, 8]
