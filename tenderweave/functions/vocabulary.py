@@ -163,6 +163,19 @@ def requirement_category(text: Column, reference: Column) -> Column:
     return out.when(F.coalesce(reference, F.lit("")) != "", "technical_specification").otherwise("other")
 
 
+def category_of_lower(low: Column, reference: Column) -> Column:
+    """requirement_category() of a text already in lower case, a column of its own as each term reads it: plain terms are
+    looked for as they are, a pattern is tried only where its word stands."""
+    out = F
+    for label, terms in REQUIREMENT_CATEGORIES:
+        hit = F.exists(F.array(*[F.lit(t) for t in terms if "\\" not in t]), lambda t: F.contains(low, t))
+        for t in terms:
+            if "\\" in t:
+                hit = hit | (F.contains(low, F.lit(t.replace(r"\b", "").replace(r"\d+", ""))) & low.rlike(t))
+        out = out.when(hit, label)
+    return out.when(F.coalesce(reference, F.lit("")) != "", "technical_specification").otherwise("other")
+
+
 def base_designation(number: Column, part: Column, section: Column) -> Column:
     """The number with part and section in brackets, unless it names the part already."""
     inner = F.concat_ws("/", F.nullif(part, F.lit("")), F.nullif(section, F.lit("")))

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tenderweave.functions import vocabulary as V
 from tenderweave.operators import clauses as C
 from tenderweave.operators import corpus as X
 from tenderweave.operators import dom as D
@@ -185,3 +186,22 @@ def test_first_citations_are_those_of_the_scan(spark):
     scanned = {r.doc_id: tuple(r[n] for n in names) for r in X.scan_citations(docs).where("pos = 0").collect()}
     assert {r.doc_id: tuple(r[n] for n in names) for r in X.with_citation(docs, "text").collect()} == {k: scanned.get(k, (None,) * 6) for k in range(len(texts))}
     assert scanned[1][0] == "IS 8009 (Part 2/Sec 1):1980" and scanned[2][4] == 2008 and sorted(scanned) == [0, 1, 2, 8]
+
+
+def test_requirements_are_found_in_one_pass(spark, sf_dir):
+    found = clauses.QUERIES["x11_requirements"](spark, sf_dir)
+    assert "Join" not in plan_of(found) and "Union" not in plan_of(found) and plan_of(found).count("Relation") == 1
+    assert small_methods(spark, lambda: clauses.QUERIES["x11_requirements"](spark, sf_dir))
+
+
+def test_items_of_lists_in_their_row(spark):
+    text = "before\n0. nought 0\n1) one\nmore of it\n\nb) bee\nb) again\nD) dee\nc. sea 2\nd) dee\n\n- one alone\nand its line\n\n2. single\na) x\n* s\n* t"
+    got = [(r.text, r.structural) for r in C.requirement_spans(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).orderBy("pos").collect()]
+    assert got == [("nought 0", True), ("one more of it", True), ("bee b) again D) dee", True), ("sea 2", True), ("dee", True), ("- one alone\nand its line", False), ("s", True), ("t", True)]
+
+
+def test_categories_of_lower_texts(spark):
+    terms = [t.replace(r"\b", "").replace(r"\d+", "7") for _, ts in V.REQUIREMENT_CATEGORIES for t in ts]
+    rows = spark.createDataFrame([(f"{a}{t.upper()}{b}", ref) for t in terms for a, b in (("", ""), ("x ", " y"), ("x", "y")) for ref in (None, "", "IS 5")], "text string, reference string").withColumn("low", F.lower("text"))
+    text, reference = F.col("text"), F.col("reference")
+    assert rows.where(V.category_of_lower(F.col("low"), reference) != V.requirement_category(text, reference)).isEmpty()
